@@ -158,7 +158,7 @@ class Domain:
         both = passages.unionByName(known)
         return both.select(
             F.concat(F.lit("trans:"), F.md5("text"), F.lit(":"), F.col("lang"), F.lit(":en")).alias("key"),
-            F.upper("text").alias("translated_text"),
+            F.concat(F.lit("T: "), "text").alias("translated_text"),
             F.lit("google").alias("engine"),
             F.octet_length("text").cast("long").alias("size"),
             (F.lit(EPOCH).cast("timestamp_ntz") - F.make_dt_interval(secs=F.col("n") * 7 % 7200)).alias("created_at"),

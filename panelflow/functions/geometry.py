@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from panelflow import schema
+from panelflow.functions.values import half_even
 
 
 def point(x: Column, y: Column) -> Column:
@@ -60,7 +61,7 @@ def rotation(poly: Column) -> Column:
     return (
         F.when(F.coalesce(F.size(poly), F.lit(0)) < 2, F.lit(0.0))
         .when(dx == 0, F.when(dy != 0, F.lit(90.0)).otherwise(F.lit(0.0)))
-        .otherwise(F.bround(turned, 1))
+        .otherwise(half_even(turned, 1))
     )
 
 

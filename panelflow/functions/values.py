@@ -6,10 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def half_even(c: Column, digits: int) -> Column:
+    """Round to digits by the exact binary value, ties to even.
+
+    ``bround`` rounds the shortest decimal text instead, so it takes 4.35 (a
+    little less than that in binary) for a tie. Here the product with the power
+    of ten is split into its rounded value and the exact remainder.
+    """
+    p = float(10 ** digits)
+    x = c.cast("double")
+    wide = x * 134217729.0
+    head = wide - (wide - x)
+    product = x * p
+    rest = (head * p - product) + (x - head) * p
+    low = F.floor(product)
+    part = product - low
+    up = (part > 0.5) | ((part == 0.5) & ((rest > 0) | ((rest == 0) & (low % 2 != 0))))
+    return (low + F.when(up, 1).otherwise(0)) / p
+
+
 def percent(part: Column, whole: Column, digits: int | None = 1) -> Column:
     """part/whole*100, half-even rounded; 0 when the whole is 0 or null."""
     share = F.when(whole > 0, part / whole * 100).otherwise(F.lit(0.0))
-    return share if digits is None else F.bround(share, digits)
+    return share if digits is None else half_even(share, digits)
 
 
 def zero(c: Column) -> Column:

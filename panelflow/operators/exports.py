@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelflow.functions.text import strip
 from panelflow.operators.skew import numbered
+from panelflow.functions.values import half_even
 
 MANIFEST_ROWS = 10_000
 WHOLE = r"^[+-]?[0-9]+$"
@@ -88,7 +89,7 @@ def export_estimate(requests: DataFrame, chapters: DataFrame) -> DataFrame:
     pages = F.coalesce(F.when(given, length * F.col("chapters")), "all_pages", F.lit(0))
     return requests.join(totals, "export_id", "left").select(
         *requests.columns, pages.alias("estimated_pages"),
-        F.bround(pages * (0.5 * (F.col("quality") / 90)), 1).alias("estimated_mb"))
+        half_even(pages * (0.5 * (F.col("quality") / 90)), 1).alias("estimated_mb"))
 
 
 def plan_page_paths(pages: DataFrame, layout: str = "import", image_format: str = "jpg") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelflow import schema
 from panelflow.functions.text import clip
-from panelflow.functions.values import percent
+from panelflow.functions.values import half_even, percent
 from panelflow.operators.skew import numbered, running
 
 CHUNK_ROWS = 1000
@@ -133,7 +133,7 @@ def attempt_summary(attempts: DataFrame, retries: int = 3, delay: float = 1.0, f
     used = allowed.join(success, keys).filter(F.col("__ok_at").isNull() | (F.col("attempt") <= F.col("__ok_at")))
     waited = F.sum(F.when(F.col("attempt") > 0, F.lit(delay) * F.pow(F.lit(factor), F.col("attempt") - 1)).otherwise(0.0))
     out = used.groupBy(*keys).agg(
-        F.count("*").alias("attempts"), F.max("ok").alias("ok"), F.bround(waited, 6).alias("delay_seconds"),
+        F.count("*").alias("attempts"), F.max("ok").alias("ok"), half_even(waited, 6).alias("delay_seconds"),
         F.max_by("error", F.when(~F.col("ok"), F.col("attempt"))).alias("last_error"))
     return out.withColumn("last_error", F.when(~F.col("ok"), F.coalesce(clip(F.col("last_error"), 200), F.lit("Unknown error"))))
 

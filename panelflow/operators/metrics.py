@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelflow import schema
 from panelflow.operators.skew import first_rows
+from panelflow.functions.values import half_even
 
 
 def slow_requests(requests: DataFrame, ms: float = 1000.0) -> DataFrame:
@@ -25,11 +26,11 @@ def memory_heavy_requests(requests: DataFrame, delta_mb: float = 50.0) -> DataFr
 
 def resource_summary(snapshots: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Means, maximum, sample count, span and the latest sample (per host when ``by`` is given)."""
-    span = F.bround(F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 1e6, 0).cast("long")
+    span = half_even(F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 1e6, 0).cast("long")
     latest = F.struct("ts", "id")
     return snapshots.groupBy(*(by or [])).agg(
-        F.bround(F.avg("cpu_percent"), 1).alias("avg_cpu"), F.bround(F.avg("ram_used_mb"), 1).alias("avg_ram_mb"),
-        F.bround(F.max("ram_used_mb"), 1).alias("max_ram_mb"), F.count("*").alias("samples"),
+        half_even(F.avg("cpu_percent"), 1).alias("avg_cpu"), half_even(F.avg("ram_used_mb"), 1).alias("avg_ram_mb"),
+        half_even(F.max("ram_used_mb"), 1).alias("max_ram_mb"), F.count("*").alias("samples"),
         span.alias("span_seconds"),
         F.max_by("cpu_percent", latest).alias("current_cpu"), F.max_by("ram_used_mb", latest).alias("current_ram_mb"))
 

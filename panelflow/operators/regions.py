@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelflow import schema
 from panelflow.functions import geometry as g
-from panelflow.functions.values import counts_map
+from panelflow.functions.values import counts_map, half_even
 from panelflow.operators.greedy import FOLD_ROWS, greedy
 from panelflow.operators.skew import first_rows, numbered
 
@@ -104,7 +104,7 @@ def filter_contour_regions(df: DataFrame) -> DataFrame:
     page = F.col("page_width") * F.col("page_height")
     aspect = F.when(F.col("h") > 0, F.col("w") / F.col("h")).otherwise(F.lit(0.0))
     kept = df.filter(F.col("area").between(page * 0.002, page * 0.35) & aspect.between(0.2, 8.0))
-    return kept.withColumn("confidence", F.bround(F.least(F.lit(1.0), F.col("area") / (page * 0.05)), 4))
+    return kept.withColumn("confidence", half_even(F.least(F.lit(1.0), F.col("area") / (page * 0.05)), 4))
 
 
 def to_ocr_boxes(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelflow import schema
 from panelflow.functions import text as t
-from panelflow.functions.values import counts_map, is_live, percent
+from panelflow.functions.values import counts_map, half_even, is_live, percent
 from panelflow.operators.regions import one_row, rank_of
 from panelflow.operators.skew import running
 from panelflow.session import cut
@@ -95,8 +95,8 @@ def recent_entries(memory: DataFrame, now: Column, n: int = 20) -> DataFrame:
     age = F.timestamp_diff("MICROSECOND", F.col("created_at"), now) / 1e6
     return (
         memory.orderBy(F.col("accessed_at").desc(), F.col("key").desc()).limit(n)
-        .select(F.substring("key", 1, 80).alias("key"), F.bround(F.col("size") / 1024, 1).alias("size_kb"),
-                F.bround(age, 1).alias("age_seconds"), "ttl",
+        .select(F.substring("key", 1, 80).alias("key"), half_even(F.col("size") / 1024, 1).alias("size_kb"),
+                half_even(age, 1).alias("age_seconds"), "ttl",
                 (~is_live(F.col("created_at"), F.col("ttl"), now)).alias("expired"))
         .orderBy(F.col("age_seconds").desc(), "key"))
 
@@ -122,7 +122,7 @@ def cache_report(access_log: DataFrame, entries: DataFrame, budgets: dict[str, i
 
     return traffic.join(held, "cache", "full").select(
         "cache", n("entries").alias("entries"),
-        F.bround(n("bytes") / (1024 * 1024), 2).alias("memory_mb"),
+        half_even(n("bytes") / (1024 * 1024), 2).alias("memory_mb"),
         percent(n("bytes"), limit).alias("usage_percent"),
         n("hits").alias("hits"), n("misses").alias("misses"),
         percent(n("hits"), n("hits") + n("misses")).alias("hit_rate_percent"),

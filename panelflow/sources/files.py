@@ -62,7 +62,7 @@ def _entries(path: str, content: bytes, max_entry: int) -> Iterator[tuple]:
         archive = zipfile.ZipFile(io.BytesIO(content))
     except Exception as e:
         if name.lower().endswith(".cbr"):
-            yield broken("RAR extraction is not available")
+            yield broken("No RAR library available")
         else:
             yield broken(f"Corrupted archive file: {e}")
         return

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from panelflow.operators import jobs as J
 from panelflow.sources.tables import CatalogStore
+from panelflow.functions.values import half_even
 
 
 def bounded(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -27,7 +28,7 @@ def page_throughput(events: DataFrame, width: str = "1 minute", delay: str = "10
     if pages.isStreaming:
         pages = pages.withWatermark("timestamp", delay)
     return pages.groupBy(F.window("timestamp", width), "job_id").agg(
-        F.count("*").alias("pages"), F.bround(F.avg("processing_time_ms"), 2).alias("mean_ms"),
+        F.count("*").alias("pages"), half_even(F.avg("processing_time_ms"), 2).alias("mean_ms"),
         F.sum("bubbles_detected").alias("bubbles")).select(
         F.col("window.start").alias("window_start"), "job_id", "pages", "mean_ms", "bubbles")
 
@@ -38,7 +39,7 @@ def resource_windows(snapshots: DataFrame, width: str = "30 minutes", slide: str
     if snapshots.isStreaming:
         snapshots = snapshots.withWatermark("ts", delay)
     return snapshots.groupBy(F.window("ts", width, slide), "host").agg(
-        F.bround(F.avg("cpu_percent"), 1).alias("avg_cpu"), F.bround(F.avg("ram_used_mb"), 1).alias("avg_ram_mb"),
+        half_even(F.avg("cpu_percent"), 1).alias("avg_cpu"), half_even(F.avg("ram_used_mb"), 1).alias("avg_ram_mb"),
         F.max("ram_used_mb").alias("max_ram_mb"), F.count("*").alias("samples")).select(
         F.col("window.end").alias("window_end"), "host", "avg_cpu", "avg_ram_mb", "max_ram_mb", "samples")
 
@@ -75,8 +76,7 @@ def upsert_job_state(store: CatalogStore, table: str = "job_state"):
     """Batch writer that keeps the latest event per job in a versioned table. A replayed
     batch gives the same rows, because the latest event wins either way."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        newest = J.live_job_state(batch).withColumn("event_id", F.lit(None).cast("long")) \
-            if "event_id" not in batch.columns else _latest_rows(batch)
+        newest = _latest_rows(batch)
         merged = store.load(table, like=newest).unionByName(newest)
         store.save(_latest_rows(merged), table)
 
