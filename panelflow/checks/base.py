@@ -124,11 +124,11 @@ def sql(body: str, *tables: str, extra: str = "") -> str:
 def rounded(expr: str, digits: int) -> str:
     """panelflow.functions.values.half_even in SQL."""
     p = f"{float(10 ** digits)}::DOUBLE"
-    x = "x.v"
+    x = "q__.v"
     head = f"({x} * 134217729.0::DOUBLE - ({x} * 134217729.0::DOUBLE - {x}))"
     rest = f"(({head} * {p} - {x} * {p}) + ({x} - {head}) * {p})"
     low, part = f"floor({x} * {p})", f"({x} * {p} - floor({x} * {p}))"
-    return (f"list_transform([{{'v': CAST({expr} AS DOUBLE)}}], lambda x: ({low} + CASE WHEN {part} > 0.5 OR ({part} = 0.5 AND "
+    return (f"list_transform([{{'v': CAST({expr} AS DOUBLE)}}], lambda q__: ({low} + CASE WHEN {part} > 0.5 OR ({part} = 0.5 AND "
             f"({rest} > 0 OR ({rest} = 0 AND {low} % 2 <> 0))) THEN 1 ELSE 0 END) / {p})[1]")
 
 
@@ -165,4 +165,5 @@ def ts(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
-NOW = ts(EPOCH)
+def now() -> Column:
+    return ts(EPOCH)

@@ -1 +1,274 @@
+"""Queries of imports and bulk catalog changes."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from panelflow.checks.base import flat, now, query, sql, ts
+from panelflow.functions import text as t
+from panelflow.operators import catalog as C
+
+# Names of the listing are <digits>_p<digits>.<ext>: natural order is order by the two numbers.
+NUMBERED = r"""numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CAST(regexp_extract(filename, '^(\d*)', 1) AS BIGINT),
+    CAST(regexp_extract(filename, '_p(\d+)', 1) AS BIGINT), lower(regexp_extract(filename, '(\.\w+)$', 1)), id) AS page_number FROM file_listing)"""
+
+
+@query(sql("SELECT source, id, filename, page_number FROM numbered", "file_listing", extra=NUMBERED))
+def number_pages(d):
+    return C.number_pages(d.file_listing).select("source", "id", "filename", "page_number")
+
+
+@query(sql("""SELECT l_orderkey AS chapter_id, l_linenumber, coalesce(last, 0) + row_number() OVER (PARTITION BY l_orderkey
+      ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS page_number, l_extendedprice AS price
+    FROM lineitem LEFT JOIN (SELECT chapter_id, max(page_number) AS last FROM page_rows WHERE is_translated GROUP BY 1) ON l_orderkey = chapter_id
+    WHERE l_linestatus = 'O'""", "page_rows"))
+def append_pages(d):
+    new = d.table("lineitem").filter("l_linestatus = 'O'").select(
+        F.col("l_orderkey").alias("chapter_id"), "l_linenumber", F.concat(F.lit("page_"), F.col("l_linenumber"), F.lit(".png")).alias("filename"),
+        F.struct("l_partkey", "l_quantity", "l_extendedprice").alias("id"), F.col("l_extendedprice").alias("price"))
+    return C.append_pages(d.pages.filter("is_translated"), new).select("chapter_id", "l_linenumber", "page_number", "price")
+
+
+UPLOADS = r"""uploads AS (SELECT *, CASE WHEN lower(regexp_extract(filename, '(\.\w+)$', 1)) NOT IN ('.png', '.jpg')
+      THEN 'Unsupported file type: ' || lower(regexp_extract(filename, '(\.\w+)$', 1))
+    WHEN size * 20000 > 52428800 THEN 'File too large: ' || printf('%.1f', size * 20000 / 1048576.0::DOUBLE) || ' MB. Max: 50 MB'
+    WHEN id * 50 > 10000 THEN 'Image dimensions too large' END AS error FROM file_listing)"""
+
+
+@query(sql("SELECT id, source, error, NOT bool_or(error IS NOT NULL) OVER (PARTITION BY source) AS accepted FROM uploads", "file_listing", extra=UPLOADS))
+def validate_uploads(d):
+    files = d.file_listing.withColumns({"size": F.col("size") * 20000, "width": F.col("id") * 50, "height": F.lit(10)})
+    return C.validate_uploads(files, "source").select("id", "source", "error", "accepted")
+
+
+FILES = NUMBERED + r""",
+imported AS (SELECT *, id % 7 <> 0 AS success, CASE WHEN id % 7 = 0 THEN 'bad ' || id END AS error,
+    CASE WHEN id % 3 = 0 THEN '' ELSE lower(regexp_extract(filename, '\.(\w+)$', 1)) END AS original_format FROM numbered)"""
+
+
+def _imported(d):
+    bad = F.col("id") % 7 == 0
+    return C.number_pages(d.file_listing).withColumns({
+        "success": ~bad, "error": F.when(bad, F.concat(F.lit("bad "), F.col("id").cast("string"))),
+        "original_format": F.when(F.col("id") % 3 == 0, "").otherwise(F.regexp_replace(t.extension(F.col("filename")), r"^\.", "")),
+        "width": F.col("id"), "height": F.col("id") + 1})
+
+
+@query(sql("""SELECT source, count(*) AS total_pages, count(*) FILTER (success) AS successful_pages, count(*) FILTER (NOT success) AS failed_pages,
+    CAST(sum(size) AS BIGINT) AS total_bytes, first(f) AS formats, coalesce(string_agg(error, ';' ORDER BY page_number) FILTER (NOT success), '') AS errors,
+    coalesce(string_agg(id::VARCHAR, ';' ORDER BY page_number) FILTER (success AND page_number <= 5), '') AS widths
+    FROM imported LEFT JOIN (SELECT source AS s, string_agg(k || '=' || n, ',' ORDER BY k) AS f FROM (SELECT source, CASE original_format WHEN '' THEN 'unknown'
+      ELSE original_format END AS k, count(*) AS n FROM imported GROUP BY ALL) GROUP BY 1) ON source = s GROUP BY source""", "file_listing", extra=FILES))
+def import_summary(d):
+    s = C.import_summary(_imported(d))
+    return s.select("source", "total_pages", "successful_pages", "failed_pages", "total_bytes", flat(F.col("formats")).alias("formats"),
+                    F.array_join("errors", ";").alias("errors"), F.coalesce(F.array_join("page_widths", ";"), F.lit("")).alias("widths"))
+
+
+@query(sql("""SELECT source, id, 'page' AS section FROM imported WHERE page_number <= 2
+    UNION ALL SELECT source, id, 'error' FROM imported WHERE NOT success QUALIFY row_number() OVER (PARTITION BY source ORDER BY page_number) <= 1""",
+           "file_listing", extra=FILES))
+def import_report(d):
+    return C.import_report(_imported(d), pages=2, errors=1).select("source", "id", "section")
+
+
+@query(sql("SELECT source, id FROM imported WHERE page_number <= 10 AND success", "file_listing", extra=FILES))
+def thumbnail_candidates(d):
+    return C.thumbnail_candidates(_imported(d)).select("source", "id")
+
+
+@query(sql("SELECT source AS project_id, CAST(sum(size) AS BIGINT) AS storage_bytes, count(*) AS file_count FROM file_listing GROUP BY 1", "file_listing"))
+def storage_usage(d):
+    files = d.file_listing.select(F.concat(F.lit("/data/"), "source", F.lit("/c1/"), "filename").alias("path"), F.col("size").alias("length"))
+    return C.storage_usage(files)
+
+
+IMPORTS = """imports AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'er#' || lpad((o_orderkey % 700)::VARCHAR, 9, '0')
+    WHEN 1 THEN 'CUSTOMER#00_' || lpad((o_orderkey % 70)::VARCHAR, 6, '0') WHEN 2 THEN 'new title ' || o_orderkey % 30 ELSE '%' END AS title FROM orders),
+matched AS (SELECT i.id, i.title, arg_min(p.id, (p.created_at, p.id)) AS project_id FROM
+    (SELECT min(id) AS any_id, title FROM imports GROUP BY title) u JOIN projects p ON p.title ILIKE '%' || u.title || '%' JOIN imports i ON i.title = u.title
+    GROUP BY ALL)"""
+
+
+def _imports(d):
+    k = F.col("o_orderkey")
+    title = (F.when(k % 4 == 0, F.concat(F.lit("er#"), F.lpad((k % 700).cast("string"), 9, "0")))
+             .when(k % 4 == 1, F.concat(F.lit("CUSTOMER#00_"), F.lpad((k % 70).cast("string"), 6, "0")))
+             .when(k % 4 == 2, F.concat(F.lit("new title "), (k % 30).cast("string"))).otherwise("%"))
+    return d.table("orders").select(k.alias("id"), title.alias("title"))
+
+
+@query(sql("SELECT id, title, coalesce(project_id, -1) AS project_id FROM imports LEFT JOIN matched USING (id, title)", "projects", extra=IMPORTS))
+def match_projects(d):
+    return C.match_projects(_imports(d), d.projects).fillna(-1, ["project_id"])
+
+
+@query(sql("""SELECT id, chapter_id, chapter_id IN (SELECT chapter_id FROM jobs WHERE status = 'processing') OR
+    id <> min(id) OVER (PARTITION BY chapter_id) AS conflict FROM (SELECT l_partkey * 1000000 + l_orderkey * 10 + l_linenumber AS id, l_orderkey AS chapter_id
+    FROM lineitem WHERE l_returnflag = 'A')""", "jobs"))
+def active_job_conflicts(d):
+    new = d.table("lineitem").filter("l_returnflag = 'A'").select(
+        (F.col("l_partkey") * 1000000 + F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("chapter_id"))
+    return C.active_job_conflicts(new, d.jobs)
+
+
+@query(sql("""SELECT id, project_id, chapter_number, (project_id, chapter_number) IN (SELECT (project_id, chapter_number) FROM chapters WHERE is_translated)
+    OR id <> min(id) OVER (PARTITION BY project_id, chapter_number) AS conflict FROM chapters WHERE NOT is_translated""", "chapters"))
+def chapter_conflicts(d):
+    new = d.chapters.filter("NOT is_translated").select("id", "project_id", "chapter_number")
+    return C.chapter_conflicts(new, d.chapters.filter("is_translated"))
+
+
+def _catalog(d):
+    return {"projects": d.projects, "chapters": d.chapters, "pages": d.pages, "jobs": d.jobs,
+            "bubbles": d.bubbles, "segments": d.bubbles.select("id", "page_id")}
+
+
+GONE = "gone AS (SELECT id FROM chapters WHERE project_id % 10 = 3 OR id % 50 = 1), gone_pages AS (SELECT id FROM page_rows WHERE chapter_id IN (SELECT id FROM gone))"
+
+
+@query(sql("""SELECT 'projects' AS name, id AS id, -1 AS chapter_id FROM projects WHERE id % 10 <> 3
+    UNION ALL SELECT 'chapters', id, -1 FROM chapters WHERE id NOT IN (SELECT id FROM gone)
+    UNION ALL SELECT 'pages', id, chapter_id FROM page_rows WHERE chapter_id NOT IN (SELECT id FROM gone)
+    UNION ALL SELECT 'bubbles', id, -1 FROM bubbles WHERE page_id NOT IN (SELECT id FROM gone_pages)
+    UNION ALL SELECT 'segments', id, -1 FROM bubbles WHERE page_id NOT IN (SELECT id FROM gone_pages)
+    UNION ALL SELECT 'jobs', id, CASE WHEN chapter_id IN (SELECT id FROM gone) THEN -1 ELSE chapter_id END FROM jobs""",
+           "projects", "chapters", "page_rows", "bubbles", "jobs", extra=GONE))
+def cascade_delete(d):
+    left = C.cascade_delete(_catalog(d), d.projects.filter("id % 10 = 3"), d.chapters.filter("id % 50 = 1"))
+    out = None
+    for name, df in left.items():
+        chapter = F.coalesce("chapter_id", F.lit(-1)) if name in ("pages", "jobs") else F.lit(-1)
+        rows = df.select(F.lit(name).alias("name"), F.col("id").cast("long").alias("id"), chapter.cast("long").alias("chapter_id"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(sql("""SELECT md5('copy:' || p.id || ':2024-01-01 00:00:00') AS project, p.title || ' (Copy)' AS title,
+    coalesce(md5('copy:' || c.id || ':2024-01-01 00:00:00'), '') AS chapter, coalesce(chapter_number, -1) AS chapter_number
+    FROM projects p LEFT JOIN chapters c ON project_id = p.id WHERE p.id % 20 = 0""", "projects", "chapters"))
+def duplicate_projects(d):
+    projects, chapters = C.duplicate_projects(_catalog(d), d.projects.filter("id % 20 = 0"), now())
+    ch = chapters.select(F.col("project_id").alias("pid"), F.col("id").alias("chapter"), "chapter_number")
+    return projects.join(ch, projects["id"] == ch["pid"], "left").select(
+        F.col("id").alias("project"), "title", F.coalesce("chapter", F.lit("")).alias("chapter"),
+        F.coalesce("chapter_number", F.lit(-1.0)).alias("chapter_number"))
+
+
+@query(sql("""SELECT id, CASE WHEN id % 3 = 0 THEN 'T' || id ELSE title END AS title, CASE WHEN id % 6 = 0 THEN NULL ELSE author END AS author,
+    CASE WHEN id % 3 = 0 THEN TIMESTAMP '2024-01-01' ELSE updated_at END AS updated_at FROM projects""", "projects"))
+def apply_updates(d):
+    updates = d.projects.filter("id % 3 = 0").select(
+        "id", F.concat(F.lit("T"), F.col("id").cast("string")).alias("title"), F.lit(None).cast("string").alias("author"),
+        F.when(F.col("id") % 6 == 0, F.array(F.lit("author"))).otherwise(F.array().cast("array<string>")).alias("cleared"))
+    return C.apply_updates(d.projects, updates, "id", now()).select("id", "title", "author", "updated_at")
+
+
+BATCH = """batch AS (SELECT page_id AS id, CASE page_id % 3 WHEN 0 THEN 'er#' || lpad((page_id)::VARCHAR, 9, '0') WHEN 1 THEN 'fresh ' || page_id % 6 ELSE 'fresh' END AS title FROM pages),
+first_match AS (SELECT b.id, arg_min(p.id, (p.created_at, p.id)) AS pid FROM batch b LEFT JOIN projects p ON p.title ILIKE '%' || b.title || '%' GROUP BY b.id),
+placed AS (SELECT b.id, b.title, CASE WHEN pid IS NOT NULL THEN pid::VARCHAR ELSE 'prj-' || (SELECT min(o.id) FROM batch o JOIN first_match m ON m.id = o.id
+    WHERE m.pid IS NULL AND contains(o.title, b.title)) END AS project_id FROM batch b JOIN first_match USING (id))"""
+
+
+def _batch(d):
+    k = F.col("page_id")
+    title = (F.when(k % 3 == 0, F.concat(F.lit("er#"), F.lpad(k.cast("string"), 9, "0")))
+             .when(k % 3 == 1, F.concat(F.lit("fresh "), (k % 6).cast("string"))).otherwise("fresh"))
+    imports = d.table("pages").select(
+        k.alias("id"), F.lit("(x).cbz").alias("filename"), title.alias("project_title"), F.lit(None).cast("double").alias("chapter_number"),
+        F.lit("someone").alias("author"), F.lit("ko").alias("source_language"), F.lit("en").alias("target_language"), ts("2024-02-01 00:00:00").alias("created_at"))
+    files = d.table("pages").select(k.alias("import_id"), F.explode(F.sequence(F.lit(1), (k % 3 + 1).cast("int"))).alias("page_number")).withColumns({
+        "success": F.col("page_number") != 2, "path": F.lit("p"), "width": F.lit(1), "height": F.lit(2)})
+    return imports, files
+
+
+def _upserted(d):
+    text_ids = {n: d_.withColumn("id", F.col("id").cast("string")) for n, d_ in (("projects", d.projects), ("chapters", d.chapters), ("pages", d.pages))}
+    text_ids["chapters"] = text_ids["chapters"].withColumn("project_id", F.col("project_id").cast("string"))
+    text_ids["pages"] = text_ids["pages"].withColumn("chapter_id", F.col("chapter_id").cast("string"))
+    return C.upsert_imports(text_ids, *_batch(d))
+
+
+@query(sql("""SELECT 'chp-' || id AS id, project_id, CAST(1 AS DOUBLE) AS chapter_number, '(x)' AS title,
+    CAST(CASE WHEN id % 3 = 2 THEN 2 ELSE 1 END AS INTEGER) AS page_count FROM placed""", "projects", extra=BATCH.replace(
+    "(p.created_at, p.id)", "(p.created_at, p.id::VARCHAR)")))
+def upsert_chapters(d):
+    return _upserted(d)["chapters"].filter("id LIKE 'chp-%'").select("id", "project_id", "chapter_number", "title", "page_count")
+
+
+@query(sql("SELECT project_id AS id, title, 'ko' AS source_language FROM placed WHERE project_id = 'prj-' || id", "projects", extra=BATCH))
+def upsert_projects(d):
+    return _upserted(d)["projects"].filter("id LIKE 'prj-%'").select("id", "title", "source_language")
+
+
+@query(sql("""SELECT count(*) AS pages, count(DISTINCT chapter_id) AS chapters FROM (SELECT 'chp-' || page_id AS chapter_id, unnest(range(1, page_id % 3 + 2)) AS n FROM pages)
+    WHERE n <> 2"""))
+def upsert_pages(d):
+    return _upserted(d)["pages"].filter("id LIKE 'pg-%'").agg(F.count("*").alias("pages"), F.countDistinct("chapter_id").alias("chapters"))
+
+
+# --- texts back onto bubbles ------------------------------------------------
+
+def _aligned(d):
+    """Bubbles by turn, at most four per page; one call per bubble, one translation per even call."""
+    calls = d.bubbles.select("page_id", F.col("reading_order").cast("int").alias("region_index"),
+                             F.when(F.col("id") % 7 == 0, "  ").otherwise(F.col("original_text")).alias("text"),
+                             (F.col("id") % 10 / 10).alias("confidence"), (F.col("id") % 3).cast("double").alias("rotation"))
+    bubbles = d.bubbles.filter("reading_order < 4").select(
+        "id", "page_id", F.col("reading_order").cast("int").alias("region_index"), F.lit("old").alias("original_text"),
+        F.lit("old").alias("translated_text"), F.lit(False).alias("is_translated"), F.lit(0.5).alias("confidence"), F.lit(9.0).alias("rotation"))
+    translations = calls.filter("region_index % 2 = 0").select("page_id", "region_index", F.lit("T").alias("translated_text"))
+    return bubbles, calls, translations
+
+
+@query(sql("""SELECT page_id, CAST(reading_order AS INTEGER) AS region_index, CASE WHEN reading_order < 4 THEN id ELSE -1 END AS bubble_id,
+    CASE WHEN reading_order % 2 = 0 THEN 'T' END AS translated_text FROM bubbles""", "bubbles"))
+def align_texts(d):
+    return C.align_texts(*_aligned(d)).select("page_id", "region_index", F.coalesce("bubble_id", F.lit(-1)).alias("bubble_id"), "translated_text")
+
+
+@query(sql("""SELECT 'seg-' || page_id || '-' || reading_order AS id, page_id + 1 AS job_id, page_id, CASE WHEN reading_order < 4 THEN id ELSE -1 END AS bubble_id,
+    original_text, CASE WHEN reading_order % 2 = 0 THEN 'T' ELSE '' END AS translated_text, id % 10 / 10 AS ocr_confidence,
+    CASE WHEN page_id % 2 = 0 THEN 'ja' ELSE 'ko' END AS source_language, 'en' AS target_language, 'completed' AS status FROM bubbles WHERE id % 7 <> 0""", "bubbles"))
+def build_segments(d):
+    segments, _ = C.build_segments(*_aligned(d), _job_pages(d))
+    return segments.withColumn("bubble_id", F.coalesce("bubble_id", F.lit(-1)))
+
+
+def _job_pages(d):
+    return d.bubbles.select("page_id").distinct().select(
+        "page_id", (F.col("page_id") + 1).alias("job_id"), F.when(F.col("page_id") % 2 == 0, "").otherwise("ko").alias("source_language"),
+        F.lit(None).cast("string").alias("target_language"))
+
+
+@query(sql("""SELECT id, CASE WHEN id % 7 = 0 THEN 'old' ELSE original_text END AS original_text,
+    CASE WHEN id % 7 = 0 THEN 'old' WHEN reading_order % 2 = 0 THEN 'T' ELSE '' END AS translated_text, id % 7 <> 0 AS is_translated,
+    CASE WHEN id % 7 = 0 THEN 0.5 ELSE id % 10 / 10 END AS confidence, CASE WHEN id % 3 = 0 THEN 9.0 ELSE id % 3 END::DOUBLE AS rotation
+    FROM bubbles WHERE reading_order < 4""", "bubbles"))
+def update_bubbles(d):
+    _, bubbles = C.build_segments(*_aligned(d), _job_pages(d))
+    return bubbles.select("id", "original_text", "translated_text", "is_translated", "confidence", "rotation")
+
+
+@query(sql("""SELECT id, author AS tag, CAST(id % 5 AS VARCHAR) AS meta, CASE WHEN id % 2 = 0 THEN 1.0 ELSE 40.0 END::DOUBLE AS first_x,
+    CASE WHEN id % 2 = 0 THEN 1 ELSE 4 END AS vertices FROM projects""", "projects"))
+def decode_json(d):
+    rows = d.projects.select(
+        "id", F.to_json(F.array("author")).alias("tags"), F.to_json(F.create_map(F.lit("k"), (F.col("id") % 5).cast("string"))).alias("metadata_json"),
+        F.when(F.col("id") % 2 == 0, "[[1,2]]").alias("polygon_json"), F.lit(40.0).alias("x"), F.lit(2.0).alias("y"),
+        F.lit(3.0).alias("width"), F.lit(4.0).alias("height"))
+    out = C.decode_json_columns(rows)
+    return out.select("id", F.col("tags")[0].alias("tag"), F.col("metadata_json")["k"].alias("meta"),
+                      F.col("polygon")[0]["x"].alias("first_x"), F.size("polygon").alias("vertices"))
+
+
+@query(sql("SELECT engine, page_id, x, confidence, CASE WHEN engine <> 'sam2' THEN bubble_type END AS bubble_type FROM raw_regions", "raw_regions"))
+def union_engines(d):
+    parts = {e: d.raw_regions.filter(F.col("engine") == e).drop("engine") for e in ("yolo", "groundingdino", "sam2")}
+    parts["sam2"] = parts["sam2"].drop("bubble_type")
+    return C.union_engine_outputs(parts).select("engine", "page_id", "x", "confidence", "bubble_type")
+
+
+@query(sql("SELECT id, nullif(regexp_extract(filename, '\\.(\\w+)$', 1), '') AS fmt FROM (SELECT id, lower(filename) AS filename FROM file_listing)", "file_listing"))
+def import_metadata(d):
+    return C.import_metadata(d.file_listing).select("id", F.col("original_format").alias("fmt"))

@@ -14,15 +14,19 @@ def half_even(c: Column, digits: int) -> Column:
     of ten is split into its rounded value and the exact remainder.
     """
     p = float(10 ** digits)
-    x = c.cast("double")
-    wide = x * 134217729.0
-    head = wide - (wide - x)
-    product = x * p
-    rest = (head * p - product) + (x - head) * p
-    low = F.floor(product)
-    part = product - low
-    up = (part > 0.5) | ((part == 0.5) & ((rest > 0) | ((rest == 0) & (low % 2 != 0))))
-    return (low + F.when(up, 1).otherwise(0)) / p
+
+    def nearest(x: Column) -> Column:
+        wide = x * 134217729.0
+        head = wide - (wide - x)
+        product = x * p
+        rest = (head * p - product) + (x - head) * p
+        low = F.floor(product)
+        part = product - low
+        up = (part > 0.5) | ((part == 0.5) & ((rest > 0) | ((rest == 0) & (low % 2 != 0))))
+        return (low + F.when(up, 1).otherwise(0)) / p
+
+    # One-element array: the value is computed once and the generated code stays small.
+    return F.transform(F.array(c.cast("double")), nearest)[0]
 
 
 def percent(part: Column, whole: Column, digits: int | None = 1) -> Column:
