@@ -132,6 +132,10 @@ def rounded(expr: str, digits: int) -> str:
             f"({rest} > 0 OR ({rest} = 0 AND {low} % 2 <> 0))) THEN 1 ELSE 0 END) / {p})[1]")
 
 
+def mean_sql(column: str, digits: int) -> str:
+    return rounded(f"sum(CAST({column} AS DECIMAL(30, 12)))::DOUBLE / count({column})", digits)
+
+
 def percent_sql(part: str, whole: str, digits: int = 1) -> str:
     return f"CASE WHEN {whole} > 0 THEN {rounded(f'CAST({part} AS DOUBLE) / {whole} * 100', digits)} ELSE 0.0 END"
 

@@ -8,9 +8,9 @@ from panelflow.checks.base import flat, now, query, sql, ts
 from panelflow.functions import text as t
 from panelflow.operators import catalog as C
 
-# Names of the listing are <digits>_p<digits>.<ext>: natural order is order by the two numbers.
-NUMBERED = r"""numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CAST(regexp_extract(filename, '^(\d*)', 1) AS BIGINT),
-    CAST(regexp_extract(filename, '_p(\d+)', 1) AS BIGINT), lower(regexp_extract(filename, '(\.\w+)$', 1)), id) AS page_number FROM file_listing)"""
+NUMBERED = r"""numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY
+    list_transform(regexp_extract_all(filename, '[^0-9]+[0-9]*|[0-9]+'), lambda r: {'t': lower(regexp_extract(r, '^[^0-9]*')),
+      'n': coalesce(TRY_CAST(regexp_extract(r, '[0-9]+$') AS BIGINT), -1)}), filename, id) AS page_number FROM file_listing)"""
 
 
 @query(sql("SELECT source, id, filename, page_number FROM numbered", "file_listing", extra=NUMBERED))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelflow import schema
-from panelflow.checks.base import flat, percent_sql, query, rounded, sql, ts
+from panelflow.checks.base import flat, mean_sql, percent_sql, query, rounded, sql, ts
 from panelflow.operators import metrics as M
 from panelflow.operators import reports as R
 
@@ -243,12 +243,11 @@ def memory_heavy_requests(d):
     return M.memory_heavy_requests(d.request_log).select("id", "memory_delta_mb")
 
 
-@query(sql(f"""SELECT host, round(avg(cpu_percent), 0) AS avg_cpu, round(avg(ram_used_mb), 0) AS avg_ram_mb, {rounded('max(ram_used_mb)', 1)} AS max_ram_mb,
+@query(sql(f"""SELECT host, {mean_sql('cpu_percent', 1)} AS avg_cpu, {mean_sql('ram_used_mb', 1)} AS avg_ram_mb, {rounded('max(ram_used_mb)', 1)} AS max_ram_mb,
     count(*) AS samples, CAST({rounded('(epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0::DOUBLE', 0)} AS BIGINT) AS span_seconds,
     arg_max(cpu_percent, ts) AS current_cpu, arg_max(ram_used_mb, ts) AS current_ram_mb FROM snapshots GROUP BY host""", "snapshots"))
 def resource_summary(d):
-    s = M.resource_summary(d.snapshots, ["host"])
-    return s.withColumns({"avg_cpu": F.round("avg_cpu", 0), "avg_ram_mb": F.round("avg_ram_mb", 0)})
+    return M.resource_summary(d.snapshots, ["host"])
 
 
 @query(sql("""SELECT host, id, ts FROM (SELECT * FROM snapshots QUALIFY row_number() OVER (PARTITION BY host ORDER BY ts DESC, id DESC) <= 360)

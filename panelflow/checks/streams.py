@@ -1 +1,179 @@
+"""Streaming queries, run over what is there and compared with their batch meaning.
 
+Each run gets new folders in the shared checkpoint folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from panelflow.checks.base import mean_sql, now, query, sql
+from panelflow.checks.jobs import ACTION_LOG, LATEST, _actions, _start
+from panelflow.checks.translation import REQUESTS, _segments_sql, batch_provider
+from panelflow.domain import events_to_progress
+from panelflow.session import scratch_path
+from panelflow.sources.tables import CatalogStore
+from panelflow.streaming import events as S
+from panelflow.streaming.translate import translate_batches
+
+
+def _events(d):
+    return events_to_progress(S.stream_table(d.spark, d.folder, "events"))
+
+
+def _appended(d, df, label):
+    """Run an append-mode stream into a new folder and read the result."""
+    root = scratch_path(d.spark, label)
+    S.run_available(df, f"{root}/out", f"{root}/checkpoint")
+    return d.spark.read.schema(df.schema).parquet(f"{root}/out")
+
+
+@query(sql("SELECT event_id, job_id, type FROM progress_events WHERE job_id = 3", "progress_events"))
+def stream_job_room(d):
+    return _appended(d, S.job_room(_events(d), 3), "room").select("event_id", "job_id", "type")
+
+
+@query(sql("SELECT event_id, job_id, type FROM progress_events", "progress_events"))
+def stream_bounded_events(d):
+    """Every event arrives twice and leaves once."""
+    twice = _events(d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    return _appended(d, S.bounded(twice), "bounded").select("event_id", "job_id", "type")
+
+
+@query(sql("SELECT job_id, type, CASE WHEN status = 'failed' THEN 'error' ELSE status END AS status, progress, timestamp FROM latest",
+           "progress_events", extra=LATEST))
+def stream_job_state(d):
+    root = scratch_path(d.spark, "state")
+    store = CatalogStore(d.spark, root)
+    S.run_batches(_events(d), S.upsert_job_state(store), f"{root}/checkpoint")
+    return d.spark.read.parquet(store.current("job_state")).select("job_id", "type", "status", "progress", "timestamp")
+
+
+@query(sql("SELECT event_id, job_id, type FROM progress_events ORDER BY timestamp DESC, event_id DESC LIMIT 100", "progress_events"))
+def stream_last_events(d):
+    root = scratch_path(d.spark, "last")
+    store = CatalogStore(d.spark, root)
+    S.run_batches(_events(d), S.keep_last_events(store), f"{root}/checkpoint")
+    return d.spark.read.parquet(store.current("last_events")).select("event_id", "job_id", "type")
+
+
+CLOSED = "(SELECT max(timestamp) - INTERVAL 10 MINUTE FROM progress_events WHERE type = 'page_processed')"
+MINUTES = f"""minutes AS (SELECT date_trunc('minute', timestamp) AS window_start, job_id, count(*) AS pages, {mean_sql('processing_time_ms', 2)} AS mean_ms,
+    CAST(sum(bubbles_detected) AS BIGINT) AS bubbles FROM progress_events WHERE type = 'page_processed' GROUP BY ALL)"""
+
+
+@query(sql("SELECT * FROM minutes", "progress_events", extra=MINUTES))
+def page_throughput(d):
+    return S.page_throughput(d.progress_events)
+
+
+@query(sql(f"SELECT * FROM minutes WHERE window_start + INTERVAL 1 MINUTE <= {CLOSED}", "progress_events", extra=MINUTES))
+def stream_page_throughput(d):
+    """Windows the watermark has closed."""
+    return _appended(d, S.page_throughput(_events(d)), "throughput")
+
+
+WINDOWS = f"""windows AS (SELECT window_end, host, {mean_sql('cpu_percent', 1)} AS avg_cpu, {mean_sql('ram_used_mb', 1)} AS avg_ram_mb, max(ram_used_mb) AS max_ram_mb, count(*) AS samples FROM
+    (SELECT *, unnest(range(1, 7)) AS k, time_bucket(INTERVAL 5 MINUTE, ts) + to_minutes(CAST(5 * unnest(range(1, 7)) AS INTEGER)) AS window_end FROM snapshots) GROUP BY ALL)"""
+
+
+@query(sql("SELECT * FROM windows", "snapshots", extra=WINDOWS))
+def resource_windows(d):
+    return S.resource_windows(d.snapshots.withColumn("ts", F.col("ts").cast("timestamp")), "30 minutes", "5 minutes")
+
+
+SPANS = """gaps AS (SELECT *, timestamp - lag(timestamp) OVER (PARTITION BY job_id ORDER BY timestamp) AS gap FROM progress_events),
+spans AS (SELECT job_id, min(timestamp) AS start, max(timestamp) + INTERVAL 10 MINUTE AS idle_since, count(*) AS events FROM
+    (SELECT *, sum(CASE WHEN gap IS NULL OR gap > INTERVAL 10 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS n
+     FROM gaps) GROUP BY job_id, n)"""
+
+
+@query(sql("SELECT * FROM spans WHERE idle_since <= (SELECT max(timestamp) - INTERVAL 10 MINUTE FROM progress_events)", "progress_events", extra=SPANS))
+def stream_activity_spans(d):
+    return _appended(d, S.activity_spans(_events(d), "10 minutes"), "spans")
+
+
+@query(sql("SELECT job_id, action_id, action, status_before, accepted, status_after FROM verdicts", extra=ACTION_LOG))
+def stream_transitions(d):
+    root = scratch_path(d.spark, "transitions")
+    store = CatalogStore(d.spark, root)
+    store.save(_start(d), "job_status")
+
+    class Streamed:
+        """The events as a stream, for the action projection."""
+        table = staticmethod(lambda name: S.stream_table(d.spark, d.folder, name))
+
+    S.run_batches(_actions(Streamed), S.validate_transitions(store), f"{root}/checkpoint")
+    return d.spark.read.parquet(f"{root}/action_log").select(
+        "job_id", "action_id", "action", "status_before", "accepted", "status_after")
+
+
+@query(sql(_segments_sql(), "segments", "memory", extra=REQUESTS))
+def stream_translation(d):
+    root = scratch_path(d.spark, "translate")
+    store = CatalogStore(d.spark, root)
+    store.save(d.memory, "memory")
+    new = S.stream_table(d.spark, d.folder, "documents").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("original_text"), F.col("lang").alias("source_language"), F.lit("en").alias("target_language"))
+    S.run_batches(new, translate_batches(store, batch_provider(), now()), f"{root}/checkpoint")
+    return d.spark.read.parquet(f"{root}/translated").select("id", "translated_text", "confidence", "engine", "from_memory")
+
+
+@query(sql("SELECT event_id, job_id FROM progress_events", "progress_events"))
+def stream_resumed(d):
+    """The same stream started twice with one checkpoint: the second start adds nothing."""
+    root = scratch_path(d.spark, "resume")
+    for _ in range(2):
+        S.run_resumable(_events(d).select("event_id", "job_id"), f"{root}/out", f"{root}/checkpoint")
+    return d.spark.read.parquet(f"{root}/out")
+
+
+@query(sql("SELECT 'job_progress' AS type, job_id::VARCHAR AS job_id, progress FROM progress_events WHERE type = 'job_progress'", "progress_events"))
+def read_progress_events(d):
+    """Events written as JSON lines, with keep-alive and broken lines between, read back as a stream."""
+    from panelflow.sources.events import read_progress_events as read
+    root = scratch_path(d.spark, "json")
+    wanted = d.progress_events.filter("type = 'job_progress'")
+    line = F.to_json(F.struct("type", F.col("job_id").cast("string").alias("job_id"), "progress", "timestamp"))
+    noise = wanted.select(F.when(F.col("event_id") % 2 == 0, '{"type": "heartbeat"}').otherwise("{broken").alias("value"))
+    wanted.select(line.alias("value")).unionByName(noise).write.text(f"{root}/in")
+    S.run_available(read(d.spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint")
+    return d.spark.read.parquet(f"{root}/out").select("type", "job_id", "progress")
+
+
+@query(sql("SELECT id, title FROM projects WHERE id % 2 = 0", "projects"))
+def catalog_store(d):
+    """Save, overwrite from itself, load."""
+    store = CatalogStore(d.spark, scratch_path(d.spark, "catalog"))
+    store.save(d.projects, "kept")
+    store.save(d.spark.read.parquet(store.current("kept")).filter("id % 2 = 0"), "kept")
+    return d.spark.read.parquet(store.current("kept")).select("id", "title")
+
+
+@query(sql(r"""SELECT n::INTEGER AS page_number, 'page_' || n || '.png' AS filename, page_id AS archive, strlen(html)::BIGINT + n AS size, n <> 3 AS success
+    FROM (SELECT page_id, html, unnest([1, 2, 3]) AS n FROM pages)"""))
+def explode_archives(d):
+    """Archives built from the pages table by Spark tasks, then exploded; the third entry is over the limit."""
+    from panelflow.sources.files import explode_archives as explode
+
+    def pack(batches):
+        import io
+        import zipfile
+
+        import pandas as pd
+        for batch in batches:
+            rows = []
+            for page_id, html in zip(batch["page_id"], batch["html"]):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    for n in (3, 1, 2):
+                        z.writestr(f"d/page_{n}.png", html.encode() + b"x" * (n if n < 3 else 200003))
+                    z.writestr("notes.txt", "no image")
+                rows.append((f"{page_id}.cbz", out.getvalue()))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    archives = d.table("pages").select("page_id", "html").mapInPandas(pack, "path string, content binary")
+    out = explode(archives, max_entry=200000)
+    size = F.when(F.col("success"), F.octet_length("content").cast("long")).otherwise(F.col("size") - 200000)
+    return out.select("page_number", "filename", F.regexp_extract("archive_path", r"^(\d+)", 1).cast("long").alias("archive"),
+                      size.alias("size"), "success")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelflow import schema
-from panelflow.checks.base import STRIP, query, quoted, rounded, sql
+from panelflow.checks.base import STRIP, mean_sql, query, quoted, sql
 from panelflow.functions import text as t
 from panelflow.functions import values as v
 from panelflow.operators import ocr as O
@@ -211,7 +211,7 @@ def best_ocr(d):
 
 
 @query(sql(f"""SELECT page_id, -1 AS region_index, string_agg(text, chr(10) ORDER BY y, x, engine, text, rotation) AS text,
-    {rounded("sum(CAST(confidence AS DECIMAL(20, 12)))::DOUBLE / count(*)", 4)} AS confidence, first(rotation ORDER BY y, x, engine, text, rotation) AS rotation,
+    {mean_sql("confidence", 4)} AS confidence, first(rotation ORDER BY y, x, engine, text, rotation) AS rotation,
     least(count(*), 100) AS region_count FROM best GROUP BY page_id""", "ocr_regions", extra=BEST))
 def call_text(d):
     return O.call_text(O.best_ocr(d.ocr_regions))

@@ -29,6 +29,11 @@ def half_even(c: Column, digits: int) -> Column:
     return F.transform(F.array(c.cast("double")), nearest)[0]
 
 
+def mean(c: Column) -> Column:
+    """Average summed as decimals, so it does not depend on the order in which tasks finish."""
+    return F.avg(c.cast("decimal(30,12)"))
+
+
 def percent(part: Column, whole: Column, digits: int | None = 1) -> Column:
     """part/whole*100, half-even rounded; 0 when the whole is 0 or null."""
     share = F.when(whole > 0, part / whole * 100).otherwise(F.lit(0.0))

@@ -158,8 +158,9 @@ def earliest_containing(patterns: DataFrame, titles: DataFrame) -> DataFrame:
     wanted = index.join(sized_broadcast(plain.select("run")), "run", "left_semi")
     found = plain.join(wanted.groupBy("run").agg(F.min("pick").alias("pick")), "run").select("p", "pick")
     wild = p.filter((F.col("n") > 0) & (F.col("p") != F.col("run")))
-    test = F.col("title").like(F.concat(F.lit("%"), F.replace("p", F.lit("\\"), F.lit("\\\\")), F.lit("%")))
-    tested = wild.join(index.distinct(), "run").filter(test).groupBy("p").agg(F.min("pick").alias("pick"))
+    test = F.like("title", F.concat(F.lit("%"), F.replace("p", F.lit("\\"), F.lit("\\\\")), F.lit("%")))
+    near = index.join(sized_broadcast(wild.select("run").distinct()), "run", "left_semi").distinct()
+    tested = wild.join(near, "run").filter(test).groupBy("p").agg(F.min("pick").alias("pick"))
     # Only wildcards: the number of _ is the least title length.
     bare = p.filter(F.col("n") == 0).select("p", F.length(F.replace("p", F.lit("%"), F.lit(""))).alias("least"))
     by_length = tt.groupBy(F.length("title").alias("len")).agg(F.min("pick").alias("pick"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelflow import schema
 from panelflow.operators.skew import first_rows
-from panelflow.functions.values import half_even
+from panelflow.functions.values import half_even, mean
 
 
 def slow_requests(requests: DataFrame, ms: float = 1000.0) -> DataFrame:
@@ -29,7 +29,7 @@ def resource_summary(snapshots: DataFrame, by: list[str] | None = None) -> DataF
     span = half_even(F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 1e6, 0).cast("long")
     latest = F.struct("ts", "id")
     return snapshots.groupBy(*(by or [])).agg(
-        half_even(F.avg("cpu_percent"), 1).alias("avg_cpu"), half_even(F.avg("ram_used_mb"), 1).alias("avg_ram_mb"),
+        half_even(mean(F.col("cpu_percent")), 1).alias("avg_cpu"), half_even(mean(F.col("ram_used_mb")), 1).alias("avg_ram_mb"),
         half_even(F.max("ram_used_mb"), 1).alias("max_ram_mb"), F.count("*").alias("samples"),
         span.alias("span_seconds"),
         F.max_by("cpu_percent", latest).alias("current_cpu"), F.max_by("ram_used_mb", latest).alias("current_ram_mb"))

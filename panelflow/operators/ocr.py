@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelflow import schema
 from panelflow.functions import geometry as g
 from panelflow.functions import text as t
-from panelflow.functions.values import clamp_confidence, half_even
+from panelflow.functions.values import clamp_confidence, half_even, mean
 from panelflow.operators.greedy import FOLD_ROWS, greedy
 from panelflow.operators.regions import rank_of
 from panelflow.operators.skew import first_rows
@@ -53,14 +53,13 @@ def call_text(best: DataFrame) -> DataFrame:
     """Joined text of each call in page order, mean confidence, first rotation, kept results.
 
     The text is the result of the call, so it is built whole; everything else
-    is a plain aggregate. The mean is summed as a decimal, so it does not
-    depend on the order in which tasks finish.
+    is a plain aggregate.
     """
     order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(page_position())], F.col("engine"), F.col("text"),
                      F.col("rotation"))
     return best.groupBy(*CALL).agg(
         F.sort_array(F.collect_list(order)).alias("parts"),
-        half_even(F.avg(F.col("confidence").cast("decimal(20,12)")), 4).alias("confidence"),
+        half_even(mean(F.col("confidence")), 4).alias("confidence"),
         F.least(F.count("*"), F.lit(schema.MAX_OCR_REGIONS_PER_CALL)).alias("region_count"),
     ).select(
         *CALL, t.strip(F.array_join(F.transform("parts", lambda p: p["text"]), "\n")).alias("text"),

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from panelflow.operators import jobs as J
 from panelflow.sources.tables import CatalogStore
-from panelflow.functions.values import half_even
+from panelflow.functions.values import half_even, mean
 
 
 def bounded(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -28,7 +28,7 @@ def page_throughput(events: DataFrame, width: str = "1 minute", delay: str = "10
     if pages.isStreaming:
         pages = pages.withWatermark("timestamp", delay)
     return pages.groupBy(F.window("timestamp", width), "job_id").agg(
-        F.count("*").alias("pages"), half_even(F.avg("processing_time_ms"), 2).alias("mean_ms"),
+        F.count("*").alias("pages"), half_even(mean(F.col("processing_time_ms")), 2).alias("mean_ms"),
         F.sum("bubbles_detected").alias("bubbles")).select(
         F.col("window.start").alias("window_start"), "job_id", "pages", "mean_ms", "bubbles")
 
@@ -39,7 +39,7 @@ def resource_windows(snapshots: DataFrame, width: str = "30 minutes", slide: str
     if snapshots.isStreaming:
         snapshots = snapshots.withWatermark("ts", delay)
     return snapshots.groupBy(F.window("ts", width, slide), "host").agg(
-        half_even(F.avg("cpu_percent"), 1).alias("avg_cpu"), half_even(F.avg("ram_used_mb"), 1).alias("avg_ram_mb"),
+        half_even(mean(F.col("cpu_percent")), 1).alias("avg_cpu"), half_even(mean(F.col("ram_used_mb")), 1).alias("avg_ram_mb"),
         F.max("ram_used_mb").alias("max_ram_mb"), F.count("*").alias("samples")).select(
         F.col("window.end").alias("window_end"), "host", "avg_cpu", "avg_ram_mb", "max_ram_mb", "samples")
 
