@@ -133,7 +133,8 @@ def rounded(expr: str, digits: int) -> str:
 
 
 def mean_sql(column: str, digits: int) -> str:
-    return rounded(f"sum(CAST({column} AS DECIMAL(30, 12)))::DOUBLE / count({column})", digits)
+    """Rounded mean of values with at most four digits, from exact integers."""
+    return rounded(f"sum(CAST(round({column} * 10000) AS BIGINT))::DOUBLE / (10000 * count({column}))", digits)
 
 
 def percent_sql(part: str, whole: str, digits: int = 1) -> str:
