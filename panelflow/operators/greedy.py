@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.operators.skew import BROADCAST_ROWS, first_rows, salted_lookup, sized_broadcast, split_hot
+from panelflow.operators.skew import first_rows, salted_lookup, split_hot
 from panelflow.session import cut
 
 FOLD_ROWS = 1000
@@ -109,12 +109,7 @@ def _rounds(rest, keys, empty, drops, takes, permanent, fold_rows) -> DataFrame:
 
 
 def _unsettled(rest, state, keys, drops, takes, permanent) -> DataFrame:
-    size = state.agg(F.sum(F.size("__acc"))).first()[0] or 0
-    if size <= BROADCAST_ROWS:
-        seen = rest.join(F.broadcast(state), keys, "left")
-    else:
-        seen = salted_lookup(rest, state, keys)
-    seen = seen.filter(F.col("__row") > F.col("__last"))
+    seen = salted_lookup(rest, state, keys).filter(F.col("__row") > F.col("__last"))
     row = F.col("__row")
     if takes is None:
         return cut(seen.filter(~F.exists("__acc", lambda k: drops(k, row))).select(*keys, "__row"))
@@ -127,6 +122,6 @@ def _unsettled(rest, state, keys, drops, takes, permanent) -> DataFrame:
     ).filter("__fate != 'settled'"))
     turning = seen.filter("__fate = 'takes'").groupBy(*keys).agg(F.min("__row").alias("__next"))
     waiting = seen.filter("__fate = 'waits'")
-    marked = waiting.join(sized_broadcast(turning), keys, "left")
+    marked = salted_lookup(waiting, turning, keys)
     still = marked.filter(F.col("__next").isNotNull() & (F.col("__row") > F.col("__next")))
     return cut(seen.filter("__fate != 'waits'").select(*keys, "__row").unionByName(still.select(*keys, "__row")))

@@ -161,7 +161,7 @@ def merge_regions(regions: DataFrame, iou: float = 0.5, partial: float = 0.7,
         never=(F.col("w") <= 0) | (F.col("h") <= 0), permanent=lambda k: k["has_mask"], fold_rows=fold_rows)
 
 
-def reading_order(regions: DataFrame, column_tolerance: float | None = None) -> DataFrame:
+def reading_order(regions: DataFrame, column_tolerance: float | None = None, **kw) -> DataFrame:
     """0-based order per page: right to left by box centre, then top to bottom.
 
     ``column_tolerance`` groups centres into columns of that width first.
@@ -170,7 +170,7 @@ def reading_order(regions: DataFrame, column_tolerance: float | None = None) ->
     if column_tolerance:
         centre = F.floor(centre / column_tolerance)
     ties = [F.col(c) for c in ("x", "w", "h", "confidence", "engine") if c in regions.columns]
-    out = numbered(regions, ["page_id"], [centre.desc(), F.col("y"), *ties], "__n")
+    out = numbered(regions, ["page_id"], [centre.desc(), F.col("y"), *ties], "__n", **kw)
     return out.withColumn("reading_order", F.col("__n") - 1).drop("__n")
 
 
@@ -185,7 +185,8 @@ def detect_regions(raw: DataFrame, fallback: DataFrame | None = None, min_conf:
     kept = filter_regions(raw, min_conf, types)
     if fallback is not None:
         kept = with_fallback(kept, fallback)
-    ordered = reading_order(merge_regions(kept, fold_rows=fold_rows))
+    # A page's merged regions fit one accepted list, so the order needs no second count.
+    ordered = reading_order(merge_regions(kept, fold_rows=fold_rows), hot_rows=None)
     return ordered.filter(F.col("reading_order") < schema.MAX_REGIONS_PER_PAGE)
 
 

@@ -21,8 +21,7 @@ SALTS = 32
 def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
     """Keys holding more than ``limit`` rows, or None when there are none."""
     heavy = df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
-    heavy = cut(heavy)
-    return None if heavy.isEmpty() else heavy
+    return None if heavy.isEmpty() else cut(heavy)
 
 
 def split_hot(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
@@ -54,16 +53,18 @@ def running(
     keys: list[str],
     order: list[Column],
     totals: dict[str, Column],
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
     pieces: int | None = None,
 ) -> DataFrame:
     """Running sums per key in the given order, current row included.
 
+    ``hot_rows=None`` skips the count, for rows whose keys are known to be bounded.
+
     ``row number`` is the running sum of 1. Hot keys are range-split on the
     order, summed per piece, and each piece continues from the sum of the
     pieces before it; only per-piece sums ever meet in one group.
     """
-    normal, hot = split_hot(df, keys, hot_rows)
+    normal, hot = (df, None) if hot_rows is None else split_hot(df, keys, hot_rows)
     window = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     out = normal.select("*", *[F.sum(c).over(window).alias(n) for n, c in totals.items()])
     if hot is None:

@@ -185,11 +185,12 @@ def compute_missing(keys: DataFrame, memory: DataFrame, now: Column,
                     compute: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Values of all keys and the newly computed rows: live memory first, ``compute`` for the rest.
 
-    The computed rows are written out once, so a provider is not called again
-    by the second reader.
+    The looked-up keys and the computed rows are each written out once: the
+    lookup has two readers, and a provider must not be called again by a second one.
     """
-    fresh = cut(compute(memory_misses(keys, memory, now)))
-    known = keys.join(live_memory(memory, now), "key").select(
+    planned = cut(memory_hits(keys, memory, now))
+    fresh = cut(compute(planned.filter("NOT hit").select(*keys.columns)))
+    known = planned.filter("hit").select(
         *keys.columns, "translated_text", F.lit(0.95).alias("confidence"), "engine", F.lit(True).alias("from_memory"))
     return known.unionByName(fresh.withColumn("from_memory", F.lit(False))), fresh
 
@@ -202,13 +203,10 @@ def translate_segments(segments: DataFrame, memory: DataFrame, provider: Provide
     Equal requests are asked once; only requests without a live memory entry
     reach the provider; fallbacks are returned but not remembered.
     """
-    requests = distinct_requests(segments).drop("n")
-
     def ask(misses: DataFrame) -> DataFrame:
-        asked = cut(misses)
-        return resolve_translations(asked, run_provider(asked, provider, parallelism), priority, reject_echo)
+        return resolve_translations(misses, run_provider(misses, provider, parallelism), priority, reject_echo)
 
-    answers, fresh = compute_missing(requests, memory, now, ask)
+    answers, fresh = compute_missing(distinct_requests(segments).drop("n"), memory, now, ask)
     out = translation_keys(segments).join(
         answers.select("key", "translated_text", "confidence", "engine", "from_memory"), "key", "left")
     out = out.withColumns({
