@@ -54,11 +54,12 @@ def script_language(c: Column) -> Column:
         )
         for lang, rx in SCRIPTS.items()
     ])
-    best = F.array_max(hits)
+    scripted = c.rlike("|".join(SCRIPTS.values()))
     return (
         F.when(~has_text(c), "unknown")
         .when(c.rlike(KANA), "ja")
-        .when(best["n"] > 0, best["lang"])
+        # Counting is left to texts that have something to count.
+        .when(scripted, F.array_max(hits)["lang"])
         .when(c.rlike(LETTER_BEYOND_LATIN), "unknown")
         .otherwise("en")
     )

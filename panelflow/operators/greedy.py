@@ -62,17 +62,13 @@ def greedy(
 
     ``keys`` must not be null. ``order`` are ascending sort columns (negate for descending). ``drops(k, r)``
     and ``takes(k, r)`` test accepted row k against new row r. ``never`` marks
-    rows that cannot collide with anything; they are kept without a fold.
+    rows that cannot collide with anything; in hot groups they are kept without a fold.
     ``permanent(k)`` says that an accepted row can no longer be taken over.
     """
     payload = [c for c in df.columns if c not in keys]
-    kept_aside = None
-    if never is not None:
-        kept_aside = df.filter(F.coalesce(never, F.lit(False)))
-        df = df.filter(~F.coalesce(never, F.lit(False)))
     rows = df.select(*keys, F.struct(
         *[c.alias(f"__o{i}") for i, c in enumerate(order)], *payload
-    ).alias("__row"))
+    ).alias("__row"), (F.lit(False) if never is None else F.coalesce(never, F.lit(False))).alias("__never"))
     normal, hot = split_hot(rows, keys, fold_rows)
     empty = F.array().cast(f"array<{rows.schema['__row'].dataType.simpleString()}>")
     accepted = (
@@ -80,13 +76,15 @@ def greedy(
         .select(*keys, F.explode(_fold(empty, F.col("__rows"), drops, takes)).alias("__row"))
     )
     if hot is not None:
-        accepted = accepted.unionByName(_rounds(hot, keys, empty, drops, takes, permanent, fold_rows))
-    out = accepted.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in payload]).select(*df.columns)
-    return out if kept_aside is None else out.unionByName(kept_aside)
+        folded = _rounds(hot.filter("NOT __never").drop("__never"), keys, empty, drops, takes, permanent, fold_rows)
+        aside = hot.filter("__never").drop("__never")
+        accepted = accepted.unionByName(folded).unionByName(aside)
+    return accepted.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in payload]).select(*df.columns)
 
 
 def _rounds(rest, keys, empty, drops, takes, permanent, fold_rows) -> DataFrame:
     state = None
+    none = rest.limit(0)
     rest = cut(rest)
     while not rest.isEmpty():
         head = (
@@ -105,7 +103,7 @@ def _rounds(rest, keys, empty, drops, takes, permanent, fold_rows) -> DataFrame:
                 .otherwise(_fold(F.col("__acc"), F.col("__rows"), drops, takes)).alias("__acc"),
                 F.coalesce(F.array_max("__rows"), F.col("__last")).alias("__last")))
         rest = _unsettled(rest, state, keys, drops, takes, permanent)
-    return state.select(*keys, F.explode("__acc").alias("__row"))
+    return none if state is None else state.select(*keys, F.explode("__acc").alias("__row"))
 
 
 def _unsettled(rest, state, keys, drops, takes, permanent) -> DataFrame:

@@ -45,9 +45,13 @@ def _fit(length: Column, inner_w: Column, inner_h: Column, low: Column, high: Co
 
 def vertical_fit(bubbles: DataFrame, text: str = "translated_text") -> DataFrame:
     """Font size and columns of vertical text in each styled bubble (see ``with_style``)."""
+    drawn = bubbles.filter(has_text(F.col(text)) & (F.col("width") > 0) & (F.col("height") > 0))
+    # Computed before the size search, which would repeat them for every size.
     w, h = F.col("width").cast("int"), F.col("height").cast("int")
-    length = F.char_length(strip(F.col(text)))
-    pad = F.greatest(F.lit(2), F.floor(w * F.col("padding_ratio")).cast("int"))
+    drawn = drawn.withColumns({
+        "__w": w, "__h": h, "__len": F.char_length(strip(F.col(text))),
+        "__pad": F.greatest(F.lit(2), F.floor(w * F.col("padding_ratio")).cast("int"))})
+    w, h, length, pad = (F.col(c) for c in ("__w", "__h", "__len", "__pad"))
     room_w, room_h = w - pad * 2, h - pad * 2
     wide = (room_w > 0) & (room_h > 0)
     again = (w - 4 > 0) & (h - 4 > 0)
@@ -55,8 +59,7 @@ def vertical_fit(bubbles: DataFrame, text: str = "translated_text") -> DataFrame
         F.when(wide, _fit(length, room_w, room_h, F.col("font_size_min"), F.col("font_size_max")))
         .when(again, _fit(length, w - 4, h - 4, F.lit(8), F.col("font_size_min")))
         .otherwise(F.struct(F.lit(8).alias("font_size"), F.lit(0).alias("columns"), F.lit(True).alias("overflow"))))
-    drawn = bubbles.filter(has_text(F.col(text)) & (F.col("width") > 0) & (F.col("height") > 0))
-    return drawn.withColumn("__fit", fit).select("*", "__fit.*").drop("__fit")
+    return drawn.withColumn("__fit", fit).select("*", "__fit.*").drop("__fit", "__w", "__h", "__len", "__pad")
 
 
 def typeset_stats(styled: DataFrame) -> DataFrame:
