@@ -28,7 +28,7 @@ folded AS (SELECT page_id, list_reduce(rows, lambda acc, r:
   WHEN {IOU.replace("k.", "list_filter(acc, lambda k: " + HIT + ")[1].")} > 0.5 THEN acc
   ELSE list_transform(acc, lambda k, i: CASE WHEN i = list_position(list_transform(acc, lambda k: {HIT}), true) THEN r ELSE k END) END,
   CAST([] AS {ROW}[])) AS acc FROM lists),
-merged AS (SELECT page_id, unnest(acc, recursive := true) FROM folded)"""
+merged AS (SELECT page_id, pos, unnest(acc[pos:pos], recursive := true) FROM (SELECT *, unnest(range(1, len(acc) + 1)) AS pos FROM folded))"""
 
 
 @query(sql("SELECT page_id, engine, confidence, x, y, w, h, bubble_type, has_mask, time_ms FROM raw_regions "
@@ -45,7 +45,7 @@ def merge_regions(d):
 
 @query(sql("""
     SELECT page_id, engine, confidence, x, y, w, h, bubble_type, has_mask, time_ms,
-      row_number() OVER (PARTITION BY page_id ORDER BY x + w / 2 DESC, y, x, w, h, confidence, engine) - 1 AS reading_order
+      row_number() OVER (PARTITION BY page_id ORDER BY x + w / 2 DESC, y, pos) - 1 AS reading_order
     FROM merged QUALIFY reading_order < 200""", "raw_regions", extra=MERGED))
 def ordered_regions(d):
     """Filter, merge, reading order and cap: the flagship."""
@@ -53,14 +53,14 @@ def ordered_regions(d):
 
 
 @query(sql("""
-    SELECT page_id, x, y, w, h, row_number() OVER (PARTITION BY page_id ORDER BY x + w / 2 DESC, y, x, w, h, confidence, engine) - 1
+    SELECT page_id, x, y, w, h, row_number() OVER (PARTITION BY page_id ORDER BY x + w / 2 DESC, y, confidence DESC, CASE engine WHEN 'yolo' THEN 1 WHEN 'groundingdino' THEN 2 ELSE 3 END, x, w, h) - 1
       AS reading_order FROM raw_regions""", "raw_regions"))
 def reading_order(d):
     return R.reading_order(d.raw_regions).select("page_id", "x", "y", "w", "h", "reading_order")
 
 
 @query(sql("""
-    SELECT page_id, x, y, w, h, row_number() OVER (PARTITION BY page_id ORDER BY floor((x + w / 2) / 100) DESC, y, x, w, h, confidence, engine) - 1
+    SELECT page_id, x, y, w, h, row_number() OVER (PARTITION BY page_id ORDER BY floor((x + w / 2) / 100) DESC, y, confidence DESC, CASE engine WHEN 'yolo' THEN 1 WHEN 'groundingdino' THEN 2 ELSE 3 END, x, w, h) - 1
       AS reading_order FROM raw_regions""", "raw_regions"))
 def reading_order_by_column(d):
     return R.reading_order(d.raw_regions, column_tolerance=100).select("page_id", "x", "y", "w", "h", "reading_order")

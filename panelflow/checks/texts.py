@@ -210,15 +210,15 @@ def best_ocr(d):
     return O.best_ocr(d.ocr_regions)
 
 
-@query(sql(f"""SELECT page_id, -1 AS region_index, string_agg(text, chr(10) ORDER BY y, x, engine, text, rotation) AS text,
-    {mean_sql("confidence", 4)} AS confidence, first(rotation ORDER BY y, x, engine, text, rotation) AS rotation,
+@query(sql(f"""SELECT page_id, -1 AS region_index, string_agg(text, chr(10) ORDER BY y, x, confidence DESC, CASE engine WHEN 'paddleocr' THEN 1 WHEN 'easyocr' THEN 2 ELSE 3 END, text, rotation) AS text,
+    {mean_sql("confidence", 4)} AS confidence, first(rotation ORDER BY y, x, confidence DESC, CASE engine WHEN 'paddleocr' THEN 1 WHEN 'easyocr' THEN 2 ELSE 3 END, text, rotation) AS rotation,
     least(count(*), 100) AS region_count FROM best GROUP BY page_id""", "ocr_regions", extra=BEST))
 def call_text(d):
     return O.call_text(O.best_ocr(d.ocr_regions))
 
 
 @query(sql("""SELECT page_id, -1 AS region_index, text, x, y FROM best
-    QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY y, x, engine, text) <= 2""", "ocr_regions", extra=BEST))
+    QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY y, x, confidence DESC, CASE engine WHEN 'paddleocr' THEN 1 WHEN 'easyocr' THEN 2 ELSE 3 END, text) <= 2""", "ocr_regions", extra=BEST))
 def cap_ocr_results(d):
     return O.cap_results(O.best_ocr(d.ocr_regions), 2).select("page_id", "region_index", "text", "x", "y")
 

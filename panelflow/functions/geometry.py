@@ -66,11 +66,13 @@ def rotation(poly: Column) -> Column:
 
 
 def _shared(a: Column, b: Column) -> tuple[Column, Column]:
-    """Width and height of the common part of two boxes (may be negative)."""
-    return (
-        F.least(a["x"] + a["w"], b["x"] + b["w"]) - F.greatest(a["x"], b["x"]),
-        F.least(a["y"] + a["h"], b["y"] + b["h"]) - F.greatest(a["y"], b["y"]),
-    )
+    """Width and height of the common part of two boxes (may be negative, null for a missing box)."""
+    def along(start: str, length: str) -> Column:
+        # least and greatest skip nulls, so a missing side must be ruled out first.
+        known = (a[start] + a[length] + b[start] + b[length]).isNotNull()
+        return F.when(known, F.least(a[start] + a[length], b[start] + b[length]) - F.greatest(a[start], b[start]))
+
+    return along("x", "w"), along("y", "h")
 
 
 def iou(a: Column, b: Column) -> Column:

@@ -57,8 +57,9 @@ def greedy(
     never: Column | None = None,
     permanent: Callable[[Column], Column] | None = None,
     fold_rows: int = FOLD_ROWS,
+    position: str | None = None,
 ) -> DataFrame:
-    """Rows of ``df`` that stay accepted.
+    """Rows of ``df`` that stay accepted, with their place in the accepted list as column ``position`` if named.
 
     ``keys`` must not be null. ``order`` are ascending sort columns (negate for descending). ``drops(k, r)``
     and ``takes(k, r)`` test accepted row k against new row r. ``never`` marks
@@ -73,18 +74,20 @@ def greedy(
     empty = F.array().cast(f"array<{rows.schema['__row'].dataType.simpleString()}>")
     accepted = (
         normal.groupBy(*keys).agg(F.sort_array(F.collect_list("__row")).alias("__rows"))
-        .select(*keys, F.explode(_fold(empty, F.col("__rows"), drops, takes)).alias("__row"))
+        .select(*keys, F.posexplode(_fold(empty, F.col("__rows"), drops, takes)).alias("__pos", "__row"))
     )
     if hot is not None:
         folded = _rounds(hot.filter("NOT __never").drop("__never"), keys, empty, drops, takes, permanent, fold_rows)
-        aside = hot.filter("__never").drop("__never")
+        aside = hot.filter("__never").select(*keys, F.lit(None).cast("int").alias("__pos"), "__row")
         accepted = accepted.unionByName(folded).unionByName(aside)
-    return accepted.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in payload]).select(*df.columns)
+    place = [F.col("__pos").alias(position)] if position else []
+    return accepted.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in payload], *place).select(
+        *df.columns, *([position] if position else []))
 
 
 def _rounds(rest, keys, empty, drops, takes, permanent, fold_rows) -> DataFrame:
     state = None
-    none = rest.limit(0)
+    none = rest.limit(0).select(*keys, F.lit(None).cast("int").alias("__pos"), "__row")
     rest = cut(rest)
     while not rest.isEmpty():
         head = (
@@ -103,7 +106,7 @@ def _rounds(rest, keys, empty, drops, takes, permanent, fold_rows) -> DataFrame:
                 .otherwise(_fold(F.col("__acc"), F.col("__rows"), drops, takes)).alias("__acc"),
                 F.coalesce(F.array_max("__rows"), F.col("__last")).alias("__last")))
         rest = _unsettled(rest, state, keys, drops, takes, permanent)
-    return none if state is None else state.select(*keys, F.explode("__acc").alias("__row"))
+    return none if state is None else state.select(*keys, F.posexplode("__acc").alias("__pos", "__row"))
 
 
 def _unsettled(rest, state, keys, drops, takes, permanent) -> DataFrame:

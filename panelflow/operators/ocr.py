@@ -24,9 +24,11 @@ def normalize_confidence(df: DataFrame) -> DataFrame:
     return kept.withColumns({"text": t.strip(F.col("text")), "confidence": clamp_confidence(share)}).drop("conf")
 
 
-def page_position() -> list[Column]:
-    """Sort columns top to bottom, then left to right; a missing box counts as (0, 0)."""
-    return [F.coalesce("y", F.lit(0.0)), F.coalesce("x", F.lit(0.0))]
+def page_position(priority: list[str] | None = None) -> list[Column]:
+    """Sort columns top to bottom, then left to right, a missing box counting as (0, 0);
+    ties go by confidence, engine and text."""
+    return [F.coalesce("y", F.lit(0.0)), F.coalesce("x", F.lit(0.0)), -F.col("confidence"),
+            rank_of("engine", priority or schema.OCR_PRIORITY), F.col("text")]
 
 
 def best_ocr(ocr: DataFrame, overlap: float = 0.5, priority: list[str] | None = None,
@@ -46,7 +48,7 @@ def best_ocr(ocr: DataFrame, overlap: float = 0.5, priority: list[str] | None =
 
 
 def cap_results(best: DataFrame, n: int = schema.MAX_OCR_REGIONS_PER_CALL) -> DataFrame:
-    return first_rows(best, CALL, [*page_position(), F.col("engine"), F.col("text")], n)
+    return first_rows(best, CALL, page_position(), n)
 
 
 def call_text(best: DataFrame) -> DataFrame:
@@ -55,8 +57,7 @@ def call_text(best: DataFrame) -> DataFrame:
     The text is the result of the call, so it is built whole; everything else
     is a plain aggregate.
     """
-    order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(page_position())], F.col("engine"), F.col("text"),
-                     F.col("rotation"))
+    order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(page_position()[:-1])], "text", "rotation")
     return best.groupBy(*CALL).agg(
         F.sort_array(F.collect_list(order)).alias("parts"),
         half_even(mean(F.col("confidence")), 4).alias("confidence"),

@@ -140,7 +140,8 @@ def refine_candidates(boxes: DataFrame, masks: DataFrame, min_score: float = 0.5
 
 
 def merge_regions(regions: DataFrame, iou: float = 0.5, partial: float = 0.7,
-                  priority: list[str] | None = None, fold_rows: int = FOLD_ROWS) -> DataFrame:
+                  priority: list[str] | None = None, fold_rows: int = FOLD_ROWS,
+                  position: str | None = None) -> DataFrame:
     """Merge overlapping detections per page.
 
     Most confident first; a region overlapping an accepted one by more than
@@ -158,20 +159,23 @@ def merge_regions(regions: DataFrame, iou: float = 0.5, partial: float = 0.7,
     return greedy(
         regions, ["page_id"], order,
         drops=lambda k, r: g.iou(k, r) > iou, takes=takes,
-        never=(F.col("w") <= 0) | (F.col("h") <= 0), permanent=lambda k: k["has_mask"], fold_rows=fold_rows)
+        never=(F.col("w") <= 0) | (F.col("h") <= 0), permanent=lambda k: k["has_mask"], fold_rows=fold_rows,
+        position=position)
 
 
 def reading_order(regions: DataFrame, column_tolerance: float | None = None, **kw) -> DataFrame:
     """0-based order per page: right to left by box centre, then top to bottom.
 
-    ``column_tolerance`` groups centres into columns of that width first.
+    ``column_tolerance`` groups centres into columns of that width first. Exact ties keep the
+    order of the merged list (column ``merge_rank``, dropped here), else the surer region comes first.
     """
     centre = F.col("x") + F.col("w") / 2
     if column_tolerance:
         centre = F.floor(centre / column_tolerance)
-    ties = [F.col(c) for c in ("x", "w", "h", "confidence", "engine") if c in regions.columns]
+    ties = [F.col("merge_rank")] if "merge_rank" in regions.columns else []
+    ties += [-F.col("confidence"), rank_of("engine", schema.DETECTOR_PRIORITY), *[F.col(c) for c in ("x", "w", "h")]]
     out = numbered(regions, ["page_id"], [centre.desc(), F.col("y"), *ties], "__n", **kw)
-    return out.withColumn("reading_order", F.col("__n") - 1).drop("__n")
+    return out.withColumn("reading_order", F.col("__n") - 1).drop("__n", "merge_rank")
 
 
 def cap_per_group(df: DataFrame, keys: list[str], order: list[Column],
@@ -186,7 +190,8 @@ def detect_regions(raw: DataFrame, fallback: DataFrame | None = None, min_conf:
     if fallback is not None:
         kept = with_fallback(kept, fallback)
     # A page's merged regions fit one accepted list, so the order needs no second count.
-    ordered = reading_order(merge_regions(kept, fold_rows=fold_rows), hot_rows=None)
+    merged = merge_regions(kept, fold_rows=fold_rows, position="merge_rank")
+    ordered = reading_order(merged, hot_rows=None)
     return ordered.filter(F.col("reading_order") < schema.MAX_REGIONS_PER_PAGE)
 
 

@@ -38,8 +38,10 @@ def localize_corpus(raw: DataFrame, pages: DataFrame, ocr: Callable[[DataFrame],
     pages: page_id, job_id, source_language, target_language, context. ``ocr`` turns ordered
     regions (page_id, region_index, box) into engine results per call.
     """
-    merged = R.reading_order(R.merge_regions(
-        R.with_fallback(R.filter_regions(raw), fallback) if fallback is not None else R.filter_regions(raw)), hot_rows=None)
+    kept = R.filter_regions(raw)
+    if fallback is not None:
+        kept = R.with_fallback(kept, fallback)
+    merged = R.reading_order(R.merge_regions(kept, position="merge_rank"), hot_rows=None)
     # Read by OCR, bubbles and page status: written once.
     regions = cut(merged.withColumn("region_index", F.col("reading_order").cast("int")))
     calls = cut(O.call_text(O.best_ocr(ocr(regions))))

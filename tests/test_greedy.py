@@ -143,9 +143,10 @@ def test_best_ocr_hot_call(spark, fold_rows):
 
 
 def test_ocr_without_box_is_kept(spark):
-    rows = [(1, None, "easyocr", 0.9, None, None, None, None, "a", "unknown", 0.0), (1, None, "easyocr", 0.8, None, None, None, None, "b", "japan", 0.0)]
+    rows = [(1, None, "easyocr", 0.9, None, None, None, None, "a", "unknown", 0.0), (1, None, "easyocr", 0.8, None, None, None, None, "b", "japan", 0.0),
+            (2, 4, "easyocr", 0.7, 0.0, 0.0, 9.0, 9.0, "boxed", "en", 0.0), (2, 4, "easyocr", 0.9, None, None, None, None, "free", "en", 0.0)]
     df = spark.createDataFrame(rows, "page_id long, region_index int, engine string, confidence double, x double, y double, w double, h double, "
                                      "text string, language string, rotation double")
     best = O.best_ocr(df)
-    assert sorted((r["text"], r["language"]) for r in best.collect()) == [("a", "en"), ("b", "en")]
-    assert O.call_text(best).first()["text"] == "a\nb"
+    assert sorted((r["text"], r["language"]) for r in best.collect()) == [("a", "en"), ("b", "en"), ("boxed", "en"), ("free", "en")]
+    assert {r["page_id"]: r["text"] for r in O.call_text(best).collect()} == {1: "a\nb", 2: "free\nboxed"}
