@@ -167,13 +167,13 @@ def explode_archives(d):
                 out = io.BytesIO()
                 with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
                     for n in (3, 1, 2):
-                        z.writestr(f"d/page_{n}.png", html.encode() + b"x" * (n if n < 3 else 200003))
+                        z.writestr(f"d/page_{n}.png", html.encode() + b"x" * (n if n < 3 else 80003))
                     z.writestr("notes.txt", "no image")
                 rows.append((f"{page_id}.cbz", out.getvalue()))
             yield pd.DataFrame(rows, columns=["path", "content"])
 
     archives = d.table("pages").select("page_id", "html").mapInPandas(pack, "path string, content binary")
-    out = explode(archives, max_entry=200000)
-    size = F.when(F.col("success"), F.octet_length("content").cast("long")).otherwise(F.col("size") - 200000)
+    out = explode(archives, max_entry=80000)
+    size = F.when(F.col("success"), F.octet_length("content").cast("long")).otherwise(F.col("size") - 80000)
     return out.select("page_number", "filename", F.regexp_extract("archive_path", r"^(\d+)", 1).cast("long").alias("archive"),
                       size.alias("size"), "success")

@@ -20,8 +20,17 @@ def polygon_from_bbox(x: Column, y: Column, w: Column, h: Column) -> Column:
     return F.array(point(x, y), point(x + w, y), point(x + w, y + h), point(x, y + h))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, wherever the optimizer moves it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def bbox_from_polygon(poly: Column) -> Column:
     """Struct x, y, w, h; an empty polygon gives zeros."""
+    return _once(poly, _bbox)
+
+
+def _bbox(poly: Column) -> Column:
     xs, ys = F.transform(poly, lambda p: p["x"]), F.transform(poly, lambda p: p["y"])
     x, y = F.array_min(xs), F.array_min(ys)
 
@@ -32,20 +41,31 @@ def bbox_from_polygon(poly: Column) -> Column:
 
 
 def _edges(poly: Column, measure) -> Column:
-    """Sum of a measure over the closed polygon's edges."""
-    following = F.concat(F.slice(poly, 2, F.greatest(F.size(poly) - 1, F.lit(0))), F.slice(poly, 1, 1))
-    return F.aggregate(F.zip_with(poly, following, measure), F.lit(0.0), lambda acc, v: acc + v)
+    """Sum of a measure over the closed polygon's edges, in one pass with the point before."""
+    first, last = F.try_element_at(poly, F.lit(1)), F.try_element_at(poly, F.lit(-1))
+    start = F.struct(first["x"].alias("x"), first["y"].alias("y"), F.lit(0.0).alias("sum"))
+    walked = F.aggregate(
+        F.slice(poly, 2, F.greatest(F.size(poly) - 1, F.lit(0))), start,
+        lambda a, p: F.struct(p["x"].alias("x"), p["y"].alias("y"), (a["sum"] + measure(a, p)).alias("sum")),
+        lambda a: a["sum"])
+    return walked + measure(last, first)
 
 
 def polygon_area(poly: Column) -> Column:
-    cross = _edges(poly, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
-    return F.when(F.size(poly) >= 3, F.abs(cross) / 2.0).otherwise(F.lit(0.0))
+    def area(p: Column) -> Column:
+        cross = _edges(p, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+        return F.when(F.size(p) >= 3, F.abs(cross) / 2.0).otherwise(F.lit(0.0))
+
+    return _once(poly, area)
 
 
 def polygon_perimeter(poly: Column) -> Column:
-    length = _edges(poly, lambda a, b: F.sqrt(
-        (b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"])))
-    return F.when(F.size(poly) >= 2, length).otherwise(F.lit(0.0))
+    def length(p: Column) -> Column:
+        total = _edges(p, lambda a, b: F.sqrt(
+            (b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"])))
+        return F.when(F.size(p) >= 2, total).otherwise(F.lit(0.0))
+
+    return _once(poly, length)
 
 
 def roundness(area: Column, perimeter: Column) -> Column:

@@ -91,19 +91,25 @@ def filter_regions(df: DataFrame, min_conf: float = 0.3, types: list[str] | None
     return df.filter(keep)
 
 
+def _within(value: Column, low, high) -> Column:
+    """low <= value <= high with the value computed once, also after the optimizer has
+    moved the filter below the projection that made it."""
+    return F.exists(F.array(value), lambda v: v.between(low, high))
+
+
 def filter_mask_regions(df: DataFrame) -> DataFrame:
     """Plausible mask regions: 3 or more vertices, 0.2-40 % of the page, not too thin."""
     ratio = _area_ratio()
     aspect = F.try_divide(F.col("w"), F.col("h"))
     shaped = (F.col("w") <= 0) | (F.col("h") <= 0) | aspect.between(0.15, 6.0)
-    return df.filter((F.size("polygon") >= 3) & ratio.between(0.002, 0.40) & shaped)
+    return df.filter((F.size("polygon") >= 3) & shaped & _within(ratio, 0.002, 0.40))
 
 
 def filter_contour_regions(df: DataFrame) -> DataFrame:
     """Plausible contour regions, with the confidence derived from their size."""
     page = F.col("page_width") * F.col("page_height")
     aspect = F.when(F.col("h") > 0, F.col("w") / F.col("h")).otherwise(F.lit(0.0))
-    kept = df.filter(F.col("area").between(page * 0.002, page * 0.35) & aspect.between(0.2, 8.0))
+    kept = df.filter(aspect.between(0.2, 8.0) & _within(F.col("area"), page * 0.002, page * 0.35))
     return kept.withColumn("confidence", half_even(F.least(F.lit(1.0), F.col("area") / (page * 0.05)), 4))
 
 

@@ -82,15 +82,25 @@ def _entries(path: str, content: bytes, max_entry: int) -> Iterator[tuple]:
                 yield path, number, entry, base, 0, "", None, False, f"Failed to extract {entry}: {str(e)[:100]}"
 
 
-def explode_archives(binary_df: DataFrame, max_entry: int = schema.MAX_PAGE_BYTES) -> DataFrame:
-    """One row per image entry of each archive, numbered in natural order; entries leave one by one."""
+def explode_archives(binary_df: DataFrame, max_entry: int = schema.MAX_PAGE_BYTES,
+                     batch_bytes: int = 16 * 2**20, batch_rows: int = 256) -> DataFrame:
+    """One row per image entry of each archive, numbered in natural order. Entries leave in small batches."""
     columns = [c.split()[0] for c in ENTRY.split(", ")]
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({"page_number": "Int32", "size": "Int64"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 for row in _entries(path, content, max_entry):
-                    out = pd.DataFrame([row], columns=columns)
-                    yield out.astype({"page_number": "Int32", "size": "Int64"})
+                    rows.append(row)
+                    held += len(row[6] or b"")
+                    if held >= batch_bytes or len(rows) >= batch_rows:
+                        yield frame(rows)
+                        rows, held = [], 0
+        if rows:
+            yield frame(rows)
 
     return binary_df.select("path", "content").mapInPandas(run, ENTRY)
