@@ -9,6 +9,7 @@ from panelflow.checks.base import STRIP, mean_sql, query, quoted, sql
 from panelflow.functions import text as t
 from panelflow.functions import values as v
 from panelflow.operators import ocr as O
+from panelflow.session import cut
 
 SAMPLES = ["かな", "漢字", "한국어", "中한", "한中", "مرحبا", "สวัสดี", "Привет", "", "ệ", "λόγος", "  x  "]
 SAMPLE_SQL = "['" + "', '".join(SAMPLES) + "']"
@@ -214,7 +215,7 @@ def best_ocr(d):
     {mean_sql("confidence", 4)} AS confidence, first(rotation ORDER BY y, x, confidence DESC, CASE engine WHEN 'paddleocr' THEN 1 WHEN 'easyocr' THEN 2 ELSE 3 END, text, rotation) AS rotation,
     least(count(*), 100) AS region_count FROM best GROUP BY page_id""", "ocr_regions", extra=BEST))
 def call_text(d):
-    return O.call_text(O.best_ocr(d.ocr_regions))
+    return O.call_text(cut(O.best_ocr(d.ocr_regions)))
 
 
 @query(sql("""SELECT page_id, -1 AS region_index, text, x, y FROM best

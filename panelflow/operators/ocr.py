@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from panelflow import schema
 from panelflow.functions import geometry as g
 from panelflow.functions import text as t
-from panelflow.functions.values import clamp_confidence, half_even, mean
+from panelflow.functions.values import clamp_confidence, half_even
 from panelflow.operators.greedy import FOLD_ROWS, greedy
 from panelflow.operators.regions import rank_of
-from panelflow.operators.skew import first_rows
+from panelflow.operators.skew import first_rows, numbered
 
 WHOLE_PAGE = -1
+PART_ROWS = 10_000
 CALL = ["page_id", "region_index"]
 
 
@@ -51,20 +52,27 @@ def cap_results(best: DataFrame, n: int = schema.MAX_OCR_REGIONS_PER_CALL) -> Da
     return first_rows(best, CALL, page_position(), n)
 
 
-def call_text(best: DataFrame) -> DataFrame:
+def call_text(best: DataFrame, part_rows: int = PART_ROWS, **kw) -> DataFrame:
     """Joined text of each call in page order, mean confidence, first rotation, kept results.
 
-    The text is the result of the call, so it is built whole; everything else
-    is a plain aggregate.
+    Texts are put in order and joined in parts of ``part_rows``, so a call with
+    very many results is sorted and joined by many tasks; only its finished
+    parts meet. The keyword arguments go to ``numbered``.
     """
-    order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(page_position()[:-1])], "text", "rotation")
-    return best.groupBy(*CALL).agg(
-        F.sort_array(F.collect_list(order)).alias("parts"),
-        half_even(mean(F.col("confidence")), 4).alias("confidence"),
-        F.least(F.count("*"), F.lit(schema.MAX_OCR_REGIONS_PER_CALL)).alias("region_count"),
+    rows = numbered(best, CALL, [*page_position(), F.col("rotation")], "__n", **kw)
+    parts = rows.groupBy(*CALL, F.floor((F.col("__n") - 1) / part_rows).alias("__part")).agg(
+        F.sort_array(F.collect_list(F.struct("__n", "text"))).alias("__texts"),
+        F.sum(F.col("confidence").cast("decimal(30,12)")).alias("__sum"), F.count("*").alias("__rows"),
+        F.min_by("rotation", "__n").alias("rotation")
+    ).withColumn("__text", F.array_join(F.transform("__texts", lambda p: p["text"]), "\n"))
+    return parts.groupBy(*CALL).agg(
+        F.sort_array(F.collect_list(F.struct("__part", "__text"))).alias("__texts"),
+        half_even(F.sum("__sum").cast("double") / F.sum("__rows"), 4).alias("confidence"),
+        F.min_by("rotation", "__part").alias("rotation"),
+        F.least(F.sum("__rows"), F.lit(schema.MAX_OCR_REGIONS_PER_CALL)).alias("region_count"),
     ).select(
-        *CALL, t.strip(F.array_join(F.transform("parts", lambda p: p["text"]), "\n")).alias("text"),
-        "confidence", F.element_at("parts", 1)["rotation"].alias("rotation"), "region_count")
+        *CALL, t.strip(F.array_join(F.transform("__texts", lambda p: p["__text"]), "\n")).alias("text"),
+        "confidence", "rotation", "region_count")
 
 
 def best_engine(ocr: DataFrame, priority: list[str] | None = None) -> DataFrame:

@@ -44,7 +44,7 @@ def localize_corpus(raw: DataFrame, pages: DataFrame, ocr: Callable[[DataFrame],
     merged = R.reading_order(R.merge_regions(kept, position="merge_rank"), hot_rows=None)
     # Read by OCR, bubbles and page status: written once.
     regions = cut(merged.withColumn("region_index", F.col("reading_order").cast("int")))
-    calls = cut(O.call_text(O.best_ocr(ocr(regions))))
+    calls = cut(O.call_text(cut(O.best_ocr(ocr(regions)))))
     bubbles = regions.filter(F.col("region_index") < schema.MAX_REGIONS_PER_PAGE).select(
         F.concat_ws("-", F.lit("bub"), F.col("page_id").cast("string"), F.col("region_index").cast("string")).alias("id"),
         "page_id", "region_index", "bubble_type", "x", "y", "w", "h", "confidence",

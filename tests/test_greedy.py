@@ -150,3 +150,13 @@ def test_ocr_without_box_is_kept(spark):
     best = O.best_ocr(df)
     assert sorted((r["text"], r["language"]) for r in best.collect()) == [("a", "en"), ("b", "en"), ("boxed", "en"), ("free", "en")]
     assert {r["page_id"]: r["text"] for r in O.call_text(best).collect()} == {1: "a\nb", 2: "free\nboxed"}
+
+
+def test_text_of_a_call_with_many_results(spark):
+    rows = [(1, -1, "easyocr", i / 1000, None, None, f"t{i:04d}", float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, region_index int, engine string, confidence double, x double, y double, text string, rotation double")
+    whole = O.call_text(df, hot_rows=None).first()
+    parts = O.call_text(df, part_rows=7, hot_rows=50, pieces=5).first()
+    assert whole == parts
+    assert whole["text"] == "\n".join(f"t{i:04d}" for i in reversed(range(200))) and whole["rotation"] == 199.0
+    assert whole["region_count"] == 100 and whole["confidence"] == 0.0995
