@@ -141,6 +141,12 @@ def percent_sql(part: str, whole: str, digits: int = 1) -> str:
     return f"CASE WHEN {whole} > 0 THEN {rounded(f'CAST({part} AS DOUBLE) / {whole} * 100', digits)} ELSE 0.0 END"
 
 
+def _plain_times(df: DataFrame) -> DataFrame:
+    """Timestamps without zone, so that a result reads the same in every client time zone."""
+    zoned = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp"]
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in zoned}) if zoned else df
+
+
 def query(statement: str | None = None):
     """Register ``fn(domain)`` under its own name, with SQL when the result has a SQL twin."""
     def add(fn: Callable[[Domain], DataFrame]):
@@ -149,7 +155,7 @@ def query(statement: str | None = None):
             raise ValueError(f"query {name} is registered twice")
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(Domain(tune(spark), folder))
+            return _plain_times(fn(Domain(tune(spark), folder)))
 
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run

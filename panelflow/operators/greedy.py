@@ -1,47 +1,71 @@
-"""Greedy acceptance in confidence order, per group.
+"""Greedy acceptance of boxes in confidence order, per group.
 
 Rows of a group are visited in a total order. Each row looks for the first
 accepted row it collides with. A plain collision drops the row; a takeover
 collision puts the row in that place; no collision appends it.
 
 Groups up to ``fold_rows`` rows are one sorted array and one fold. Larger
-groups are worked off in rounds and stay exact:
-
-* the first ``fold_rows`` remaining rows of each group (cut on the map side)
-  are folded onto the accepted list so far;
-* every later row looks at that list. A row whose first collision is a plain
-  one is settled as dropped if the accepted row can never be taken over, or if
-  the row comes before the next row that would take any place over;
+groups are never collected. Their rows are numbered in order, and then worked
+off in rounds that stay exact:
+
+* the first ``head_rows`` remaining rows of each group (cut on the map side)
+  are played onto the accepted list so far;
+* all later rows are tested against that list, in chunks spread over tasks. A
+  row whose first collision is a plain one is settled as dropped if that place
+  can not be taken over any more, or not before the row: the place's next
+  possible taker, among the remaining rows, comes later;
 * the rest goes to the next round.
 
-Copies and near-copies, which make a group hot, go in the first round.
+Copies and near-copies, which make a group hot, go in the first rounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.operators.skew import first_rows, salted_lookup, split_hot
+from panelflow.functions import geometry as g
+from panelflow.operators.skew import first_rows, numbered, salted_lookup, split_hot
 from panelflow.session import cut
 
 FOLD_ROWS = 1000
-Test = Callable[[Column, Column], Column]
+HEAD_ROWS = 20_000
+CHUNK_ROWS = 100_000
+BOX = ["x", "y", "w", "h"]
+
+
+@dataclass(frozen=True)
+class Rule:
+    """When box r collides with accepted box k: their shared area over the union (or over
+    the smaller box) is above ``drop_over``; or it is above ``take_over`` and only r has a mask."""
+
+    over_union: bool
+    drop_over: float
+    take_over: float | None = None
 
+    def drops(self, k: Column, r: Column) -> Column:
+        return (g.iou(k, r) if self.over_union else g.overlap_min(k, r)) > self.drop_over
 
-def _fold(start: Column, rows: Column, drops: Test, takes: Test | None) -> Column:
+    def takes(self, k: Column, r: Column) -> Column:
+        share = g.iou(k, r) if self.over_union else g.overlap_min(k, r)
+        return (share > self.take_over) & r["has_mask"] & ~k["has_mask"]
+
+
+def _fold(start: Column, rows: Column, rule: Rule) -> Column:
     def step(accepted: Column, row: Column) -> Column:
         appended = F.concat(accepted, F.array(row))
-        if takes is None:
-            return F.when(F.exists(accepted, lambda k: drops(k, row)), accepted).otherwise(appended)
-        collides = F.transform(accepted, lambda k: drops(k, row) | takes(k, row))
+        if rule.take_over is None:
+            return F.when(F.exists(accepted, lambda k: rule.drops(k, row)), accepted).otherwise(appended)
+        collides = F.transform(accepted, lambda k: rule.drops(k, row) | rule.takes(k, row))
         place = F.array_position(collides, F.lit(True))
         replaced = F.transform(accepted, lambda k, i: F.when(i + 1 == place, row).otherwise(k))
         return (
-            F.when(~F.exists(accepted, lambda k: drops(k, row) | takes(k, row)), appended)
-            .when(drops(F.element_at(accepted, place.cast("int")), row), accepted)
+            F.when(~F.exists(accepted, lambda k: rule.drops(k, row) | rule.takes(k, row)), appended)
+            .when(rule.drops(F.element_at(accepted, place.cast("int")), row), accepted)
             .otherwise(replaced)
         )
 
@@ -52,19 +76,17 @@ def greedy(
     df: DataFrame,
     keys: list[str],
     order: list[Column],
-    drops: Test,
-    takes: Test | None = None,
+    rule: Rule,
     never: Column | None = None,
-    permanent: Callable[[Column], Column] | None = None,
     fold_rows: int = FOLD_ROWS,
     position: str | None = None,
+    **hot_kw,
 ) -> DataFrame:
     """Rows of ``df`` that stay accepted, with their place in the accepted list as column ``position`` if named.
 
-    ``keys`` must not be null. ``order`` are ascending sort columns (negate for descending). ``drops(k, r)``
-    and ``takes(k, r)`` test accepted row k against new row r. ``never`` marks
-    rows that cannot collide with anything; in hot groups they are kept without a fold.
-    ``permanent(k)`` says that an accepted row can no longer be taken over.
+    ``keys`` must not be null. ``order`` are ascending sort columns (negate for descending);
+    the other columns break ties. ``never`` marks rows that cannot collide with anything; in
+    hot groups they are kept without being played. ``hot_kw`` goes to the rounds.
     """
     payload = [c for c in df.columns if c not in keys]
     rows = df.select(*keys, F.struct(
@@ -74,55 +96,129 @@ def greedy(
     empty = F.array().cast(f"array<{rows.schema['__row'].dataType.simpleString()}>")
     accepted = (
         normal.groupBy(*keys).agg(F.sort_array(F.collect_list("__row")).alias("__rows"))
-        .select(*keys, F.posexplode(_fold(empty, F.col("__rows"), drops, takes)).alias("__pos", "__row"))
+        .select(*keys, F.posexplode(_fold(empty, F.col("__rows"), rule)).alias("__pos", "__row"))
     )
     if hot is not None:
-        folded = _rounds(hot.filter("NOT __never").drop("__never"), keys, empty, drops, takes, permanent, fold_rows)
+        played = _rounds(hot.filter("NOT __never").drop("__never"), keys, rule, **hot_kw)
         aside = hot.filter("__never").select(*keys, F.lit(None).cast("int").alias("__pos"), "__row")
-        accepted = accepted.unionByName(folded).unionByName(aside)
+        accepted = accepted.unionByName(played).unionByName(aside)
     place = [F.col("__pos").alias(position)] if position else []
     return accepted.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in payload], *place).select(
         *df.columns, *([position] if position else []))
 
 
-def _rounds(rest, keys, empty, drops, takes, permanent, fold_rows) -> DataFrame:
-    state = None
-    none = rest.limit(0).select(*keys, F.lit(None).cast("int").alias("__pos"), "__row")
-    rest = cut(rest)
+def _kernels(over_union: bool, drop_over: float, take_over: float | None):
+    """The two array functions that run inside tasks; they carry plain values only."""
+
+    def shares(k: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Share of each box of r (rows) with each box of k (columns)."""
+        a, b = k[None, :, :], r[:, None, :]
+        dx = np.minimum(a[..., 0] + a[..., 2], b[..., 0] + b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
+        dy = np.minimum(a[..., 1] + a[..., 3], b[..., 1] + b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
+        both, ka, ra = dx * dy, a[..., 2] * a[..., 3], b[..., 2] * b[..., 3]
+        base = ka + ra - both if over_union else np.minimum(ka, ra)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where((dx > 0) & (dy > 0) & (base > 0), both / base, 0.0)
+
+    def play(group: pd.DataFrame) -> pd.DataFrame:
+        """Head rows (pos null) played in order onto the slots (pos set)."""
+        slots, head = group[group["pos"].notna()].sort_values("pos"), group[group["pos"].isna()].sort_values("n")
+        m = len(slots)
+        boxes = np.zeros((m + len(head), 4))
+        masks, owner = np.zeros(len(boxes), bool), np.zeros(len(boxes), np.int64)
+        boxes[:m], masks[:m], owner[:m] = slots[["x", "y", "w", "h"]].to_numpy(float), slots["m"], slots["n"]
+        for box, mask, n in zip(head[["x", "y", "w", "h"]].to_numpy(float), head["m"].to_numpy(bool), head["n"].to_numpy()):
+            share = shares(boxes[:m], box[None, :])[0]
+            hit = share > drop_over
+            if take_over is not None and mask:
+                hit = hit | ((share > take_over) & ~masks[:m])
+            at = int(hit.argmax()) if m else 0
+            if m == 0 or not hit[at]:
+                at, m = m, m + 1
+            elif share[at] > drop_over:
+                continue
+            boxes[at], masks[at], owner[at] = box, mask, n
+        out = pd.DataFrame(boxes[:m], columns=["x", "y", "w", "h"])
+        return out.assign(m=masks[:m], n=owner[:m], pos=np.arange(m, dtype=np.int64))
+
+    def test(rows: pd.DataFrame, slots: pd.DataFrame, block: int = 256) -> pd.DataFrame:
+        """Rows not settled by the slots: pos is the place a row waits on (-1: none). Also, as rows
+        with n null, each open place's first possible taker in column ``taker``."""
+        slots = slots.sort_values("pos")
+        k, closed = slots[["x", "y", "w", "h"]].to_numpy(float), slots["m"].to_numpy(bool)
+        rows = rows.sort_values("n")
+        r, masks, n = rows[["x", "y", "w", "h"]].to_numpy(float), rows["m"].to_numpy(bool), rows["n"].to_numpy()
+        waits_on = np.full(len(rows), -1, np.int64)
+        settled = np.zeros(len(rows), bool)
+        taker = np.full(len(slots), np.iinfo(np.int64).max)
+        for i in range(0, len(rows), block):
+            share = shares(k, r[i:i + block])
+            drop = share > drop_over
+            take = np.zeros_like(drop)
+            if take_over is not None:
+                take = ~drop & (share > take_over) & masks[i:i + block, None] & ~closed[None, :]
+            hit = drop | take
+            at, some = hit.argmax(axis=1), hit.any(axis=1)
+            plain = some & drop[np.arange(len(at)), at]
+            settled[i:i + block] = plain & (closed[at] if take_over is not None else True)
+            waits_on[i:i + block] = np.where(plain, at, -1)
+            open_rows = take & ~settled[i:i + block, None]
+            first = np.where(open_rows, n[i:i + block, None], np.iinfo(np.int64).max).min(axis=0)
+            taker = np.minimum(taker, first)
+        left = rows[~settled].assign(pos=waits_on[~settled], taker=pd.array([None] * int((~settled).sum()), "Int64"))
+        turning = np.flatnonzero(taker < np.iinfo(np.int64).max)
+        marks = pd.DataFrame({"pos": turning, "taker": pd.array(taker[turning], "Int64")})
+        return pd.concat([left, marks.reindex(columns=left.columns)], ignore_index=True)
+
+    return play, test
+
+
+def _rounds(hot: DataFrame, keys: list[str], rule: Rule, head_rows: int = HEAD_ROWS,
+            chunk_rows: int = CHUNK_ROWS, **number_kw) -> DataFrame:
+    ranked = cut(numbered(hot, keys, [F.col("__row")], "__n", **number_kw))
+    mask = F.col("__row.has_mask") if rule.take_over is not None else F.lit(False)
+    rest = ranked.select(*keys, F.col("__n").alias("n"), *[F.col(f"__row.{c}").cast("double").alias(c) for c in BOX],
+                         mask.alias("m"))
+    play, test = _kernels(rule.over_union, rule.drop_over, rule.take_over)
+    kinds = {f.name: f.dataType.simpleString() for f in rest.schema.fields}
+    names = [*keys, "n", *BOX, "m"]
+    slot_type = ", ".join(f"{c} {kinds[c]}" for c in names) + ", pos long"
+    test_type = slot_type + ", taker long"
+    width = len(keys)
+
+    def keyed(fn):
+        """Put the group's key back on the rows a kernel returns."""
+        def run(key: tuple, *frames: pd.DataFrame) -> pd.DataFrame:
+            out = fn(*frames)
+            return out.assign(**dict(zip(keys, key[:width])))
+        return run
+
+    def play_group(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return keyed(play)(key, group)[[*names, "pos"]]
+
+    def test_group(key: tuple, rows: pd.DataFrame, slots: pd.DataFrame) -> pd.DataFrame:
+        out = keyed(test)(key, rows, slots)[[*names, "pos", "taker"]]
+        return out.astype({"n": "Int64", "pos": "Int64", "m": "boolean"})
+
+    slots = None
     while not rest.isEmpty():
-        head = (
-            first_rows(rest, keys, [F.col("__row")], fold_rows)
-            .groupBy(*keys).agg(F.sort_array(F.collect_list("__row")).alias("__rows"))
-        )
-        if state is None:
-            state = cut(head.select(
-                *keys, _fold(empty, F.col("__rows"), drops, takes).alias("__acc"),
-                F.array_max("__rows").alias("__last")))
-        else:
-            joined = state.join(head, keys, "left")
-            state = cut(joined.select(
-                *keys,
-                F.when(F.col("__rows").isNull(), F.col("__acc"))
-                .otherwise(_fold(F.col("__acc"), F.col("__rows"), drops, takes)).alias("__acc"),
-                F.coalesce(F.array_max("__rows"), F.col("__last")).alias("__last")))
-        rest = _unsettled(rest, state, keys, drops, takes, permanent)
-    return none if state is None else state.select(*keys, F.posexplode("__acc").alias("__pos", "__row"))
-
-
-def _unsettled(rest, state, keys, drops, takes, permanent) -> DataFrame:
-    seen = salted_lookup(rest, state, keys).filter(F.col("__row") > F.col("__last"))
-    row = F.col("__row")
-    if takes is None:
-        return cut(seen.filter(~F.exists("__acc", lambda k: drops(k, row))).select(*keys, "__row"))
-    first = F.try_element_at(F.filter("__acc", lambda k: drops(k, row) | takes(k, row)), F.lit(1))
-    plain = F.coalesce(drops(first, row), F.lit(False))
-    seen = cut(seen.select(
-        *keys, "__row",
-        F.when(first.isNull(), "free").when(plain & permanent(first), "settled")
-        .when(plain, "waits").otherwise("takes").alias("__fate"),
-    ).filter("__fate != 'settled'"))
-    turning = seen.filter("__fate = 'takes'").groupBy(*keys).agg(F.min("__row").alias("__next"))
-    waiting = seen.filter("__fate = 'waits'")
-    marked = salted_lookup(waiting, turning, keys)
-    still = marked.filter(F.col("__next").isNotNull() & (F.col("__row") > F.col("__next")))
-    return cut(seen.filter("__fate != 'waits'").select(*keys, "__row").unionByName(still.select(*keys, "__row")))
+        head = first_rows(rest, keys, [F.col("n")], head_rows).withColumn("pos", F.lit(None).cast("long"))
+        onto = head if slots is None else head.unionByName(slots)
+        slots = cut(onto.groupBy(*keys).applyInPandas(play_group, slot_type))
+        last = head.groupBy(*keys).agg(F.max("n").alias("last"))
+        later = salted_lookup(rest, last, keys).filter("n > last").drop("last")
+        later = later.withColumn("chunk", F.floor(F.col("n") / chunk_rows))
+        # Named anew, so that the two sides of the cogroup share no columns.
+        chunks = later.select(*[F.col(c).alias(c) for c in (*keys, "chunk")]).distinct()
+        copies = chunks.join(slots, keys).select(*[F.col(c).alias(c) for c in (*names, "pos", "chunk")])
+        tested = cut(later.groupBy(*keys, "chunk").cogroup(copies.groupBy(*keys, "chunk")).applyInPandas(
+            test_group, test_type))
+        takers = tested.filter("n IS NULL").groupBy(*keys, "pos").agg(F.min("taker").alias("first_taker"))
+        rows = tested.filter("n IS NOT NULL").drop("taker")
+        free = rows.filter("pos < 0")
+        waiting = salted_lookup(rows.filter("pos >= 0"), takers, [*keys, "pos"]).filter("n > first_taker")
+        rest = cut(free.unionByName(waiting.drop("first_taker")).select(*names))
+    if slots is None:
+        return ranked.limit(0).select(*keys, F.lit(None).cast("int").alias("__pos"), "__row")
+    places = slots.select(*keys, F.col("n").alias("__n"), F.col("pos").cast("int").alias("__pos"))
+    return ranked.join(places, [*keys, "__n"]).select(*keys, "__pos", "__row")

@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelflow import schema
-from panelflow.functions import geometry as g
 from panelflow.functions import text as t
 from panelflow.functions.values import clamp_confidence, half_even
-from panelflow.operators.greedy import FOLD_ROWS, greedy
+from panelflow.operators.greedy import FOLD_ROWS, Rule, greedy
 from panelflow.operators.regions import rank_of
 from panelflow.operators.skew import first_rows, numbered
 
@@ -33,7 +32,7 @@ def page_position(priority: list[str] | None = None) -> list[Column]:
 
 
 def best_ocr(ocr: DataFrame, overlap: float = 0.5, priority: list[str] | None = None,
-             fold_rows: int = FOLD_ROWS) -> DataFrame:
+             fold_rows: int = FOLD_ROWS, **kw) -> DataFrame:
     """Keep the most confident of overlapping results per call (page_id, region_index), with
     undecided language tags replaced. A whole-page call has region_index null, here -1."""
     priority = priority or schema.OCR_PRIORITY
@@ -43,8 +42,7 @@ def best_ocr(ocr: DataFrame, overlap: float = 0.5, priority: list[str] | None =
     no_box = F.col("x").isNull() | F.col("y").isNull() | F.col("w").isNull() | F.col("h").isNull()
     chosen = greedy(
         called, CALL, [-F.col("confidence"), rank_of("engine", priority), *rest],
-        drops=lambda k, r: g.overlap_min(k, r) > overlap,
-        never=no_box | (F.col("w") * F.col("h") <= 0), fold_rows=fold_rows)
+        Rule(False, overlap), never=no_box | (F.col("w") * F.col("h") <= 0), fold_rows=fold_rows, **kw)
     return chosen.withColumn("language", t.retag_language(F.col("language"), F.col("text")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelflow import schema
 from panelflow.functions import geometry as g
 from panelflow.functions.values import counts_map, half_even
-from panelflow.operators.greedy import FOLD_ROWS, greedy
+from panelflow.operators.greedy import FOLD_ROWS, Rule, greedy
 from panelflow.operators.skew import first_rows, numbered
 
 
@@ -147,7 +147,7 @@ def refine_candidates(boxes: DataFrame, masks: DataFrame, min_score: float = 0.5
 
 def merge_regions(regions: DataFrame, iou: float = 0.5, partial: float = 0.7,
                   priority: list[str] | None = None, fold_rows: int = FOLD_ROWS,
-                  position: str | None = None) -> DataFrame:
+                  position: str | None = None, **kw) -> DataFrame:
     """Merge overlapping detections per page.
 
     Most confident first; a region overlapping an accepted one by more than
@@ -159,14 +159,9 @@ def merge_regions(regions: DataFrame, iou: float = 0.5, partial: float = 0.7,
     others = [c for c in regions.columns if c not in ("page_id", "confidence", "engine", *geometry)]
     order = [-F.col("confidence"), rank_of("engine", priority), *[F.col(c) for c in geometry + others]]
 
-    def takes(k: Column, r: Column) -> Column:
-        return (g.iou(k, r) > iou * partial) & r["has_mask"] & ~k["has_mask"]
-
     return greedy(
-        regions, ["page_id"], order,
-        drops=lambda k, r: g.iou(k, r) > iou, takes=takes,
-        never=(F.col("w") <= 0) | (F.col("h") <= 0), permanent=lambda k: k["has_mask"], fold_rows=fold_rows,
-        position=position)
+        regions, ["page_id"], order, Rule(True, iou, iou * partial),
+        never=(F.col("w") <= 0) | (F.col("h") <= 0), fold_rows=fold_rows, position=position, **kw)
 
 
 def reading_order(regions: DataFrame, column_tolerance: float | None = None, **kw) -> DataFrame:

@@ -53,10 +53,10 @@ def random_rows(seed, pages, per_page, crowded):
     return rows
 
 
-def merged(spark, rows, fold_rows):
+def merged(spark, rows, fold_rows, **kw):
     df = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA).repartition(4)
     out = {}
-    for row in R.merge_regions(df, fold_rows=fold_rows).collect():
+    for row in R.merge_regions(df, fold_rows=fold_rows, **kw).collect():
         out.setdefault(row["page_id"], []).append(row["tag"])
     return {k: sorted(v) for k, v in out.items()}
 
@@ -74,11 +74,11 @@ def test_merge_random_pages(spark, seed):
     assert merged(spark, rows, 1000) == expected(rows)
 
 
-@pytest.mark.parametrize("seed,fold_rows", [(3, 60)])
+@pytest.mark.parametrize("seed,fold_rows", [(3, 60), (11, 25)])
 def test_merge_hot_page_in_rounds(spark, seed, fold_rows):
     """One page holds most rows, crowded so that regions replace each other."""
     rows = random_rows(seed, 4, lambda p: 150 if p == 0 else 6, crowded=True)
-    assert merged(spark, rows, fold_rows) == expected(rows)
+    assert merged(spark, rows, fold_rows, head_rows=fold_rows, chunk_rows=20) == expected(rows)
 
 
 def test_merge_hot_page_of_copies(spark):
@@ -89,7 +89,7 @@ def test_merge_hot_page_of_copies(spark):
         box = [(0, False), (8, True), (16, False), (4, True)][i % 4]
         rows.append(dict(page_id=7, engine="yolo", confidence=(i * 7 % 50) / 100 + 0.3, x=float(box[0]), y=0.0, w=20.0, h=20.0,
                          bubble_type="speech", has_mask=box[1], tag=tag))
-    assert merged(spark, rows, 60) == expected(rows)
+    assert merged(spark, rows, 60, head_rows=30, chunk_rows=50) == expected(rows)
 
 
 def test_merge_basic_cases(spark):
@@ -137,7 +137,7 @@ def test_best_ocr_hot_call(spark, fold_rows):
     df = spark.createDataFrame(rows, "page_id long, engine string, confidence double, x double, y double, w double, h double, text string")
     df = df.withColumns({"region_index": F.lit(None).cast("int"), "language": F.lit("unknown"), "rotation": F.lit(0.0)})
     got = {}
-    for r in O.best_ocr(df, fold_rows=fold_rows).collect():
+    for r in O.best_ocr(df, fold_rows=fold_rows, head_rows=25, chunk_rows=20).collect():
         got.setdefault(r["page_id"], []).append(r["text"])
     assert {k: sorted(v) for k, v in got.items()} == {p: expected_ocr([r for r in rows if r[0] == p]) for p in (1, 2)}
 
