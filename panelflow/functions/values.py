@@ -62,6 +62,17 @@ def clamp_confidence(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
+def tally(groups: Column, name: str, n: str = "n") -> Column:
+    """Map of one field of an array of group rows to its summed counts, in key order.
+
+    Reports group once by all their fields, gather the few group rows, and take every
+    breakdown from them, so the table itself is read once.
+    """
+    names = F.array_sort(F.array_distinct(F.transform(groups, lambda g: g[name])))
+    return F.map_from_entries(F.transform(names, lambda k: F.struct(k, F.aggregate(
+        F.filter(groups, lambda g: g[name] == k), F.lit(0).cast("long"), lambda acc, g: acc + g[n]))))
+
+
 def counts_map(name: Column, n: Column) -> Column:
     """Aggregate of already grouped (name, n) rows to a map in key order."""
     return F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, n))))

@@ -15,6 +15,7 @@ from panelflow.functions import geometry as g
 from panelflow.functions import text as t
 from panelflow.functions.values import counts_map
 from panelflow.operators.skew import first_rows, numbered, sized_broadcast
+from panelflow.session import cut
 
 Catalog = dict[str, DataFrame]
 
@@ -206,13 +207,14 @@ def upsert_imports(catalog: Catalog, imports: DataFrame, files: DataFrame) -> Ca
     Among imports of one batch the earliest id whose title contains the title makes the project.
     """
     titled = imports.withColumn("title", F.coalesce(t.detected_title(F.col("filename")), F.col("project_title")))
-    matched = match_projects(titled, catalog["projects"])
+    # Import-sized tables with several readers are written once.
+    matched = cut(match_projects(titled, catalog["projects"]))
     fresh = matched.filter(F.col("project_id").isNull())
     makers = earliest_containing(
         fresh.select(F.col("title").alias("pattern")), fresh.select("title", F.struct("id").alias("pick")))
     placed = matched.withColumn("p", F.lower("title")).join(makers, "p", "left").withColumn(
         "maker", F.when(F.col("project_id").isNull(), F.coalesce("pick.id", "id"))).drop("p", "pick")
-    placed = placed.withColumn("project_id", F.coalesce("project_id", F.concat(F.lit("prj-"), F.col("maker"))))
+    placed = cut(placed.withColumn("project_id", F.coalesce("project_id", F.concat(F.lit("prj-"), F.col("maker")))))
     projects = placed.filter(F.col("maker") == F.col("id")).select(
         F.col("project_id").alias("id"), "title", F.coalesce("author", "filename").alias("author"),
         "source_language", "target_language", "created_at", F.col("created_at").alias("updated_at"))

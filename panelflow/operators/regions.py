@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelflow import schema
 from panelflow.functions import geometry as g
-from panelflow.functions.values import counts_map, half_even
+from panelflow.functions.values import half_even, tally
 from panelflow.operators.greedy import FOLD_ROWS, Rule, greedy
 from panelflow.operators.skew import first_rows, numbered
 
@@ -80,15 +80,18 @@ def clamp_boxes(df: DataFrame) -> DataFrame:
 
 # --- filters and projections ------------------------------------------------
 
-def filter_regions(df: DataFrame, min_conf: float = 0.3, types: list[str] | None = None,
-                   engine_min: dict[str, float] | None = None) -> DataFrame:
-    """Keep confidence >= min_conf (and an engine's own threshold) and wanted types."""
+def passes(min_conf: float = 0.3, types: list[str] | None = None,
+           engine_min: dict[str, float] | None = None) -> Column:
+    """Confidence >= min_conf (and an engine's own threshold), and a wanted type."""
     keep = F.col("confidence") >= min_conf
     for engine, low in ({"yolo": 0.25} if engine_min is None else engine_min).items():
         keep = keep & ((F.col("engine") != engine) | (F.col("confidence") >= low))
-    if types:
-        keep = keep & F.col("bubble_type").isin(types)
-    return df.filter(keep)
+    return keep & F.col("bubble_type").isin(types) if types else keep
+
+
+def filter_regions(df: DataFrame, min_conf: float = 0.3, types: list[str] | None = None,
+                   engine_min: dict[str, float] | None = None) -> DataFrame:
+    return df.filter(passes(min_conf, types, engine_min))
 
 
 def _within(value: Column, low, high) -> Column:
@@ -201,24 +204,22 @@ def detect_regions(raw: DataFrame, fallback: DataFrame | None = None, min_conf:
 def engines_used(raw: DataFrame, min_conf: float = 0.3, priority: list[str] | None = None) -> DataFrame:
     """Engines with a region passing the filter per page, in priority order."""
     priority = priority or schema.DETECTOR_PRIORITY
-    ranked = F.array_sort(F.collect_set(F.struct(rank_of("engine", priority).alias("r"), "engine")))
-    names = F.transform(ranked, lambda e: e["engine"])
-    kept = filter_regions(raw, min_conf).groupBy("page_id").agg(names.alias("engines"))
-    pages = raw.select("page_id").distinct()
-    return pages.join(kept, "page_id", "left").withColumn(
-        "engines", F.coalesce("engines", F.array(F.lit("fallback"))))
+    found = F.when(passes(min_conf), F.struct(rank_of("engine", priority).alias("r"), "engine"))
+    names = F.transform(F.array_sort(F.collect_set(found)), lambda e: e["engine"])
+    used = raw.groupBy("page_id").agg(names.alias("engines"))
+    return used.withColumn("engines", F.when(F.size("engines") > 0, F.col("engines")).otherwise(F.array(F.lit("fallback"))))
 
 
 def detection_stats(regions: DataFrame) -> DataFrame:
     """One row: totals, mean confidence, and counts by type and by engine."""
-    total = regions.agg(
-        F.count("*").alias("total_regions"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("avg_confidence"),
-        F.coalesce(F.sum("time_ms"), F.lit(0.0)).alias("total_time_ms"))
-    types = regions.groupBy("bubble_type").agg(F.count("*").alias("n")).agg(
-        counts_map(F.col("bubble_type"), F.col("n")).alias("by_type"))
-    engines = regions.groupBy("engine").agg(F.count("*").alias("n")).agg(
-        counts_map(F.col("engine"), F.col("n")).alias("by_engine"))
-    return one_row(total, types, engines)
+    groups = regions.groupBy("bubble_type", "engine").agg(
+        F.count("*").alias("n"), F.sum("confidence").alias("c"), F.sum("time_ms").alias("t"))
+    one = groups.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_regions"),
+        F.coalesce(F.sum("c") / F.sum("n"), F.lit(0.0)).alias("avg_confidence"),
+        F.coalesce(F.sum("t"), F.lit(0.0)).alias("total_time_ms"),
+        F.collect_list(F.struct("bubble_type", "engine", "n")).alias("g"))
+    return one.withColumns({"by_type": tally(F.col("g"), "bubble_type"), "by_engine": tally(F.col("g"), "engine")}).drop("g")
 
 
 def one_row(*frames: DataFrame) -> DataFrame:

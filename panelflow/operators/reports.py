@@ -111,10 +111,10 @@ def overview(projects: DataFrame, chapters: DataFrame, pages: DataFrame) -> Data
     """One row over the whole catalog, with projects counted by language pair."""
     pair = F.concat("source_language", F.lit("→"), "target_language")
     pairs = projects.groupBy(pair.alias("pair")).agg(F.count("*").alias("n")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_projects"),
         counts_map(F.col("pair"), F.col("n")).alias("projects_by_language"))
     page_row = pages.agg(F.count("*").alias("total_pages"), F.count_if("is_translated").alias("translated_pages"))
-    out = one_row(projects.agg(F.count("*").alias("total_projects")),
-                  chapters.agg(F.count("*").alias("total_chapters")), page_row, pairs)
+    out = one_row(pairs, chapters.agg(F.count("*").alias("total_chapters")), page_row)
     return out.withColumn("overall_progress", percent(F.col("translated_pages"), F.col("total_pages")))
 
 
@@ -209,17 +209,18 @@ def paginate(df: DataFrame, order: list[Column], limit: int, offset: int = 0) ->
 def activity_summary(jobs: DataFrame, now: Column, days: int = 7) -> DataFrame:
     """Counters of the jobs created in the last days; pages count over all of them."""
     recent = jobs.filter(F.col("created_at") >= since_days(now, days))
-    pages = zero(F.col("total_pages"))
-    total = recent.agg(
-        F.count("*").alias("total_jobs"), F.count_if(F.col("status") == "completed").alias("completed_jobs"),
-        F.count_if(F.col("status") == "failed").alias("failed_jobs"),
-        zero(F.sum(pages)).alias("total_pages"),
-        F.coalesce(F.sum(elapsed_ms(F.col("started_at"), F.col("completed_at"))), F.lit(0.0)).alias("total_time_ms"))
     pair = F.concat("source_language", F.lit("→"), "target_language")
-    pairs = recent.groupBy(pair.alias("pair")).agg(F.sum(pages).alias("n")).agg(
+    groups = recent.groupBy(pair.alias("pair")).agg(
+        F.count("*").alias("jobs"), F.count_if(F.col("status") == "completed").alias("done"),
+        F.count_if(F.col("status") == "failed").alias("failed"), F.sum(zero(F.col("total_pages"))).alias("n"),
+        F.sum(elapsed_ms(F.col("started_at"), F.col("completed_at"))).alias("ms"))
+    one = groups.agg(
+        zero(F.sum("jobs")).alias("total_jobs"), zero(F.sum("done")).alias("completed_jobs"),
+        zero(F.sum("failed")).alias("failed_jobs"), zero(F.sum("n")).alias("total_pages"),
+        F.coalesce(F.sum("ms"), F.lit(0.0)).alias("total_time_ms"),
         counts_map(F.col("pair"), F.col("n")).alias("pages_by_language"))
     mean = F.when(F.col("total_pages") > 0, F.col("total_time_ms") / F.col("total_pages")).otherwise(F.lit(0.0))
-    return one_row(total, pairs).withColumn("avg_time_per_page_ms", mean)
+    return one.withColumn("avg_time_per_page_ms", mean)
 
 
 def recent_activity(jobs: DataFrame, chapters: DataFrame, projects: DataFrame, now: Column,

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from panelflow import schema
 from panelflow.functions import text as t
-from panelflow.functions.values import counts_map, half_even, is_live, percent
-from panelflow.operators.regions import one_row, rank_of
+from panelflow.functions.values import half_even, is_live, percent, tally
+from panelflow.operators.regions import rank_of
 from panelflow.operators.skew import running
 from panelflow.session import cut
 
@@ -246,16 +246,15 @@ def drop_blank_text(df: DataFrame, column: str = "original_text") -> DataFrame:
 
 
 def translation_stats(translations: DataFrame) -> DataFrame:
-    total = translations.agg(
-        F.count("*").alias("total_translations"),
-        F.coalesce(F.sum(F.char_length("translated_text")), F.lit(0)).alias("total_chars"),
-        F.coalesce(F.avg("time_ms"), F.lit(0.0)).alias("avg_time_ms"))
-    engines = translations.groupBy("engine").agg(F.count("*").alias("n")).agg(
-        counts_map(F.col("engine"), F.col("n")).alias("by_engine"))
     pair = F.concat("source_language", F.lit("→"), "target_language")
-    pairs = translations.groupBy(pair.alias("pair")).agg(F.count("*").alias("n")).agg(
-        counts_map(F.col("pair"), F.col("n")).alias("by_language_pair"))
-    return one_row(total, engines, pairs)
+    groups = translations.groupBy("engine", pair.alias("pair")).agg(
+        F.count("*").alias("n"), F.sum(F.char_length("translated_text")).alias("chars"), F.sum("time_ms").alias("t"),
+        F.count("time_ms").alias("timed"))
+    one = groups.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_translations"), F.coalesce(F.sum("chars"), F.lit(0)).alias("total_chars"),
+        F.coalesce(F.try_divide(F.sum("t"), F.sum("timed")), F.lit(0.0)).alias("avg_time_ms"),
+        F.collect_list(F.struct("engine", "pair", "n")).alias("g"))
+    return one.withColumns({"by_engine": tally(F.col("g"), "engine"), "by_language_pair": tally(F.col("g"), "pair")}).drop("g")
 
 
 def duplicate_pages(files: DataFrame, region: str = "None", languages: list[str] | None = None) -> DataFrame:
