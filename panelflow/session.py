@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rank filters up to this many rows per key are applied before the shuffle too.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     # Sessions of one job are merged on the map side before they meet.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
