@@ -109,3 +109,12 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from panelflow.llm.mixing import mix_sources
     mixed = mix_sources(segments_of(_table(spark, folder, "documents")))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@_query()
+def op4_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    from panelflow.llm.repeats import remove_repeats
+    found = remove_repeats(segments_of(_table(spark, folder, "documents")))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
