@@ -118,3 +118,12 @@ def op4_repeats(spark: SparkSession, folder: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"),
                         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query()
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    from panelflow.llm.fingerprint import edited_fingerprints
+    found = edited_fingerprints(segments_of(_table(spark, folder, "documents")))
+    return found.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
+                        F.lower(F.hex("fingerprint")).alias("fingerprint"),
+                        F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")

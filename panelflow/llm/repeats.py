@@ -156,7 +156,7 @@ def _shard_spans(table: pa.Table, width: int) -> list[np.ndarray]:
 
 
 def remove_repeats(segments: DataFrame, id: str = "id", text: str = "original_text", width: int = WIDTH,
-                   gram: int = GRAM) -> DataFrame:
+                   gram: int = GRAM, keep: list[str] | None = None, whole_characters: bool = False) -> DataFrame:
     """Remove every byte covered by a ``width``-byte string that also starts in a segment with a smaller id.
 
     Returns one row per segment: id, n_bytes, spans (array of start, end: the maximal removed runs of bytes), kept
@@ -168,12 +168,17 @@ def remove_repeats(segments: DataFrame, id: str = "id", text: str = "original_te
     fill a shard. A shard sorts the suffixes of its passages by induced sorting, finds equal windows by permuted common
     prefixes, and returns the spans that a smaller id holds. Nothing is sampled or capped and no pairs are formed.
 
+    ``keep`` names further columns to return; with ``whole_characters`` a character that loses a byte is removed whole.
+
     ids are integers. A null id counts as larger than any other; rows of the same id (repeated rows, null ids) do not
     remove each other's text. A null text is empty; a text shorter than ``width`` is kept whole; other columns are
     ignored; no rows give no rows.
     """
     spark = segments.sparkSession
-    source = segments.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
+    keep = keep or []
+    others = [f"keep_{k}" for k in range(len(keep))]  # under names that cannot clash
+    source = segments.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"),
+                             *[F.col(c).alias(o) for c, o in zip(keep, others, strict=True)])
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(max(64, total // gram * 2 * 4 // BUCKET_BYTES), 1 << 20))
 
@@ -194,16 +199,19 @@ def remove_repeats(segments: DataFrame, id: str = "id", text: str = "original_te
             code = code[fresh | second]
             edges = np.searchsorted(code >> np.uint64(32), np.arange(buckets + 1))
             keys = (code & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            rest = pa.BufferOutputStream()
+            with pa.ipc.new_stream(rest, batch.select(others).schema) as writer:
+                writer.write_batch(batch.select(others))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), _binary([ids]), _binary([offsets]), pa.array([data.tobytes()], pa.binary()),
+                [pa.array([number]), pa.array([rest.getvalue().to_pybytes()], pa.binary()), _binary([ids]), _binary([offsets]), pa.array([data.tobytes()], pa.binary()),
                  pa.array([[keys[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]], pa.list_(pa.binary()))],
-                ["pack", "ids", "offsets", "text", "anchors"])
+                ["pack", "rest", "ids", "offsets", "text", "anchors"])
             number += 1
 
     # Written by pack, so that the two later passes meet their texts without moving them.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, path = f"repeat_packs_{uuid.uuid4().hex}", scratch_path(spark, "packs")
-    (source.mapInArrow(pack, "pack long, ids binary, offsets binary, text binary, anchors array<binary>")
+    (source.mapInArrow(pack, "pack long, rest binary, ids binary, offsets binary, text binary, anchors array<binary>")
      .write.option("compression", "zstd").option("path", path).bucketBy(parts, "pack").saveAsTable(name))
     packs = spark.table(name)
 
@@ -271,6 +279,10 @@ def remove_repeats(segments: DataFrame, id: str = "id", text: str = "original_te
             np.add.at(delta, offsets[row] + start, 1)
             np.subtract.at(delta, offsets[row] + end, 1)
         gone = np.cumsum(delta[:-1]) > 0
+        if whole_characters and len(data):
+            lead = np.flatnonzero((data & 0xC0) != 0x80)
+            lead = np.union1d(lead, [0])
+            gone = np.repeat(np.maximum.reduceat(gone, lead), np.diff(np.concatenate((lead, [len(data)]))))
         kept = np.concatenate(([0], np.cumsum(~gone)))[offsets]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
@@ -280,8 +292,24 @@ def remove_repeats(segments: DataFrame, id: str = "id", text: str = "original_te
         row = np.searchsorted(offsets, opens, "right") - 1
         runs = pa.StructArray.from_arrays([pa.array(opens - offsets[row]), pa.array(closes - offsets[row])], ["start", "end"])
         rest = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(kept.astype(np.int32)), pa.py_buffer(data[~gone].tobytes())])
-        return pa.table({"id": pa.array(ids, mask=ids == NO_ID), "n_bytes": pa.array(np.diff(offsets)),
+        more = pa.ipc.open_stream(left["rest"][0].as_py()).read_all()
+        return pa.table({**{o: more[o] for o in others}, "id": pa.array(ids, mask=ids == NO_ID), "n_bytes": pa.array(np.diff(offsets)),
                          "spans": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), runs), "kept": rest})
 
-    return packs.select("pack", "ids", "offsets", "text").groupBy("pack").cogroup(spans.groupBy("pack")).applyInArrow(
-        apply, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    kinds = [f"{o} {source.schema[o].dataType.simpleString()}" for o in others]
+    found = packs.drop("anchors").groupBy("pack").cogroup(spans.groupBy("pack")).applyInArrow(
+        apply, ", ".join([*kinds, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"]))
+    return found.select("id", "n_bytes", "spans", "kept", *[F.col(o).alias(c) for c, o in zip(keep, others, strict=True)])
+
+
+def clean_repeats(segments: DataFrame, id: str = "id", text: str = "original_text", **kw) -> DataFrame:
+    """The segments with repeated passages taken out of their text, all other columns as they were.
+
+    A segment of which nothing remains stays, with an empty text. Characters are removed whole.
+    """
+    own = segments.columns
+    numbered = segments.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(own)])
+    at = f"c{own.index(id)}"
+    found = remove_repeats(numbered, at, f"c{own.index(text)}", whole_characters=True,
+                           keep=[f"c{k}" for k, c in enumerate(own) if c != text], **kw)
+    return found.select(*[(F.col("kept").cast("string") if c == text else F.col(f"c{k}")).alias(c) for k, c in enumerate(own)])
