@@ -127,3 +127,10 @@ def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
                         F.lower(F.hex("fingerprint")).alias("fingerprint"),
                         F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@_query()
+def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    from panelflow.llm.neighbours import nearest
+    found = nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, id="vec_id")
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
