@@ -134,3 +134,11 @@ def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     from panelflow.llm.neighbours import nearest
     found = nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, id="vec_id")
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@_query()
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from panelflow.llm.toxicity import rate_toxicity
+    labels = _table(spark, folder, "labels").filter(remainder("doc_id", 3) != 1).withColumnRenamed("doc_id", "id")
+    rated = rate_toxicity(segments_of(_table(spark, folder, "documents")), labels, text="original_text")
+    return rated.select(F.col("id").alias("doc_id"), (remainder("id", 3) == 1).alias("held_out"), "score", "predicted", "margin")
