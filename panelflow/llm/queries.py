@@ -142,3 +142,11 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     labels = _table(spark, folder, "labels").filter(remainder("doc_id", 3) != 1).withColumnRenamed("doc_id", "id")
     rated = rate_toxicity(segments_of(_table(spark, folder, "documents")), labels, text="original_text")
     return rated.select(F.col("id").alias("doc_id"), (remainder("id", 3) == 1).alias("held_out"), "score", "predicted", "margin")
+
+
+@_query()
+def op1_languages(spark: SparkSession, folder: str) -> DataFrame:
+    from panelflow.llm.language import label_languages
+    labelled = label_languages(segments_of(_table(spark, folder, "documents")), remainder("id", 4) != 2)
+    return labelled.select(F.col("id").alias("doc_id"), (remainder("id", 4) == 2).alias("held_out"),
+                           F.col("language").alias("lang_pred"), "score", "words", F.size("runs").alias("n_runs"))
