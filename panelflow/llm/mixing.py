@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelflow.operators.skew import sized_broadcast
+from panelflow.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -38,10 +39,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
                     F.least(F.col("cap").cast("double"), level * F.col("weight")).alias("target"))
 
 
-def _positions(rows: DataFrame, source: str, names: dict[str, str]) -> DataFrame:
+def _positions(rows: DataFrame, sums: DataFrame, source: str, names: dict[str, str]) -> DataFrame:
     """Rows with their source's target and their running size within the shuffled source."""
     size, key, piece, rank, run = (names[k] for k in ("size", "key", "slice", "rank", "run"))
-    sums = rows.groupBy(F.col(source).alias("source"), F.col(piece).alias("piece")).agg(F.sum(size).alias("n"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")))
     earlier = W.partitionBy("source").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select("source", "piece", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
@@ -80,28 +80,34 @@ def mix_sources(segments: DataFrame, id: str = "id", text: str = "original_text"
     piece = F.floor(F.conv(F.substring(names["key"], 1, 4), 16, 10).cast("long") * KEY_SLICES / 65536)
     rows = segments.select(*(own if keep else []), F.col(id).alias(names["id"]), F.col(source).alias(names["source"]),
                            size.alias(names["size"]), key.alias(names["key"])).withColumn(names["slice"], piece)
-    rows = _positions(rows, names["source"], {**names, "ties": [names["size"]]})
+    rows = rows if keep else cut(rows)
+    narrow = cut(rows.select(*[names[k] for k in ("source", "size", "key", "slice")])) if keep else rows
+    places = {**names, "ties": [names["size"]]}
+    sums = narrow.groupBy(F.col(names["source"]).alias("source"), F.col(names["slice"]).alias("piece")).agg(
+        F.sum(names["size"]).alias("n"))
+    sums = cut(sums)
+    rows, narrow = (_positions(r, sums, names["source"], places) for r in (rows, narrow))
 
     n, run, whole, target = (F.col(names[k]) for k in ("size", "run", "source_size", "target"))
 
     def time(turn: Column | int) -> Column:
         return (turn * whole + run).cast("double") / target
 
-    turns = rows.filter((n > 0) & (target > 0)).select(
+    turns = narrow.filter((n > 0) & (target > 0)).select(
         n.alias("size"), whole, run, target, F.col(names["rank"]).alias("rank"), F.col(names["key"]).alias("key"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(MOST_COPIES - 1).cast("long"))).alias("turn"))
     turns = turns.select("size", "rank", "key", "turn", time(F.col("turn")).alias("time")).withColumn(
         "span", F.floor(F.col("time") * TIME_SLICES))
     spans = turns.groupBy("span").agg(F.sum("size").alias("n"))
     up_to = W.orderBy("span").rowsBetween(W.unboundedPreceding, W.currentRow)
-    budget = rows.agg(F.sum(n).alias("budget"))
-    spans = spans.withColumn("end", F.sum("n").over(up_to)).join(F.broadcast(budget), F.lit(True)).filter("end > budget")
-    crossing = spans.orderBy("span").limit(1).select("span", (F.col("end") - F.col("n")).alias("start"), "budget")
+    budget = narrow.agg(F.sum(n)).first()[0] or 0
+    crossing = (spans.withColumn("end", F.sum("n").over(up_to)).filter(F.col("end") > budget).orderBy("span").limit(1)
+                .select("span", (F.col("end") - F.col("n")).alias("start")))
     order = ("time", "rank", "key")
     inside = turns.join(F.broadcast(crossing), "span").withColumn(
         "queued", F.col("start") + F.sum("size").over(W.partitionBy("span").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)))
     # The first place of the queue that is not taken: one row.
-    end = inside.filter("queued > budget").agg(F.min(F.struct(*order)).alias("end")).first()["end"]
+    end = inside.filter(F.col("queued") > budget).agg(F.min(F.struct(*order)).alias("end")).first()["end"]
 
     def taken_in(turn: int) -> Column:
         place = F.struct(time(turn).alias("time"), F.col(names["rank"]).alias("rank"), F.col(names["key"]).alias("key"))

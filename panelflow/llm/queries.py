@@ -150,3 +150,32 @@ def op1_languages(spark: SparkSession, folder: str) -> DataFrame:
     labelled = label_languages(segments_of(_table(spark, folder, "documents")), remainder("id", 4) != 2)
     return labelled.select(F.col("id").alias("doc_id"), (remainder("id", 4) == 2).alias("held_out"),
                            F.col("language").alias("lang_pred"), "score", "words", F.size("runs").alias("n_runs"))
+
+
+def _licence_sql() -> str:
+    from panelflow.llm.licences import LEAST, TEMPLATES
+    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in TEMPLATES.items())
+    grams = ("list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))")
+    words = "list_transform(regexp_extract_all({}, '[A-Za-z0-9]+'), lambda x: lower(x))"
+    return rf"""
+WITH templates AS (SELECT name, {grams} AS own FROM (
+    SELECT name, {words.format('body')} AS w FROM (VALUES {rows}) t(name, body))),
+passages AS (
+  SELECT doc_id, unnest(regexp_split_to_array(text, '[\r\n]+')) AS passage FROM documents
+  UNION ALL SELECT doc_id, passage FROM (
+    SELECT doc_id, trim(unnest(regexp_split_to_array(text, '\r?\n([ \t\x0B\x0C\r]*\n)+')), E'\r\n') AS passage FROM documents)
+  WHERE regexp_matches(passage, '[^\s][ \t\x0B\x0C\r]*\n[^\n]*[^\s]')),
+sized AS (SELECT doc_id, passage, {grams} AS grams FROM (SELECT doc_id, passage, {words.format('passage')} AS w FROM passages) WHERE len(w) >= 2),
+compared AS (
+  SELECT doc_id, passage, name, 2.0::DOUBLE * len(list_intersect(grams, own)) / (len(grams) + len(own)) AS dice
+  FROM sized JOIN templates ON list_has_any(grams, own))
+SELECT doc_id, CAST(strlen(passage) AS BIGINT) AS length, passage, arg_min(name, (-dice, name)) AS licence, max(dice) AS dice
+FROM (SELECT *, row_number() OVER () AS n FROM compared WHERE dice >= {LEAST}) GROUP BY doc_id, passage
+"""
+
+
+@_query(_licence_sql())
+def op6_licences(spark: SparkSession, folder: str) -> DataFrame:
+    from panelflow.llm.licences import scan_licences
+    found = scan_licences(segments_of(_table(spark, folder, "documents")))
+    return found.select(F.col("id").alias("doc_id"), "length", "passage", "licence", "dice").distinct()
