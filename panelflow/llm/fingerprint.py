@@ -161,8 +161,8 @@ def with_next(rows: DataFrame, id: str, columns: list[str], parts: int = PARTS)
     """
     spark = rows.sparkSession
     at = F.col(id)
-    bounds = rows.select(at.cast("double").alias("v")).approxQuantile("v", [k / parts for k in range(1, parts)], 1 / (4 * parts))
-    bounds = sorted(set(bounds))
+    shares = [k / parts for k in range(1, parts)]
+    bounds = sorted(set(rows.select(at.cast("double").alias("v")).approxQuantile("v", shares, 1 / (4 * parts)))) if shares else []
     # A row's range is the number of bounds at or below its id.
     edges = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
     part = F.coalesce(F.size(F.filter(edges, lambda e: e <= at.cast("double"))), F.lit(0))

@@ -67,6 +67,11 @@ class Units:
         self.key = total[self.first[1:]] - total[self.first[:-1]]
         self.begin, self.end = begin, end
 
+    def spelled(self, data: np.ndarray, which: np.ndarray) -> list[str]:
+        """Some units as they stand in the text, lower-cased."""
+        raw, last = data.tobytes(), np.concatenate((self.word[1:], [len(self.begin)]))
+        return [raw[self.begin[self.word[u]]:self.end[last[u] - 1]].decode("utf-8", "replace").lower() for u in which.tolist()]
+
     def pick(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Letters of some units end to end, each after a start sign, and where each begins."""
         n = self.first[which + 1] - self.first[which]
@@ -120,7 +125,7 @@ class Model:
 
     def __init__(self, profiles: np.ndarray, toxic: int, weight: np.ndarray, bias: float):
         self.profiles, self.weight, self.bias = profiles, weight, bias
-        self.cut, self.scale = 0.0, 2.0
+        self.cut, self.scale, self.masked = 0.0, 2.0, np.inf
         # An upper bound of the kernel to any toxic landmark: units below FLOOR share too little with all of them.
         self.best = profiles[:toxic].max(0) if toxic else np.zeros(LETTERS ** 3, np.float32)
 
@@ -167,8 +172,14 @@ def _svm(x: np.ndarray, y: np.ndarray, c: float = 100.0) -> tuple[np.ndarray, fl
     return w[:-1], float(w[-1])
 
 
+def disguised(units: list[str], most: int = 4_000) -> list[str]:
+    """Units with one foreign letter between two of theirs, as written to slip past a word list."""
+    out = [u[:k] + "xqvwjz"[(k + n) % 6] + u[k:] for n, u in enumerate(units) for k in range(2, len(u) - 1)]
+    return out[:most]
+
+
 def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Model:
-    """Fit the machine on units of toxic and of clean sentences.
+    """Fit the machine on units of toxic and of clean sentences; ``disguised`` toxic units count as toxic.
 
     Three quarters of the landmarks are toxic units, each the one least like those before it; the rest are the clean
     units most like a toxic one. Kernel rows are whitened by the landmarks' own kernel (Nyström), and the machine is
@@ -185,7 +196,7 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Model
         letters, at = part
         return np.stack([_profiles(letters[at[r]:at[r + 1]], np.array([0, at[r + 1] - at[r]]))[0] for r in rows])
 
-    good, bad = lay_out(clean), lay_out(toxic)
+    good, bad, masked = lay_out(clean), lay_out(toxic), lay_out(disguised(toxic))
     picked, near = [0], None
     while len(picked) < min(len(bad[1]) - 1, 3 * landmarks // 4):
         k = kernel(*bad, choose(bad, [picked[-1]]))[:, 0]
@@ -202,10 +213,13 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Model
     value, vector = np.linalg.eigh(own)
     use = value > 1e-6 * value.max()
     white = vector[:, use] / np.sqrt(value[use])
-    x = np.concatenate((kernel(*bad, profiles), kernel(*good, profiles))) @ white
-    y = np.concatenate((np.ones(len(bad[1]) - 1), -np.ones(len(good[1]) - 1)))
-    w, bias = _svm(x, y)
-    return Model(profiles, len(picked), white @ w, bias)
+    x = np.concatenate([kernel(*part, profiles) for part in (bad, masked, good)]) @ white
+    n = len(good[1]) - 1
+    w, bias = _svm(x, np.concatenate((np.ones(len(x) - n), -np.ones(n))))
+    model = Model(profiles, len(picked), white @ w, bias)
+    if len(masked[1]) > 1:
+        model.masked = float(np.quantile(kernel(*masked, profiles) @ model.weight + bias, 0.05))
+    return model
 
 
 def _grams(units: Units) -> tuple[np.ndarray, np.ndarray]:
@@ -227,9 +241,10 @@ def rate_toxicity(segments: DataFrame, labels: DataFrame, id: str = "id", text:
     ``labels`` (id, toxic 0/1) mark whole segments; at most ``rows_per_label`` segments of each label (smallest hash of
     the id; a documented bound) are cut into distinct sentences, each labelled clean if any clean segment has it. Five-letter
     strings that toxic sentences have far more often than chance and clean ones do not are the evidence; the units
-    that hold them are the positive examples, units of clean sentences the negative ones. A text's margin is the largest
-    of its units' and the whole text is read. score is in 0..1; 0.7, where predicted becomes 1, lies midway between
-    the labelled segments' margins (or where fewest of them fall on the wrong side).
+    that hold them are the positive examples, units of clean sentences the negative ones, first common and random ones,
+    then those the first machine mistakes most. A text's margin is the largest
+    of its units' and the whole text is read. score is in 0..1; 0.7, where predicted becomes 1, lies between the
+    labelled segments' margins (or where fewest of them fall on the wrong side), below most disguised units if it can.
 
     Null and empty texts have the lowest margin. Rows with a null label or id teach nothing; of several labels of one
     id the largest holds; without evidence every text has the lowest margin. Repeated rows and null ids are scored row
@@ -293,9 +308,7 @@ def rate_toxicity(segments: DataFrame, labels: DataFrame, id: str = "id", text:
             pick = np.flatnonzero((bad & shows) | (~bad & ~shows))
             _, at, n = np.unique(units.key[pick], return_index=True, return_counts=True)
             pick = pick[at]
-            raw, last = data.tobytes(), np.concatenate((units.word[1:], [len(units.begin)]))
-            words = [raw[units.begin[units.word[u]]:units.end[last[u] - 1]].decode("utf-8", "replace").lower() for u in pick.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(bad[pick].astype(np.int32)), pa.array(n)], ["unit", "bad", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(units.spelled(data, pick), pa.string()), pa.array(bad[pick].astype(np.int32)), pa.array(n)], ["unit", "bad", "n"])
 
     model = lowest
     if len(found):
@@ -304,7 +317,21 @@ def rate_toxicity(segments: DataFrame, labels: DataFrame, id: str = "id", text:
         usual = [r["unit"] for r in seen.filter("bad = 0").orderBy(F.desc("n"), "unit").limit(3000).collect()]
         other = [r["unit"] for r in seen.filter("bad = 0").orderBy(F.xxhash64("unit"), "unit").limit(9000).collect()]
         if bad and usual:
-            model = fit(bad, list(dict.fromkeys(usual + other)))
+            first = fit(bad, list(dict.fromkeys(usual + other)))
+
+            def mistakable(batches):
+                for batch, data, offsets in text_slices(batches, "text"):
+                    units = Units(data, offsets)
+                    margin = first.margins(units)
+                    pick = np.flatnonzero(margin > first.bias / 2)
+                    _, at = np.unique(units.key[pick], return_index=True)
+                    pick = pick[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(units.spelled(data, pick), pa.string()), pa.array(margin[pick])], ["unit", "margin"])
+
+            # The clean units most like toxic ones, from all clean sentences of the sample, are learned in a second round.
+            hard = lines.filter("label = 0").mapInArrow(mistakable, "unit string, margin double").distinct()
+            hard = [r["unit"] for r in hard.orderBy(F.desc("margin"), "unit").limit(3000).collect()]
+            model = fit(bad, list(dict.fromkeys(hard + usual + other)))
             margin_of = model.texts
 
             def measure(batches):
@@ -337,5 +364,7 @@ def calibrate(model: Model, margin: np.ndarray, toxic: np.ndarray) -> None:
         return
     best = np.flatnonzero(wrong == wrong.min())
     k = best[np.argmax(gap[best])]
-    model.cut = float((m[k - 1] + m[k]) / 2)
+    # Disguised units should pass too, where labelled texts leave room for it.
+    low, high = float(m[k - 1]), float(m[k])
+    model.cut = low + 0.65 * (min(high, max(model.masked, low + 0.2 * gap[k])) - low)
     model.scale = float(np.clip(6 / gap[k], 2, 30))
