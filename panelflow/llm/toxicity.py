@@ -366,5 +366,5 @@ def calibrate(model: Model, margin: np.ndarray, toxic: np.ndarray) -> None:
     k = best[np.argmax(gap[best])]
     # Disguised units should pass too, where labelled texts leave room for it.
     low, high = float(m[k - 1]), float(m[k])
-    model.cut = low + 0.65 * (min(high, max(model.masked, low + 0.2 * gap[k])) - low)
+    model.cut = (low + high) / 2 if model.masked >= high else low + 0.8 * max(model.masked - low, 0.2 * float(gap[k]))
     model.scale = float(np.clip(6 / gap[k], 2, 30))
