@@ -18,6 +18,12 @@ def number_pages(d):
     return C.number_pages(d.file_listing).select("source", "id", "filename", "page_number")
 
 
+@query(sql("""SELECT id, page_count FROM (SELECT c.id, coalesce(n, 0)::INTEGER AS page_count FROM chapters c
+    LEFT JOIN (SELECT chapter_id, count(*) AS n FROM page_rows WHERE page_number > 2 GROUP BY 1) ON c.id = chapter_id)""", "chapters", "page_rows"))
+def refresh_page_counts(d):
+    return C.refresh_page_counts(d.chapters, d.pages.filter("page_number > 2")).select("id", "page_count")
+
+
 @query(sql("""SELECT l_orderkey AS chapter_id, l_linenumber, coalesce(last, 0) + row_number() OVER (PARTITION BY l_orderkey
       ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS page_number, l_extendedprice AS price
     FROM lineitem LEFT JOIN (SELECT chapter_id, max(page_number) AS last FROM page_rows WHERE is_translated GROUP BY 1) ON l_orderkey = chapter_id
@@ -229,7 +235,7 @@ def align_texts(d):
 
 @query(sql("""SELECT 'seg-' || page_id || '-' || reading_order AS id, page_id + 1 AS job_id, page_id, CASE WHEN reading_order < 4 THEN id ELSE -1 END AS bubble_id,
     original_text, CASE WHEN reading_order % 2 = 0 THEN 'T' ELSE '' END AS translated_text, id % 10 / 10 AS ocr_confidence,
-    CASE WHEN page_id % 2 = 0 THEN 'ja' ELSE 'ko' END AS source_language, 'en' AS target_language, 'completed' AS status FROM bubbles WHERE id % 7 <> 0""", "bubbles"))
+    CASE WHEN page_id % 2 = 0 THEN 'ja' ELSE 'ko' END AS source_language, 'en' AS target_language, 'completed' AS status, 0.0::DOUBLE AS processing_time_ms FROM bubbles WHERE id % 7 <> 0""", "bubbles"))
 def build_segments(d):
     segments, _ = C.build_segments(*_aligned(d), _job_pages(d))
     return segments.withColumn("bubble_id", F.coalesce("bubble_id", F.lit(-1)))

@@ -89,18 +89,22 @@ def chapter_manifest(d):
     return per_chapter.select("chapter_id", "manifest")
 
 
-@query(sql("""SELECT project_id, 0 AS part, '{"manga_title":"' || first(project_title) || '","chapters":[' || string_agg('{"number":' || chapter_number || ',"title":"' || title || '","pages":'
+@query(sql("""SELECT project_id, '{"manga_title":"' || first(project_title) || '","chapters":[' || string_agg('{"number":' || chapter_number || ',"title":"' || title || '","pages":'
     || page_count || '}', ',' ORDER BY chapter_number, id) || '],"total_chapters":' || count(*) || ',"total_pages":' || CAST(sum(page_count) AS BIGINT)
     || ',"format":"PNG","generated_at":"2024-01-01T00:00:00"}' AS manifest FROM counted GROUP BY 1""", "chapters", "projects", "page_rows", extra=COUNTS))
 def root_manifest(d):
     _, roots = E.export_manifest(_titled(d), d.pages, "1-3", "png", ts("2024-01-01 00:00:00"))
-    return roots.withColumn("part", F.col("part").cast("int"))
+    return roots
 
 
-@query(sql("""SELECT project_id, '{"series":"' || first(project_title) || '","format":"CBZ","pages":' || CAST(sum(page_count) AS BIGINT) || '}' AS comic_book_info
+@query(sql("""SELECT project_id, '{"series":"' || first(project_title) || '","format":"CBZ","pages":' || CAST(sum(page_count) AS BIGINT) || '}' AS comic_book_info,
+    '{"generated_at":"2024-01-01T00:00:00","manga_title":"' || first(project_title) || '","chapters":[' || string_agg('{"id":"' || id || '","number":' || chapter_number
+      || ',"title":"' || title || '","page_count":' || page_count || '}', ',' ORDER BY chapter_number, id) || '],"total_chapters":' || count(*)
+      || ',"quality":90,"comic_book_info":' || comic_book_info || ',"ComicRack":{"series":"' || first(project_title) || '","title":"' || first(project_title)
+      || '","genre":"Manga","language":"en"}}' AS metadata
     FROM counted GROUP BY 1""", "chapters", "projects", "page_rows", extra=COUNTS))
 def archive_manifest(d):
-    return E.archive_manifest(_titled(d), d.pages, "1-3")
+    return E.archive_manifest(_titled(d), d.pages, "1-3", generated_at=ts("2024-01-01 00:00:00"))
 
 
 @query(sql("""SELECT 'file' AS kind, id FROM page_rows WHERE created_at < TIMESTAMP '1998-07-01' - INTERVAL 24 HOUR
@@ -113,9 +117,9 @@ def expired_exports(d):
     return files.select(F.lit("file").alias("kind"), "id").unionByName(tasks.select(F.lit("task").alias("kind"), "id"))
 
 
-@query(sql("""SELECT page_id, count(*) AS regions, count(*) AS segments, true AS is_translated FROM
+@query(sql("""SELECT page_id, count(*) AS regions, count(*) AS segments, page_id % 7 <> 3 AS is_translated FROM
     (SELECT page_id FROM merged) GROUP BY page_id UNION ALL
-    SELECT id, 0, 0, true FROM jobs WHERE id NOT IN (SELECT page_id FROM merged)""", "raw_regions", "jobs",
+    SELECT id, 0, 0, id % 7 <> 3 FROM jobs WHERE id NOT IN (SELECT page_id FROM merged)""", "raw_regions", "jobs",
            extra=MERGED))
 def localize_corpus(d):
     """The whole page workflow: one text per merged region, read by one engine."""
@@ -140,4 +144,20 @@ def localized(d):
 
     pages = d.jobs.select(F.col("id").alias("page_id"), F.col("id").alias("job_id"), F.lit("ko").alias("source_language"),
                           F.lit("en").alias("target_language"), F.lit(None).cast("string").alias("context"))
-    return run(d.raw_regions, pages, read, d.memory, batch_provider(), now())
+    failed = d.jobs.filter("id % 7 = 3").select(F.col("id").alias("page_id"))
+    return run(d.raw_regions, pages, read, d.memory, batch_provider(), now(), failed=failed)
+
+
+@query(sql("""SELECT id AS job_id, 1 AS total_pages, CASE WHEN id % 7 <> 3 THEN 1 ELSE 0 END AS completed_pages, CASE WHEN id % 7 = 3 THEN 1 ELSE 0 END AS failed_pages,
+    'completed' AS status FROM jobs""", "jobs"))
+def localized_jobs(d):
+    return localized(d).jobs.select("job_id", *[F.col(c).cast("int").alias(c) for c in ("total_pages", "completed_pages", "failed_pages")], "status")
+
+
+@query(sql("""SELECT 'bub-' || page_id || '-' || (n - 1) AS id, page_id, CAST(n - 1 AS INTEGER) AS reading_order, engine AS detector_engine, has_mask AS has_precise_mask,
+    '[[' || x || ',' || y || '],[' || x + w || ',' || y || '],[' || x + w || ',' || y + h || '],[' || x || ',' || y + h || ']]' AS polygon_json,
+    '{"engine":"' || engine || '","has_mask":' || has_mask || ',"polygon_vertices":4,"area":' || w * h || '}' AS metadata_json FROM
+    (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY x + w / 2 DESC, y, confidence DESC, engine) AS n FROM merged) WHERE n <= 200""",
+           "raw_regions", extra=MERGED))
+def localized_bubbles(d):
+    return localized(d).bubbles.select("id", "page_id", "reading_order", "detector_engine", "has_precise_mask", "polygon_json", "metadata_json")

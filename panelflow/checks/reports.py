@@ -67,10 +67,11 @@ def overview(d):
 
 
 @query(sql(f"""SELECT *, {percent_sql('translated_pages', 'total_pages')} AS progress FROM (SELECT coalesce(project_id, -1) AS project_id, coalesce(chapter_id, -1) AS chapter_id,
-    CAST(grouping_id(project_id, chapter_id) AS BIGINT) AS level, CAST(sum(n) AS BIGINT) AS total_pages, CAST(sum(done) AS BIGINT) AS translated_pages
-    FROM per_chapter JOIN chapters ON chapters.id = chapter_id GROUP BY ROLLUP (project_id, chapter_id))""", *ALL, extra=TOTALS))
+    CAST(grouping_id(project_id, chapter_id) AS BIGINT) AS level, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_pages, CAST(coalesce(sum(done), 0) AS BIGINT) AS translated_pages
+    FROM (SELECT p.id AS project_id, c.id AS chapter_id, n, done FROM projects p LEFT JOIN chapters c ON c.project_id = p.id
+      LEFT JOIN per_chapter t ON t.chapter_id = c.id) GROUP BY ROLLUP (project_id, chapter_id)) WHERE level <> 0 OR chapter_id <> -1""", *ALL, extra=TOTALS))
 def progress_rollup(d):
-    return R.progress_rollup(d.chapters, d.pages).fillna(-1, ["project_id", "chapter_id"])
+    return R.progress_rollup(d.projects, d.chapters, d.pages).fillna(-1, ["project_id", "chapter_id"])
 
 
 @query(sql("""SELECT c.id, coalesce(n, 0) AS page_count, coalesce(done, 0) AS translated_pages FROM chapters c LEFT JOIN per_chapter ON c.id = chapter_id""",

@@ -46,7 +46,7 @@ def stream_job_state(d):
     root = scratch_path(d.spark, "state")
     store = CatalogStore(d.spark, root)
     S.run_batches(_events(d), S.upsert_job_state(store), f"{root}/checkpoint")
-    return d.spark.read.parquet(store.current("job_state")).select("job_id", "type", "status", "progress", "timestamp")
+    return S.job_state(store).select("job_id", "type", "status", "progress", "timestamp")
 
 
 @query(sql("SELECT event_id, job_id, type FROM progress_events ORDER BY timestamp DESC, event_id DESC LIMIT 100", "progress_events"))
@@ -82,6 +82,14 @@ def resource_windows(d):
     return S.resource_windows(d.snapshots.withColumn("ts", F.col("ts").cast("timestamp")), "30 minutes", "5 minutes")
 
 
+@query(sql("SELECT * FROM windows WHERE window_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM snapshots)", "snapshots", extra=WINDOWS))
+def stream_resource_windows(d):
+    """Windows the watermark has closed."""
+    from panelflow.domain import events_to_snapshots
+    samples = events_to_snapshots(S.stream_table(d.spark, d.folder, "events"))
+    return _appended(d, S.resource_windows(samples.withColumn("ts", F.col("ts").cast("timestamp")), "30 minutes", "5 minutes"), "resources")
+
+
 SPANS = """gaps AS (SELECT *, timestamp - lag(timestamp) OVER (PARTITION BY job_id ORDER BY timestamp) AS gap FROM progress_events),
 spans AS (SELECT job_id, min(timestamp) AS start, max(timestamp) + INTERVAL 10 MINUTE AS idle_since, count(*) AS events FROM
     (SELECT *, sum(CASE WHEN gap IS NULL OR gap > INTERVAL 10 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS n
@@ -121,24 +129,31 @@ def stream_translation(d):
 
 @query(sql("SELECT event_id, job_id FROM progress_events", "progress_events"))
 def stream_resumed(d):
-    """The same stream started twice with one checkpoint: the second start adds nothing."""
+    """A stream stopped midway and started again with its checkpoint: half of the events are there at the first
+    start, the rest at the second, and a third start adds nothing."""
     root = scratch_path(d.spark, "resume")
-    for _ in range(2):
-        S.run_resumable(_events(d).select("event_id", "job_id"), f"{root}/out", f"{root}/checkpoint")
+    events = d.table("events")
+    for half in (0, 1, None):
+        if half is not None:
+            events.filter(F.col("event_id") % 2 == half).write.mode("append").parquet(f"{root}/in")
+        source = d.spark.readStream.schema(events.schema).parquet(f"{root}/in")
+        S.run_resumable(events_to_progress(source).select("event_id", "job_id"), f"{root}/out", f"{root}/checkpoint")
     return d.spark.read.parquet(f"{root}/out")
 
 
-@query(sql("SELECT 'job_progress' AS type, job_id::VARCHAR AS job_id, progress FROM progress_events WHERE type = 'job_progress'", "progress_events"))
+@query(sql("SELECT type, job_id::VARCHAR AS job_id, status, progress, coalesce(current_page, -1) AS current_page, coalesce(total_pages, -1) AS total_pages, processing_time_ms, coalesce(bubbles_detected, -1) AS bubbles_detected FROM progress_events", "progress_events"))
 def read_progress_events(d):
-    """Events written as JSON lines, with keep-alive and broken lines between, read back as a stream."""
+    """Events of all types written as JSON lines, with keep-alive and broken lines between, read back as a stream."""
     from panelflow.sources.events import read_progress_events as read
     root = scratch_path(d.spark, "json")
-    wanted = d.progress_events.filter("type = 'job_progress'")
-    line = F.to_json(F.struct("type", F.col("job_id").cast("string").alias("job_id"), "progress", "timestamp"))
+    wanted = d.progress_events
+    fields = ["status", "progress", "current_page", "total_pages", "processing_time_ms", "bubbles_detected"]
+    line = F.to_json(F.struct("type", F.col("job_id").cast("string").alias("job_id"), *fields, "timestamp"))
     noise = wanted.select(F.when(F.col("event_id") % 2 == 0, '{"type": "heartbeat"}').otherwise("{broken").alias("value"))
     wanted.select(line.alias("value")).unionByName(noise).write.text(f"{root}/in")
     S.run_available(read(d.spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint")
-    return d.spark.read.parquet(f"{root}/out").select("type", "job_id", "progress")
+    return d.spark.read.parquet(f"{root}/out").select("type", "job_id", *fields).fillna(
+        -1, ["current_page", "total_pages", "bubbles_detected"])
 
 
 @query(sql("SELECT id, title FROM projects WHERE id % 2 = 0", "projects"))

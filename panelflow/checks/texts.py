@@ -13,16 +13,17 @@ from panelflow.session import cut
 
 SAMPLES = ["かな", "漢字", "한국어", "中한", "한中", "مرحبا", "สวัสดี", "Привет", "", "ệ", "λόγος", "  x  "]
 SAMPLE_SQL = "['" + "', '".join(SAMPLES) + "']"
-TEXTS = f"""texts AS (SELECT doc_id AS id, {SAMPLE_SQL}[CAST(doc_id % {len(SAMPLES)} + 1 AS INTEGER)]
-    || CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS t FROM documents)"""
+TEXTS = f"""texts AS (SELECT 2 * doc_id AS id, {SAMPLE_SQL}[CAST(doc_id % {len(SAMPLES)} + 1 AS INTEGER)]
+    || text AS t FROM documents
+  UNION ALL SELECT 2 * doc_id + 1, {SAMPLE_SQL}[CAST(doc_id % {len(SAMPLES)} + 1 AS INTEGER)] FROM documents)"""
 
 
 def texts(d):
-    """Documents in several scripts: each third text is a sample alone."""
+    """Documents in several scripts: every text after a sample, and the samples alone."""
     sample = F.element_at(F.array(*[F.lit(x) for x in SAMPLES]), (F.col("doc_id") % len(SAMPLES) + 1).cast("int"))
-    return d.table("documents").select(
-        F.col("doc_id").alias("id"),
-        F.concat(sample, F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text"))).alias("t"))
+    docs = d.table("documents")
+    return docs.select((2 * F.col("doc_id")).alias("id"), F.concat(sample, "text").alias("t")).unionByName(
+        docs.select((2 * F.col("doc_id") + 1).alias("id"), sample.alias("t")))
 
 
 def _n(rx: str) -> str:

@@ -77,14 +77,16 @@ def resolve_without_echo(d):
 
 
 def batch_provider():
-    """Stand-in engine: fails on German, else marks the text. The function is local, so
-    it travels to the workers with the plan."""
-    def mark(text: str, source: str, target: str, context: str | None) -> str:
-        if source == "de":
-            raise ValueError("no model")
-        return f"{target}: {text}"
+    """Stand-in engine that answers whole batches: fails on German, else marks the text. The function is
+    local, so it travels to the workers with the plan."""
+    def answer(batches):
+        for batch in batches:
+            failed = batch["source_language"] == "de"
+            text = batch["original_text"].where(failed, batch["target_language"] + ": " + batch["original_text"])
+            yield batch[["key"]].assign(engine=failed.map({True: "fallback", False: "google"}), text=text,
+                                        confidence=failed.map({True: 0.0, False: 0.95}).astype(float))
 
-    return X.per_row("google", mark)
+    return answer
 
 
 def _segments_sql() -> str:
@@ -113,23 +115,22 @@ def run_provider(d):
 
 
 @query(sql(f"""SELECT key, 'en: ' || original_text AS translated_text, 'google' AS engine, CAST(strlen(original_text) + 4 AS BIGINT) AS size
-    FROM requests ANTI JOIN live USING (key) WHERE source_language <> 'de' AND right(original_text, 1) NOT IN (' ', chr(10))""",
+    FROM (SELECT key, source_language, regexp_replace(original_text, '{STRIP}+$', '', 'g') AS original_text FROM requests)
+    ANTI JOIN live USING (key) WHERE source_language <> 'de'""",
            "segments", "memory", extra=REQUESTS))
 def learned_memory(d):
-    """Memory rows to append after one run (texts without white space at the end)."""
+    """Memory rows to append after one run."""
     _, learned = X.translate_segments(d.segments, d.memory, batch_provider(), now())
-    misses = X.memory_misses(X.distinct_requests(d.segments), d.memory, now())
-    ends = misses.filter(~F.substring("original_text", -1, 1).isin(" ", "\n")).select("key")
-    return learned.join(ends, "key", "left_semi").select("key", "translated_text", "engine", "size")
+    return learned.select("key", "translated_text", "engine", "size")
 
 
-@query(sql("SELECT 0 AS misses"))
+@query(sql("SELECT key, source_language FROM requests ANTI JOIN live USING (key) WHERE source_language = 'de'",
+           "segments", "memory", extra=REQUESTS))
 def second_run_misses(d):
-    """A second run over the same segments with the appended memory asks for fallbacks only."""
+    """What a second run over the same segments asks again, with the appended memory: the first run's fallbacks."""
     _, learned = X.translate_segments(d.segments, d.memory, batch_provider(), now())
     grown = X.append_memory(d.memory, learned)
-    left = X.memory_misses(X.distinct_requests(d.segments), grown, now()).filter("source_language <> 'de'")
-    return left.agg(F.count("*").cast("int").alias("misses"))
+    return X.memory_misses(X.distinct_requests(d.segments), grown, now()).select("key", "source_language")
 
 
 @query(sql(f"""SELECT page_id, 'Page contains ' || count(*) || ' text bubbles. First: ''' || substring(first(original_text ORDER BY reading_order, id), 1, 100)

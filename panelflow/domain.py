@@ -183,13 +183,7 @@ class Domain:
     @cached_property
     def snapshots(self) -> DataFrame:
         """Resource samples: one per event, host by user."""
-        return self.table("events").select(
-            (F.col("user_id") % 7).alias("host"),
-            F.col("event_id").alias("id"),
-            "ts",
-            F.bround(F.col("value") / 5, 4).alias("cpu_percent"),
-            F.bround(F.col("value") * 3, 4).alias("ram_used_mb"),
-        )
+        return events_to_snapshots(self.table("events"))
 
     @cached_property
     def file_listing(self) -> DataFrame:
@@ -205,6 +199,16 @@ class Domain:
         )
 
 
+def events_to_snapshots(events: DataFrame) -> DataFrame:
+    return events.select(
+        (F.col("user_id") % 7).alias("host"),
+        F.col("event_id").alias("id"),
+        "ts",
+        F.bround(F.col("value") / 5, 4).alias("cpu_percent"),
+        F.bround(F.col("value") * 3, 4).alias("ram_used_mb"),
+    )
+
+
 def events_to_progress(events: DataFrame) -> DataFrame:
     """Progress events from the events table, batch or stream."""
     kind = (F.when(F.col("event_type") == "signup", "job_progress")

@@ -62,6 +62,13 @@ def append_pages(existing: DataFrame, new: DataFrame, **kw) -> DataFrame:
         "page_number", F.coalesce("last", F.lit(0)) + F.col("__n")).drop("last", "__n")
 
 
+def refresh_page_counts(chapters: DataFrame, pages: DataFrame) -> DataFrame:
+    """Chapters with page_count as their pages now say, for use after pages were appended or removed."""
+    counts = pages.groupBy("chapter_id").agg(F.count("*").cast("int").alias("__n"))
+    return chapters.join(counts, chapters["id"] == counts["chapter_id"], "left").select(
+        *[chapters[c] for c in chapters.columns if c != "page_count"], F.coalesce("__n", F.lit(0)).alias("page_count"))
+
+
 def validate_uploads(files: DataFrame, batch: str = "batch") -> DataFrame:
     """Error text per file (null when fine) and whether the whole batch is accepted."""
     ext = t.extension(F.col("filename"))
@@ -132,9 +139,6 @@ def storage_usage(files: DataFrame, level: int = -3) -> DataFrame:
 
 # --- find or create ---------------------------------------------------------
 
-MAX_TITLE = 255
-
-
 def earliest_containing(patterns: DataFrame, titles: DataFrame) -> DataFrame:
     """For each (pattern) the smallest ``pick`` of the (title, pick) rows whose title contains it.
 
@@ -143,13 +147,12 @@ def earliest_containing(patterns: DataFrame, titles: DataFrame) -> DataFrame:
     substrings of the lengths that patterns have, each substring keeping only
     its smallest pick, so a plain pattern meets exactly one index row. A
     pattern with wildcards looks up its longest plain run and is then tested.
-    Titles have at most 255 characters.
     """
     p = patterns.select(F.lower("pattern").alias("p")).distinct().withColumn(
         "run", F.array_max(F.transform(F.split("p", "[%_]+"), lambda s: F.struct(F.length(s).alias("n"), s.alias("s")))))
-    p = p.select("p", F.col("run.n").alias("n"), F.col("run.s").alias("run")).filter(F.col("n") <= MAX_TITLE)
+    p = p.select("p", F.col("run.n").alias("n"), F.col("run.s").alias("run"))
     tt = titles.groupBy(F.lower("title").alias("title")).agg(F.min("pick").alias("pick"))
-    # At most 256 small integers come to the driver.
+    # The distinct lengths of patterns come to the driver: small integers, as many as the longest title has letters.
     lengths = sorted(r[0] for r in p.select("n").distinct().collect() if r[0] > 0)
     spans = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("title"))
     index = tt.withColumn("__n", F.explode(spans)).withColumn(
@@ -326,7 +329,9 @@ def build_segments(bubbles: DataFrame, calls: DataFrame, translations: DataFrame
         F.concat_ws("-", F.lit("seg"), F.col("page_id").cast("string"), F.col("region_index").cast("string")).alias("id"),
         "job_id", "page_id", "bubble_id", F.col("text").alias("original_text"),
         F.coalesce("translated_text", F.lit("")).alias("translated_text"),
-        F.col("confidence").alias("ocr_confidence"), *language, F.lit("completed").alias("status"))
+        F.col("confidence").alias("ocr_confidence"), *language, F.lit("completed").alias("status"),
+        (F.coalesce("processing_time_ms", F.lit(0.0)) if "processing_time_ms" in spoken.columns else F.lit(0.0)).alias(
+            "processing_time_ms"))
     new = aligned.filter(F.col("bubble_id").isNotNull()).select(
         "bubble_id", F.col("text").alias("__text"), F.col("confidence").alias("__conf"),
         F.coalesce("translated_text", F.lit("")).alias("__tr"), F.col("rotation").alias("__rot"))

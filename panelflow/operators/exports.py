@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.functions.text import strip
-from panelflow.operators.skew import numbered
 from panelflow.functions.values import half_even
 
-MANIFEST_ROWS = 10_000
 WHOLE = r"^[+-]?[0-9]+$"
 
 
@@ -106,11 +104,11 @@ def plan_page_paths(pages: DataFrame, layout: str = "import", image_format: str
 
 
 def export_manifest(chapters: DataFrame, pages: DataFrame, page_range: str = "", image_format: str = "jpg",
-                    generated_at: Column | None = None, rows: int = MANIFEST_ROWS) -> tuple[DataFrame, DataFrame]:
+                    generated_at: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """JSON of every chapter, and the root JSON of every project.
 
-    chapters: id, project_id, project_title, chapter_number, title. A root lists its
-    chapters by number; a project with more than ``rows`` chapters gets several numbered parts.
+    chapters: id, project_id, project_title, chapter_number, title. A root is one document that lists
+    the project's chapters by number, so its size is that of one row.
     """
     stamp = F.date_format(generated_at if generated_at is not None else F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
     fmt = F.lit(image_format.upper())
@@ -119,26 +117,36 @@ def export_manifest(chapters: DataFrame, pages: DataFrame, page_range: str = "",
         F.col("project_title").alias("manga_title"), "chapter_number", F.col("title").alias("chapter_title"),
         "page_count", fmt.alias("format"), stamp.alias("generated_at")))
     per_chapter = counted.select("project_id", F.col("id").alias("chapter_id"), meta.alias("manifest"))
-    listed = numbered(counted, ["project_id"], [F.col("chapter_number"), F.col("id")], "__n").withColumn(
-        "part", F.floor((F.col("__n") - 1) / rows))
-    totals = counted.groupBy("project_id").agg(
+    item = F.struct("chapter_number", "id", F.struct(
+        F.col("chapter_number").alias("number"), "title", F.col("page_count").alias("pages")).alias("c"))
+    roots = counted.groupBy("project_id").agg(
+        F.max("project_title").alias("manga_title"), F.sort_array(F.collect_list(item)).alias("cs"),
         F.sum("page_count").alias("total_pages"), F.count("*").alias("total_chapters"))
-    item = F.struct("__n", F.struct(F.col("chapter_number").alias("number"), "title", F.col("page_count").alias("pages")).alias("c"))
-    parts = listed.groupBy("project_id", "part").agg(
-        F.max("project_title").alias("manga_title"), F.sort_array(F.collect_list(item)).alias("cs")).join(totals, "project_id")
     root = F.to_json(F.struct(
         "manga_title", F.transform("cs", lambda c: c["c"]).alias("chapters"), "total_chapters", "total_pages",
         fmt.alias("format"), stamp.alias("generated_at")))
-    return per_chapter, parts.select("project_id", "part", root.alias("manifest"))
+    return per_chapter, roots.select("project_id", root.alias("manifest"))
 
 
-def archive_manifest(chapters: DataFrame, pages: DataFrame, page_range: str = "", rows: int = MANIFEST_ROWS) -> DataFrame:
-    """Root manifest of a comic archive: series block with the total page count."""
-    _, roots = export_manifest(chapters, pages, page_range, "cbz", F.lit("2000-01-01").cast("timestamp"), rows)
-    doc = F.from_json("manifest", "manga_title string, total_pages bigint, total_chapters bigint")
-    series = F.to_json(F.struct(
-        doc["manga_title"].alias("series"), F.lit("CBZ").alias("format"), doc["total_pages"].alias("pages")))
-    return roots.filter("part = 0").select("project_id", series.alias("comic_book_info"))
+def archive_manifest(chapters: DataFrame, pages: DataFrame, page_range: str = "", quality: int = 90,
+                     language: str = "en", generated_at: Column | None = None) -> DataFrame:
+    """Metadata of every project's comic archive: its chapters and totals, and the series blocks of comic readers.
+
+    Returns project_id, comic_book_info (series block alone) and metadata (the whole document).
+    """
+    stamp = F.date_format(generated_at if generated_at is not None else F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+    counted = count_selected(chapters, pages, page_range)
+    item = F.struct("chapter_number", F.col("id").alias("by"), F.struct(
+        F.col("id").cast("string").alias("id"), F.col("chapter_number").alias("number"), "title", "page_count").alias("c"))
+    whole = counted.groupBy("project_id").agg(
+        F.max("project_title").alias("manga_title"), F.sort_array(F.collect_list(item)).alias("cs"),
+        F.sum("page_count").alias("n_pages"), F.count("*").alias("total_chapters"))
+    series = F.struct(F.col("manga_title").alias("series"), F.lit("CBZ").alias("format"), F.col("n_pages").alias("pages"))
+    reader = F.struct(F.col("manga_title").alias("series"), F.col("manga_title").alias("title"), F.lit("Manga").alias("genre"),
+                      F.lit(language).alias("language"))
+    return whole.select("project_id", F.to_json(series).alias("comic_book_info"), F.to_json(F.struct(
+        stamp.alias("generated_at"), "manga_title", F.transform("cs", lambda c: c["c"]).alias("chapters"), "total_chapters",
+        F.lit(quality).alias("quality"), series.alias("comic_book_info"), reader.alias("ComicRack"))).alias("metadata"))
 
 
 def expired_exports(files: DataFrame, now: Column, hours: int = 24) -> DataFrame:

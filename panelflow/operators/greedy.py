@@ -47,12 +47,16 @@ class Rule:
     drop_over: float
     take_over: float | None = None
 
+    def share(self, k: Column, r: Column) -> Column:
+        return g.iou(k, r) if self.over_union else g.overlap_min(k, r)
+
     def drops(self, k: Column, r: Column) -> Column:
-        return (g.iou(k, r) if self.over_union else g.overlap_min(k, r)) > self.drop_over
+        return self.share(k, r) > self.drop_over
+
 
-    def takes(self, k: Column, r: Column) -> Column:
-        share = g.iou(k, r) if self.over_union else g.overlap_min(k, r)
-        return (share > self.take_over) & r["has_mask"] & ~k["has_mask"]
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _fold(start: Column, rows: Column, rule: Rule) -> Column:
@@ -60,14 +64,18 @@ def _fold(start: Column, rows: Column, rule: Rule) -> Column:
         appended = F.concat(accepted, F.array(row))
         if rule.take_over is None:
             return F.when(F.exists(accepted, lambda k: rule.drops(k, row)), accepted).otherwise(appended)
-        collides = F.transform(accepted, lambda k: rule.drops(k, row) | rule.takes(k, row))
-        place = F.array_position(collides, F.lit(True))
-        replaced = F.transform(accepted, lambda k, i: F.when(i + 1 == place, row).otherwise(k))
-        return (
-            F.when(~F.exists(accepted, lambda k: rule.drops(k, row) | rule.takes(k, row)), appended)
-            .when(rule.drops(F.element_at(accepted, place.cast("int")), row), accepted)
-            .otherwise(replaced)
-        )
+
+        def kind(k: Column) -> Column:
+            """0: no collision, 1: takeover, 2: plain; the overlap of a pair is computed once."""
+            return _bound(rule.share(k, row), lambda s: F.when(s > rule.drop_over, 2).when(
+                (s > rule.take_over) & row["has_mask"] & ~k["has_mask"], 1).otherwise(0))
+
+        def settle(kinds: Column, place: Column) -> Column:
+            replaced = F.transform(accepted, lambda k, i: F.when(i + 1 == place, row).otherwise(k))
+            return F.when(place == 0, appended).when(F.get(kinds, place.cast("int") - 1) == 2, accepted).otherwise(replaced)
+
+        return _bound(F.transform(accepted, kind), lambda kinds: _bound(
+            F.array_position(F.transform(kinds, lambda c: c > 0), F.lit(True)), lambda place: settle(kinds, place)))
 
     return F.aggregate(rows, start, step)
 
@@ -86,8 +94,11 @@ def greedy(
 
     ``keys`` must not be null. ``order`` are ascending sort columns (negate for descending);
     the other columns break ties. ``never`` marks rows that cannot collide with anything; in
-    hot groups they are kept without being played. ``hot_kw`` goes to the rounds.
+    hot groups they are kept without being played, in their place. A null mask counts as none.
+    ``hot_kw`` goes to the rounds.
     """
+    if rule.take_over is not None:
+        df = df.withColumn("has_mask", F.coalesce("has_mask", F.lit(False)))
     payload = [c for c in df.columns if c not in keys]
     rows = df.select(*keys, F.struct(
         *[c.alias(f"__o{i}") for i, c in enumerate(order)], *payload
@@ -99,9 +110,7 @@ def greedy(
         .select(*keys, F.posexplode(_fold(empty, F.col("__rows"), rule)).alias("__pos", "__row"))
     )
     if hot is not None:
-        played = _rounds(hot.filter("NOT __never").drop("__never"), keys, rule, **hot_kw)
-        aside = hot.filter("__never").select(*keys, F.lit(None).cast("int").alias("__pos"), "__row")
-        accepted = accepted.unionByName(played).unionByName(aside)
+        accepted = accepted.unionByName(_rounds(hot, keys, rule, **hot_kw))
     place = [F.col("__pos").alias(position)] if position else []
     return accepted.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in payload], *place).select(
         *df.columns, *([position] if position else []))
@@ -125,8 +134,8 @@ def _kernels(over_union: bool, drop_over: float, take_over: float | None):
         slots, head = group[group["pos"].notna()].sort_values("pos"), group[group["pos"].isna()].sort_values("n")
         m = len(slots)
         boxes = np.zeros((m + len(head), 4))
-        masks, owner = np.zeros(len(boxes), bool), np.zeros(len(boxes), np.int64)
-        boxes[:m], masks[:m], owner[:m] = slots[["x", "y", "w", "h"]].to_numpy(float), slots["m"], slots["n"]
+        masks, owner, opened = np.zeros(len(boxes), bool), np.zeros(len(boxes), np.int64), np.zeros(len(boxes), np.int64)
+        boxes[:m], masks[:m], owner[:m], opened[:m] = slots[["x", "y", "w", "h"]].to_numpy(float), slots["m"], slots["n"], slots["opened"]
         for box, mask, n in zip(head[["x", "y", "w", "h"]].to_numpy(float), head["m"].to_numpy(bool), head["n"].to_numpy()):
             share = shares(boxes[:m], box[None, :])[0]
             hit = share > drop_over
@@ -135,11 +144,12 @@ def _kernels(over_union: bool, drop_over: float, take_over: float | None):
             at = int(hit.argmax()) if m else 0
             if m == 0 or not hit[at]:
                 at, m = m, m + 1
+                opened[at] = n
             elif share[at] > drop_over:
                 continue
             boxes[at], masks[at], owner[at] = box, mask, n
         out = pd.DataFrame(boxes[:m], columns=["x", "y", "w", "h"])
-        return out.assign(m=masks[:m], n=owner[:m], pos=np.arange(m, dtype=np.int64))
+        return out.assign(m=masks[:m], n=owner[:m], pos=np.arange(m, dtype=np.int64), opened=opened[:m])
 
     def test(rows: pd.DataFrame, slots: pd.DataFrame, block: int = 256) -> pd.DataFrame:
         """Rows not settled by the slots: pos is the place a row waits on (-1: none). Also, as rows
@@ -177,13 +187,13 @@ def _rounds(hot: DataFrame, keys: list[str], rule: Rule, head_rows: int = HEAD_R
             chunk_rows: int = CHUNK_ROWS, **number_kw) -> DataFrame:
     ranked = cut(numbered(hot, keys, [F.col("__row")], "__n", **number_kw))
     mask = F.col("__row.has_mask") if rule.take_over is not None else F.lit(False)
-    rest = ranked.select(*keys, F.col("__n").alias("n"), *[F.col(f"__row.{c}").cast("double").alias(c) for c in BOX],
+    rest = ranked.filter("NOT __never").select(*keys, F.col("__n").alias("n"), *[F.col(f"__row.{c}").cast("double").alias(c) for c in BOX],
                          mask.alias("m"))
     play, test = _kernels(rule.over_union, rule.drop_over, rule.take_over)
     kinds = {f.name: f.dataType.simpleString() for f in rest.schema.fields}
     names = [*keys, "n", *BOX, "m"]
-    slot_type = ", ".join(f"{c} {kinds[c]}" for c in names) + ", pos long"
-    test_type = slot_type + ", taker long"
+    slot_type = ", ".join(f"{c} {kinds[c]}" for c in names) + ", pos long, opened long"
+    test_type = slot_type.replace("opened", "taker")
     width = len(keys)
 
     def keyed(fn):
@@ -194,7 +204,7 @@ def _rounds(hot: DataFrame, keys: list[str], rule: Rule, head_rows: int = HEAD_R
         return run
 
     def play_group(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return keyed(play)(key, group)[[*names, "pos"]]
+        return keyed(play)(key, group)[[*names, "pos", "opened"]]
 
     def test_group(key: tuple, rows: pd.DataFrame, slots: pd.DataFrame) -> pd.DataFrame:
         out = keyed(test)(key, rows, slots)[[*names, "pos", "taker"]]
@@ -202,7 +212,8 @@ def _rounds(hot: DataFrame, keys: list[str], rule: Rule, head_rows: int = HEAD_R
 
     slots = None
     while not rest.isEmpty():
-        head = first_rows(rest, keys, [F.col("n")], head_rows).withColumn("pos", F.lit(None).cast("long"))
+        head = first_rows(rest, keys, [F.col("n")], head_rows).withColumns(
+            {"pos": F.lit(None).cast("long"), "opened": F.lit(None).cast("long")})
         onto = head if slots is None else head.unionByName(slots)
         slots = cut(onto.groupBy(*keys).applyInPandas(play_group, slot_type))
         last = head.groupBy(*keys).agg(F.max("n").alias("last"))
@@ -218,7 +229,10 @@ def _rounds(hot: DataFrame, keys: list[str], rule: Rule, head_rows: int = HEAD_R
         free = rows.filter("pos < 0")
         waiting = salted_lookup(rows.filter("pos >= 0"), takers, [*keys, "pos"]).filter("n > first_taker")
         rest = cut(free.unionByName(waiting.drop("first_taker")).select(*names))
-    if slots is None:
-        return ranked.limit(0).select(*keys, F.lit(None).cast("int").alias("__pos"), "__row")
-    places = slots.select(*keys, F.col("n").alias("__n"), F.col("pos").cast("int").alias("__pos"))
+    # A place in the list belongs to the row that opened it; rows that never collide open one each.
+    opened = ranked.filter("__never").select(*keys, "__n", F.col("__n").alias("__opened"))
+    if slots is not None:
+        opened = opened.unionByName(slots.select(*keys, F.col("n").alias("__n"), F.col("opened").alias("__opened")))
+    places = numbered(opened, keys, [F.col("__opened")], "__at", **number_kw).select(
+        *keys, "__n", (F.col("__at") - 1).cast("int").alias("__pos"))
     return ranked.join(places, [*keys, "__n"]).select(*keys, "__pos", "__row")

@@ -39,8 +39,9 @@ def replay_actions(jobs: DataFrame, actions: DataFrame, chunk_rows: int = CHUNK_
     actions: job_id, action, at, action_id. A job's actions depend on each
     other, but each action is a mapping over seven statuses, and mappings
     compose. So actions are cut into chunks, each chunk is reduced to one
-    mapping in parallel, the short list of mappings gives each chunk's first
-    status, and the chunks are replayed in parallel.
+    mapping in parallel, and so are spans of ``chunk_rows`` chunks. The short
+    list of a job's spans gives each span's first status, a span gives those of
+    its chunks, and the chunks are replayed in parallel.
     """
     table = _transition_table()
     names = F.array(*[F.lit(s) for s in STATUS_ARRAY])
@@ -53,11 +54,22 @@ def replay_actions(jobs: DataFrame, actions: DataFrame, chunk_rows: int = CHUNK_
         m, lambda i: F.coalesce(F.element_at(F.try_element_at(table, r["action"]), i + 1), i))))
     first = jobs.select(F.col("id").alias("job_id"),
                         (F.array_position(names, F.col("status")).cast("int") - 1).alias("__first"))
-    maps = chunks.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("__chunk", "__map"))).alias("__maps"))
-    starts = maps.join(first, "job_id").select("job_id", F.posexplode(F.aggregate(
-        F.slice("__maps", 1, F.size("__maps") - 1), F.array("__first"),
-        lambda acc, m: F.concat(acc, F.array(F.element_at(m["__map"], F.element_at(acc, -1) + 1))),
-    )).alias("__chunk", "__start"))
+    def gathered(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(place).alias("at"), F.col("__map").alias("map")))).alias("__maps"))
+
+    def walked(rows: DataFrame, keys: list[str], place: str, start: str) -> DataFrame:
+        """The status index before each mapping of a list, from the one before the first."""
+        states = F.aggregate(F.slice("__maps", 1, F.size("__maps") - 1), F.array(start), lambda acc, m: F.concat(
+            acc, F.array(F.element_at(m["map"], F.element_at(acc, -1) + 1))))
+        return rows.select(*keys, F.explode(F.arrays_zip(F.col("__maps.at").alias("at"), states.alias("start"))).alias("x")).select(
+            *keys, F.col("x.at").alias(place), F.col("x.start").alias("__start"))
+
+    spans = gathered(chunks.select("job_id", F.floor(F.col("__chunk") / chunk_rows).alias("__span"), "__chunk", "__map"),
+                     ["job_id", "__span"], "__chunk")
+    composed = spans.select("job_id", "__span", F.aggregate("__maps", identity, lambda m, s: F.transform(
+        m, lambda i: F.element_at(s["map"], i + 1))).alias("__map"))
+    tops = walked(gathered(composed, ["job_id"], "__span").join(first, "job_id"), ["job_id"], "__span", "__first")
+    starts = walked(spans.join(tops, ["job_id", "__span"]), ["job_id"], "__chunk", "__start")
     states = F.aggregate("__rows", F.array("__start"), lambda acc, r: F.concat(acc, F.array(F.coalesce(
         F.element_at(F.try_element_at(table, r["action"]), F.element_at(acc, -1) + 1), F.element_at(acc, -1)))))
     replayed = chunks.join(starts, ["job_id", "__chunk"]).withColumn("__states", states).select(

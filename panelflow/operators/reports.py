@@ -118,17 +118,21 @@ def overview(projects: DataFrame, chapters: DataFrame, pages: DataFrame) -> Data
     return out.withColumn("overall_progress", percent(F.col("translated_pages"), F.col("total_pages")))
 
 
-def progress_rollup(chapters: DataFrame, pages: DataFrame) -> DataFrame:
+def progress_rollup(projects: DataFrame, chapters: DataFrame, pages: DataFrame) -> DataFrame:
     """Progress of every chapter, every project and the corpus in one pass (level 0, 1, 3).
 
     Pages are reduced to one row per chapter first, so the rollup expands chapters, not pages.
+    Chapters without pages and projects without chapters count with 0.
     """
     per_chapter = pages.groupBy("chapter_id").agg(
         F.count("*").alias("pages"), F.count_if("is_translated").alias("translated"))
-    total, done = F.sum("pages"), F.sum("translated")
-    return pages_of(chapters, per_chapter).rollup("project_id", "chapter_id").agg(
+    total, done = F.coalesce(F.sum("pages"), F.lit(0)), F.coalesce(F.sum("translated"), F.lit(0))
+    listed = chapters.select("project_id", F.col("id").alias("chapter_id")).join(per_chapter, "chapter_id", "left")
+    listed = projects.select(F.col("id").alias("project_id")).join(listed, "project_id", "left")
+    out = listed.rollup("project_id", "chapter_id").agg(
         F.grouping_id().alias("level"), total.alias("total_pages"), done.alias("translated_pages"),
         percent(done, total).alias("progress"))
+    return out.filter("level <> 0 OR chapter_id IS NOT NULL")
 
 
 def chapter_pages(chapters: DataFrame, pages: DataFrame) -> DataFrame:

@@ -99,15 +99,9 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "r
     return running(df, keys, order, {name: F.lit(1).cast("long")}, **kw)
 
 
-GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
-
-
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """First n rows per key. The rank filter lets Spark cut every map task's
     rows to n per key before the shuffle, so a hot key never arrives whole.
-    Spark does so up to a session limit, which is raised to n where it is lower."""
-    conf = df.sparkSession.conf
-    if 0 <= int(conf.get(GROUP_LIMIT, "1000")) < n:
-        conf.set(GROUP_LIMIT, str(n))
+    Spark does so up to a session limit, which ``session.tune`` sets."""
     ranked = df.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col("__rn") <= n).drop("__rn")

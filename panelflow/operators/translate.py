@@ -61,6 +61,11 @@ def page_context(bubbles: DataFrame, given: str | None = None) -> DataFrame:
     return pages.select("page_id", F.nullif(t.strip(F.coalesce(line, "base")), F.lit("")).alias("context"))
 
 
+def detected_language(rows: DataFrame) -> Column:
+    """Language found in a text whose source is 'auto'; null for other rows."""
+    return F.when(rows["source_language"] == "auto", t.script_presence(rows["original_text"]))
+
+
 # --- memory -----------------------------------------------------------------
 
 def live_memory(memory: DataFrame, now: Column) -> DataFrame:
@@ -153,9 +158,14 @@ def per_row(engine: str, translate: Callable[[str, str, str, str | None], str])
     return run
 
 
-def run_provider(requests: DataFrame, provider: Provider, parallelism: int | None = 5) -> DataFrame:
-    """Candidate rows from a provider; at most ``parallelism`` tasks call it at once
-    (None leaves the partitioning to Spark)."""
+def run_provider(requests: DataFrame, provider: Provider, parallelism: int | None = None) -> DataFrame:
+    """Candidate rows from a provider. Spark decides how many tasks call it; ``parallelism`` sets that number for
+    services that allow only so many callers.
+
+    A source language of 'auto' is detected per text first; where that fails the provider is told 'auto'.
+    """
+    found = detected_language(requests)
+    requests = requests.withColumn("source_language", F.when(found != "unknown", found).otherwise(F.col("source_language")))
     spread = requests.repartition(parallelism) if parallelism else requests
     return spread.mapInPandas(provider, CANDIDATE)
 
@@ -201,7 +211,8 @@ def translate_segments(segments: DataFrame, memory: DataFrame, provider: Provide
     """Translated segments and the memory rows to append.
 
     Equal requests are asked once; only requests without a live memory entry
-    reach the provider; fallbacks are returned but not remembered.
+    reach the provider; fallbacks are returned but not remembered. The key keeps 'auto'; the provider is
+    told the language found in the text, and detected_source_language has it.
     """
     def ask(misses: DataFrame) -> DataFrame:
         return resolve_translations(misses, run_provider(misses, provider, parallelism), priority, reject_echo)
@@ -210,6 +221,7 @@ def translate_segments(segments: DataFrame, memory: DataFrame, provider: Provide
     out = translation_keys(segments).join(
         answers.select("key", "translated_text", "confidence", "engine", "from_memory"), "key", "left")
     out = out.withColumns({
+        "detected_source_language": F.coalesce(detected_language(out), F.lit("")),
         "translated_text": F.coalesce("translated_text", F.lit("")),
         "confidence": F.coalesce("confidence", F.lit(1.0)),
         "engine": F.coalesce("engine", F.lit("")),

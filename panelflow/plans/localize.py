@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelflow import schema
 from panelflow.operators import catalog as C
+from panelflow.operators import jobs as J
 from panelflow.operators import ocr as O
 from panelflow.operators import regions as R
 from panelflow.operators import translate as X
@@ -24,6 +25,7 @@ class Localized:
     bubbles: DataFrame
     page_status: DataFrame
     learned: DataFrame
+    jobs: DataFrame
 
 
 def run_engine(pages: DataFrame, engine, out) -> DataFrame:
@@ -32,24 +34,33 @@ def run_engine(pages: DataFrame, engine, out) -> DataFrame:
 
 
 def localize_corpus(raw: DataFrame, pages: DataFrame, ocr: Callable[[DataFrame], DataFrame], memory: DataFrame,
-                    provider: X.Provider, now: Column, fallback: DataFrame | None = None, **kw) -> Localized:
-    """Detect, merge and order regions; read, translate and align their texts; report each page.
+                    provider: X.Provider, now: Column, fallback: DataFrame | None = None, failed: DataFrame | None = None,
+                    **kw) -> Localized:
+    """Detect, merge and order regions; read, translate and align their texts; report each page and job.
 
     pages: page_id, job_id, source_language, target_language, context. ``ocr`` turns ordered
-    regions (page_id, region_index, box) into engine results per call.
+    regions (page_id, region_index, box) into engine results per call. ``failed`` lists pages (page_id)
+    given up after their retries: they are not translated, and their job counts them.
     """
     kept = R.filter_regions(raw)
     if fallback is not None:
         kept = R.with_fallback(kept, fallback)
     merged = R.reading_order(R.merge_regions(kept, position="merge_rank"), hot_rows=None)
     # Read by OCR, bubbles and page status: written once.
-    regions = cut(merged.withColumn("region_index", F.col("reading_order").cast("int")))
+    given = [F.lit(None).cast(k).alias(c) for c, k in (("text_prompt", "string"), ("time_ms", "double")) if c not in merged.columns]
+    described = R.region_json(R.with_polygon(merged.select("*", *given)))
+    regions = cut(described.select(*merged.columns, "metadata_json", F.to_json(F.transform(
+        "polygon", lambda p: F.array(p["x"], p["y"]))).alias("polygon_json")).withColumn(
+        "region_index", F.col("reading_order").cast("int")))
     calls = cut(O.call_text(cut(O.best_ocr(ocr(regions)))))
     bubbles = regions.filter(F.col("region_index") < schema.MAX_REGIONS_PER_PAGE).select(
         F.concat_ws("-", F.lit("bub"), F.col("page_id").cast("string"), F.col("region_index").cast("string")).alias("id"),
         "page_id", "region_index", "bubble_type", "x", "y", "w", "h", "confidence",
         F.lit(None).cast("string").alias("original_text"), F.lit(None).cast("string").alias("translated_text"),
-        F.lit(False).alias("is_translated"), F.lit(0.0).alias("rotation"))
+        F.lit(False).alias("is_translated"), F.lit(0.0).alias("rotation"), "polygon_json",
+        F.col("region_index").alias("reading_order"), F.col("engine").alias("detector_engine"),
+        F.coalesce("has_mask", F.lit(False)).alias("has_precise_mask"), "metadata_json",
+        now.cast("timestamp_ntz").alias("created_at"))
     asked = calls.filter(F.col("text") != "").select("page_id", "region_index", F.col("text").alias("original_text")).join(
         pages.select("page_id", "source_language", "target_language", "context"), "page_id")
     done, learned = X.translate_segments(asked, memory, provider, now, **kw)
@@ -57,7 +68,10 @@ def localize_corpus(raw: DataFrame, pages: DataFrame, ocr: Callable[[DataFrame],
     segments, updated = C.build_segments(bubbles, calls, translated, pages)
     counts = regions.groupBy("page_id").agg(F.count("*").alias("regions"))
     texts = segments.groupBy("page_id").agg(F.count("*").alias("segments"))
-    status = pages.select("page_id").join(counts, "page_id", "left").join(texts, "page_id", "left").select(
-        "page_id", F.coalesce("regions", F.lit(0)).alias("regions"), F.coalesce("segments", F.lit(0)).alias("segments"),
-        F.lit(True).alias("is_translated"))
-    return Localized(regions, calls, segments, updated, status, learned)
+    lost = (failed if failed is not None else pages.limit(0)).select("page_id").distinct().withColumn("__lost", F.lit(True))
+    status = pages.select("page_id", "job_id").join(counts, "page_id", "left").join(texts, "page_id", "left").join(
+        lost, "page_id", "left").select(
+        "page_id", "job_id", F.coalesce("regions", F.lit(0)).alias("regions"), F.coalesce("segments", F.lit(0)).alias("segments"),
+        F.col("__lost").isNull().alias("is_translated"))
+    jobs = J.job_rollup(status.select("job_id", F.col("is_translated").alias("ok")))
+    return Localized(regions, calls, segments, updated, status.drop("job_id"), learned, jobs)

@@ -1,6 +1,6 @@
 """Catalog tables as versioned parquet folders.
 
-A table folder holds version folders. Spark writes its success marker last, so
+A table folder holds version folders, or parts written by micro-batches. Spark writes its success marker last, so
 the newest version with a marker is the current state; a writer that dies
 leaves a version nobody reads, and no plan overwrites files it still reads.
 """
@@ -44,6 +44,26 @@ class CatalogStore:
         reader = self.spark.read.schema(fixed) if fixed is not None and like is None else self.spark.read
         return reader.parquet(path)
 
+    def part(self, batch: DataFrame, batch_id: int) -> str:
+        """Name of a micro-batch's own part: the stream's id and the batch's number."""
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        return f"stream={stream}/batch={batch_id}"
+
+    def save_part(self, df: DataFrame, table: str, part: str) -> str:
+        """Write one part of a table that grows by parts; the same part again replaces itself."""
+        path = f"{self.root}/{table}/{part}"
+        df.write.mode("overwrite").parquet(path)
+        return path
+
+    def parts(self, table: str, without: str | None = None) -> DataFrame | None:
+        """All rows of a table that grows by parts, but for one part; None before the first is written."""
+        jvm = self.spark.sparkContext._jvm
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/stream=*/batch=*/_SUCCESS")
+        fs = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        done = [s.getPath().getParent().toString() for s in fs.globStatus(pattern)]
+        done = sorted(p for p in done if without is None or not p.endswith(f"/{without}"))
+        return self.spark.read.option("basePath", f"{self.root}/{table}").parquet(*done) if done else None
+
     def save(self, df: DataFrame, table: str, version: int | None = None) -> str:
         """Write the next version (or the given one, for replays) and make it current."""
         versions = self._versions(table)

@@ -160,3 +160,25 @@ def test_text_of_a_call_with_many_results(spark):
     assert whole == parts
     assert whole["text"] == "\n".join(f"t{i:04d}" for i in reversed(range(200))) and whole["rotation"] == 199.0
     assert whole["region_count"] == 100 and whole["confidence"] == 0.0995
+
+
+def placed(spark, rows, fold_rows):
+    df = spark.createDataFrame(rows, SCHEMA)
+    merged = R.merge_regions(df, fold_rows=fold_rows, position="place")
+    return sorted((r["page_id"], r["place"], r["tag"]) for r in merged.collect())
+
+
+def test_places_are_the_same_for_folded_and_for_hot_pages(spark):
+    rows = random_rows(11, 3, lambda page: 40, True)
+    for k, r in enumerate(rows):
+        if k % 6 == 0:
+            r["w"] = 0.0  # cannot collide, keeps its place in the list
+    rows = [tuple(r.values()) for r in rows]
+    assert placed(spark, rows, 1000) == placed(spark, rows, 1)
+
+
+def test_a_null_mask_is_no_mask_on_both_paths(spark):
+    rows = [(1, "yolo", 0.9, 0.0, 0.0, 10.0, 10.0, "speech", None, 1), (1, "sam2", 0.5, 4.0, 0.0, 10.0, 10.0, "speech", True, 2),
+            (1, "sam2", 0.4, 50.0, 0.0, 10.0, 10.0, "speech", None, 3)]
+    for fold_rows in (1000, 1):
+        assert [x[2] for x in placed(spark, rows, fold_rows)] == [2, 3]

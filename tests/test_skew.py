@@ -31,7 +31,7 @@ def test_first_rows_limits_before_the_shuffle(spark):
     _, df = frame(spark)
     out = first_rows(df, ["k"], [F.col("o"), F.col("id")], 3)
     assert out.groupBy("k").count().agg(F.max("count")).first()[0] == 3
-    for limited in (out, first_rows(df, ["k"], [F.col("o")], 150_000)):
+    for limited in (out, first_rows(df, ["k"], [F.col("o")], 90_000)):
         plan = limited._jdf.queryExecution().executedPlan().toString()
         assert plan.count("WindowGroupLimit") == 2
 
