@@ -9,7 +9,9 @@ from panelflow.operators.exports import export_manifest, plan_page_paths
 
 def write_page_table(pages: DataFrame, path: str, layout: str = "import") -> None:
     """Pages with their target names, partitioned by project and chapter."""
-    plan_page_paths(pages, layout).write.mode("overwrite").partitionBy("project_id", "chapter_id").parquet(path)
+    planned = plan_page_paths(pages, layout)
+    # A chapter's pages come from one task, so that a folder has one file.
+    planned.repartition("project_id", "chapter_id").write.mode("overwrite").partitionBy("project_id", "chapter_id").parquet(path)
 
 
 def write_manifests(chapters: DataFrame, pages: DataFrame, path: str, page_range: str = "",
