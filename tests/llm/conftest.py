@@ -1,7 +1,6 @@
-import random
-
 import pytest
 from pyspark.sql import types as T
+from sample_texts import prose
 
 SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("original_text", T.StringType()),
@@ -12,12 +11,6 @@ SCHEMA = T.StructType([
 ])
 
 
-def prose(seed: int, words: int = 60) -> str:
-    rng = random.Random(seed)
-    syllables = ["ka", "ro", "mi", "ten", "shi", "lo", "ra", "bel", "nu", "dor", "ä", "é"]
-    return " ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(words))
-
-
 @pytest.fixture(scope="session")
 def make(spark):
     """Segments from (id, text, language, project) tuples, with clashing extra columns."""

@@ -1,5 +1,5 @@
 import numpy as np
-from conftest import prose
+from sample_texts import prose
 
 from panelflow.llm.fingerprint import add, edited_fingerprints, likeness, multiset_fingerprints, take, vectors, with_next
 

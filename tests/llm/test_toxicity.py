@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import prose
+from sample_texts import prose
 
 from panelflow.llm.toxicity import Units, fit, kernel, rate_toxicity
 
