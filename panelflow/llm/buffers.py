@@ -61,3 +61,19 @@ def per_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of ``values`` between consecutive positions of ``first``."""
     total = np.concatenate((np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values)))
     return total[first[1:]] - total[first[:-1]]
+
+
+def bit_counts(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many keys of each run have each of the 64 bits, lowest bit first; ``first`` begins the runs, none empty.
+
+    Eight bits are added at a time, one in each byte of a word, over at most 255 keys, so that no byte overflows.
+    """
+    length = np.diff(np.concatenate((first, [len(keys)])))
+    pieces = -(-length // 255)
+    lead = np.cumsum(pieces) - pieces
+    begin = np.repeat(first, pieces) + (np.arange(pieces.sum()) - np.repeat(lead, pieces)) * 255
+    out = np.empty((len(first), 64), np.int64)
+    for bit in range(8):
+        held = np.add.reduceat((keys >> np.uint64(bit)) & np.uint64(0x0101010101010101), begin)
+        out[:, bit::8] = np.add.reduceat(held.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64), lead, axis=0)
+    return out

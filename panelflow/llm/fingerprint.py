@@ -7,16 +7,18 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelflow.llm.buffers import text_slices, words_of
+from panelflow.llm.buffers import bit_counts, text_slices, words_of
 
 HASH_LANES = 32
 LIKENESS_LANES = 128
 LANES = HASH_LANES + LIKENESS_LANES  # 16-bit numbers, added modulo 2**16
 PARTS = 256
+ROWS_PER_PART = 20_000
+MOST_PARTS = 20_000
 _LINE = np.zeros(256, bool)
 _LINE[[0x0A, 0x0D]] = True
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -84,18 +86,12 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     keys, rows = keys[order], rows[order]
     first = np.searchsorted(rows, np.arange(len(out) + 1))
     full = np.flatnonzero(np.diff(first))
-    count = np.diff(first)
-    for some in np.array_split(full, max(1, len(keys) // 200_000)):  # bounds the unpacked bits
-        if not len(some):
-            continue
-        a, b = first[some[0]], first[some[-1] + 1]
-        x = keys[a:b, None] + np.arange(1, 3, dtype=np.uint64) * _MIX[0]
+    for turn in range(LIKENESS_LANES // 64):
+        x = keys + _MIX[:1] * np.uint64(turn + 1)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        bits = np.unpackbits(x.view(np.uint8).reshape(-1, 16), axis=1)
-        ones = np.add.reduceat(bits, first[some] - a, axis=0, dtype=np.int64)
-        out[some, HASH_LANES:] = (2 * ones - count[some][:, None]).astype(np.uint16)
+        signs = 2 * bit_counts(x ^ (x >> np.uint64(31)), first[:-1][full]) - np.diff(first)[full][:, None]
+        out[full, HASH_LANES + 64 * turn:HASH_LANES + 64 * turn + 64] = signs.astype(np.uint16)
     return out
 
 
@@ -127,45 +123,59 @@ def _vector_bytes(v: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(at), pa.py_buffer(v)])
 
 
-def _vectors_of(column: pa.Array) -> np.ndarray:
-    width = 2 * LANES
-    empty = bytes(width)
-    return np.frombuffer(b"".join(x or empty for x in column.to_pylist()), "<u2").reshape(-1, LANES)
+def _text_vectors(texts: list[str]) -> np.ndarray:
+    rows = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    found = [vectors(data, offsets) for _, data, offsets in text_slices(iter([rows]), "text")]
+    return np.concatenate(found) if found else np.zeros((0, LANES), np.uint16)
 
 
 def multiset_fingerprints(segments: DataFrame, id: str = "id", text: str = "original_text") -> DataFrame:
-    """Fingerprint of every segment's text: its columns and ``fingerprint`` (binary, LANES little-endian 16-bit numbers).
+    """Fingerprint of every segment's text: (id, fingerprint), binary, LANES little-endian 16-bit numbers.
 
     The fingerprint is the sum over the text's paragraphs (non-empty lines) of vectors hashed from them, modulo 2**16
     per number. It does not depend on the order of paragraphs; paragraphs are inserted or deleted by adding or
     subtracting their vectors (``add``, ``take``). A null text is empty and has the zero vector; repeated rows and null
-    ids are handled row by row; only id and text are returned besides; no rows give no rows.
+    ids are handled row by row; other columns are ignored; no rows give no rows.
     """
     narrow = segments.select(F.col(id).alias("id"), F.col(text).alias("text"))
 
     def run(batches):
         for batch, data, offsets in text_slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), _vector_bytes(vectors(data, offsets))],
-                                             ["id", "text", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _vector_bytes(vectors(data, offsets))], ["id", "fingerprint"])
 
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {kind}, text string, fingerprint binary")
+    return narrow.mapInArrow(run, f"id {kind}, fingerprint binary")
 
 
-def with_next(rows: DataFrame, id: str, columns: list[str], parts: int = PARTS) -> DataFrame:
+def _range_of(value: Column, bounds: list[float]) -> Column:
+    """How many of the sorted bounds are at or below a value, by two short searches; 0 for a null."""
+    if not bounds:
+        return F.lit(0)
+    wide = int(np.ceil(len(bounds) ** 0.5))
+    groups = [bounds[k:k + wide] for k in range(0, len(bounds), wide)]
+
+    def below(edges: Column) -> Column:
+        return F.coalesce(F.size(F.filter(edges, lambda e: e <= value)), F.lit(0))
+
+    group = below(F.array(*[F.lit(g[0]) for g in groups]))
+    inner = below(F.get(F.array(*[F.array(*[F.lit(b) for b in g]) for g in groups]), group - 1))
+    return F.when(value.isNull() | (group == 0), 0).otherwise((group - 1) * wide + inner)
+
+
+def with_next(rows: DataFrame, id: str, columns: list[str], parts: int | None = None) -> DataFrame:
     """Every row with ``next_<column>`` of the row with the next larger id; the last row gets the first one's.
 
-    ids are cut into at most ``parts`` ranges at approximate quantiles; each row moves once, to its range. The first
+    ids are cut into ranges at approximate quantiles, ``parts`` of them or by default one for every ROWS_PER_PART rows
+    (256 at least, MOST_PARTS at most); each row moves once, to its range. The first
     row of a range is sent to the range before it as well, so a range knows what follows it. Rows of one id follow one
     another by the hash of their columns; null ids come first.
     """
     spark = rows.sparkSession
     at = F.col(id)
+    parts = parts or min(MOST_PARTS, max(PARTS, rows.count() // ROWS_PER_PART))
     shares = [k / parts for k in range(1, parts)]
     bounds = sorted(set(rows.select(at.cast("double").alias("v")).approxQuantile("v", shares, 1 / (4 * parts)))) if shares else []
-    # A row's range is the number of bounds at or below its id.
-    edges = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    part = F.coalesce(F.size(F.filter(edges, lambda e: e <= at.cast("double"))), F.lit(0))
+    part = _range_of(at.cast("double"), bounds)
     tie = F.xxhash64(*columns)
     firsts = rows.groupBy(part.alias("part")).agg(F.min(F.struct(at.isNotNull(), at.alias("v"), tie)).alias("low")).collect()
     firsts = sorted(firsts, key=lambda r: r["part"])  # at most ``parts`` rows
@@ -193,20 +203,21 @@ def edited_fingerprints(segments: DataFrame, id: str = "id", text: str = "origin
     A null text is empty; segments of one id follow one another in a fixed order; null ids come first; a single
     segment is its own next; other columns are ignored; no rows give no rows.
     """
-    own = multiset_fingerprints(segments, id, text).fillna({"text": ""})
-    paired = with_next(own, "id", ["text", "fingerprint"])
+    rows = segments.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    paired = with_next(rows, "id", ["text"])
 
     def run(batches):
-        for batch, _, _ in text_slices(batches, "text"):
+        for batch, data, offsets in text_slices(batches, "text"):
             texts, nexts = batch.column("text").to_pylist(), batch.column("next_text").to_pylist()
-            edited = [a[:len(a) - len(a) // 2] + (b or "")[:len(a) // 2] for a, b in zip(texts, nexts, strict=True)]
-            column = pa.array(edited, pa.string())
-            rows = pa.RecordBatch.from_arrays([column], ["text"])
-            changed = np.concatenate([vectors(d, o) for _, d, o in text_slices(iter([rows]), "text")])
-            v, after = _vectors_of(batch.column("fingerprint")), _vectors_of(batch.column("next_fingerprint"))
+            edited = [a[:len(a) - len(a) // 2] + b[:len(a) // 2] for a, b in zip(texts, nexts, strict=True)]
+            own, changed = vectors(data, offsets), _text_vectors(edited)
+            # Rows come in order, so most next texts are the batch's own.
+            after = np.roll(own, -1, axis=0)
+            other = [k for k, b in enumerate(nexts) if k + 1 == len(texts) or b != texts[k + 1]]
+            after[other] = _text_vectors([nexts[k] for k in other])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(np.fromiter(map(len, texts), np.int64, len(texts))), column,
-                 batch.column("fingerprint"), _vector_bytes(changed), pa.array(likeness(v, changed)), pa.array(likeness(v, after))],
+                [batch.column("id"), pa.array(np.fromiter(map(len, texts), np.int64, len(texts))), pa.array(edited, pa.string()),
+                 _vector_bytes(own), _vector_bytes(changed), pa.array(likeness(own, changed)), pa.array(likeness(own, after))],
                 ["id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     kind = paired.schema["id"].dataType.simpleString()
