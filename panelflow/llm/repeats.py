@@ -91,6 +91,20 @@ def _rows_of(column: pa.ChunkedArray | pa.Array, kind) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in column.to_pylist()]
 
 
+def _squeezed(values: np.ndarray | bytes) -> bytes:
+    """Bytes for the shuffle: their length, then zstd. Passages overlap, so they shrink well."""
+    raw = values if isinstance(values, bytes) else values.tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
+def _unsqueezed(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    out = []
+    for x in column.to_pylist():
+        n = int.from_bytes(x[:8], "little")
+        out.append(np.frombuffer(pa.decompress(x[8:], n, "zstd", asbytes=True) if n else b"", kind))
+    return out
+
+
 def _find(text: np.ndarray, length: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
     """Smallest id of any passage that holds a window, for every window of every passage in turn."""
     begin = np.concatenate(([0], np.cumsum(length + 1)))
@@ -117,8 +131,8 @@ def _find(text: np.ndarray, length: np.ndarray, least: np.ndarray, width: int) -
 
 def _shard_spans(table: pa.Table, width: int) -> list[np.ndarray]:
     """For each row of a shard (the passages of one pack): row, start, end of what an earlier text holds, end to end."""
-    texts, lengths = _rows_of(table["texts"], np.uint8), _rows_of(table["lengths"], np.int32)
-    users = [_rows_of(table[c], k) for c, k in (("passage", np.int32), ("owner", np.int64), ("row", np.int32), ("start", np.int32))]
+    texts, lengths = _unsqueezed(table["texts"], np.uint8), _unsqueezed(table["lengths"], np.int32)
+    users = [_unsqueezed(table[c], k) for c, k in (("passage", np.int32), ("owner", np.int64), ("row", np.int32), ("start", np.int32))]
     # The same passage from several packs enters the array once, with the smallest id that has it.
     place: dict[bytes, int] = {}
     kept, maps = [], []
@@ -253,10 +267,10 @@ def remove_repeats(segments: DataFrame, id: str = "id", text: str = "original_te
                 place: dict[bytes, int] = {}
                 number = [place.setdefault(raw[x:x + n], len(place)) for x, n in zip(begin[a:b].tolist(), length[a:b].tolist(), strict=True)]
                 r = row[use[a:b]]
-                for c, v in (("shard", int(shard[a])), ("pack", key[0].as_py()), ("texts", b"".join(place)),
-                             ("lengths", np.fromiter(map(len, place), np.int32, len(place)).tobytes()),
-                             ("passage", np.array(number, np.int32).tobytes()), ("owner", ids[r].tobytes()),
-                             ("row", r.astype(np.int32).tobytes()), ("start", start[use[a:b]].astype(np.int32).tobytes())):
+                for c, v in (("shard", int(shard[a])), ("pack", key[0].as_py()), ("texts", _squeezed(b"".join(place))),
+                             ("lengths", _squeezed(np.fromiter(map(len, place), np.int32, len(place)))),
+                             ("passage", _squeezed(np.array(number, np.int32))), ("owner", _squeezed(ids[r])),
+                             ("row", _squeezed(r.astype(np.int32))), ("start", _squeezed(start[use[a:b]].astype(np.int32)))):
                     out[c].append(v)
         kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 6]
         return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds, strict=True)})
