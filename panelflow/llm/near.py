@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.llm.buffers import IS_SPACE, LOWER, text_slices, words_of
+from panelflow.llm.buffers import IS_SPACE, LOWER, bit_counts, text_slices, words_of
 from panelflow.session import cut
 
 SHINGLE_WORDS = 3
@@ -39,12 +39,8 @@ def _simhash(data: np.ndarray, offsets: np.ndarray, words: int) -> np.ndarray:
     raw, digest = text.tobytes(), xxhash.xxh64_digest
     hashes = b"".join([digest(raw[a:b], SEED) for a, b in zip(begin[word].tolist(), end[last].tolist(), strict=True)])
     full = np.flatnonzero(n)
-    for some in np.array_split(full, max(1, at[-1] // 400_000)):  # bounds the unpacked bits
-        if len(some):
-            a, b = at[some[0]], at[some[-1] + 1]
-            bits = np.unpackbits(np.frombuffer(hashes, np.uint8, (b - a) * 8, a * 8).reshape(-1, 8), axis=1)
-            ones = np.add.reduceat(bits, at[some] - a, axis=0, dtype=np.int64)
-            out[some] = np.packbits(2 * ones > n[some][:, None], axis=1).view(">u8").ravel()
+    ones = bit_counts(np.frombuffer(hashes, ">u8").astype(np.uint64), at[:-1][full])
+    out[full] = np.packbits(2 * ones > n[full][:, None], axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
