@@ -109,15 +109,20 @@ def _profiles(letters: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def kernel(letters: np.ndarray, at: np.ndarray, profiles: np.ndarray) -> np.ndarray:
     """Normed gapped-subsequence kernel between units and landmarks, to the POWERth power."""
-    rows = np.ascontiguousarray(profiles.T)
-    out = np.zeros((len(at) - 1, len(profiles)))
-    for some in range(0, len(at) - 1, 4096):
-        here = at[some:some + 4097]
-        for unit, code, weight in subsequences(letters[here[0]:here[-1]], here - here[0]):
-            if len(unit):
-                full = np.unique(unit, return_index=True)
-                out[some + full[0]] += weight * np.add.reduceat(rows[code], full[1], axis=0)
-    return (out / _norms(letters, at)[:, None]) ** POWER
+    rows, n = np.ascontiguousarray(profiles.T), np.diff(at)
+    order = np.argsort(-n, kind="stable")  # longest first: units with a subsequence at a place come first
+    out = np.zeros((len(n), len(profiles)), np.float32)
+    for some in range(0, len(n), 4096):
+        here = order[some:some + 4096]
+        begin, size, sums = at[:-1][here], -n[here], out[some:some + len(here)]
+        for a, b in GAPS:
+            weight = np.float32(DECAY ** (a + b - 2))
+            for k in range(max(-size[0] - a - b, 0)):
+                x = begin[:np.searchsorted(size, -k - a - b, "left")] + k
+                sums[:len(x)] += weight * rows[(letters[x] * LETTERS + letters[x + a]) * LETTERS + letters[x + a + b]]
+    placed = np.empty_like(out)
+    placed[order] = out
+    return (placed.astype(float) / _norms(letters, at)[:, None]) ** POWER
 
 
 class Model:
