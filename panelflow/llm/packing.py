@@ -18,7 +18,7 @@ WINDOW = 4096
 GRAIN = 64
 PARTS = 4
 END_ID = 2
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000
 _CLOSING = np.zeros(256, bool)
 _CLOSING[[ord(c) for c in ",.;:!?"]] = True
 _ALNUM = np.zeros(256, bool)
