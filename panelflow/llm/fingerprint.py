@@ -15,7 +15,8 @@ from panelflow.llm.buffers import bit_counts, text_slices, words_of
 
 HASH_LANES = 32
 LIKENESS_LANES = 128
-LANES = HASH_LANES + LIKENESS_LANES  # 16-bit numbers, added modulo 2**16
+# 16-bit numbers; a likeness lane takes two, low half first. Hash lanes are added modulo 2**16, likeness lanes modulo 2**32.
+LANES = HASH_LANES + 2 * LIKENESS_LANES
 PARTS = 256
 ROWS_PER_PART = 20_000
 MOST_PARTS = 20_000
@@ -51,10 +52,10 @@ def _paragraphs(data: np.ndarray, offsets: np.ndarray) -> _Paragraphs:
 
 
 def vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One vector of LANES 16-bit numbers per row: the sum, modulo 2**16, over the row's paragraphs.
+    """One vector of LANES 16-bit numbers per row: the sum over the row's paragraphs (``add``).
 
-    A paragraph's vector has HASH_LANES numbers hashed from all its bytes, and LIKENESS_LANES sums of +1 or -1 over
-    its neighbouring word pairs, whose differences tell how many pairs two texts do not share.
+    A paragraph's vector has HASH_LANES numbers hashed from all its bytes, and LIKENESS_LANES 32-bit sums of +1 or -1
+    over its neighbouring word pairs, whose differences tell how many pairs two texts do not share.
     """
     out = np.zeros((len(offsets) - 1, LANES), np.uint16)
     if not len(data):
@@ -91,18 +92,28 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         signs = 2 * bit_counts(x ^ (x >> np.uint64(31)), first[:-1][full]) - np.diff(first)[full][:, None]
-        out[full, HASH_LANES + 64 * turn:HASH_LANES + 64 * turn + 64] = signs.astype(np.uint16)
+        at = HASH_LANES + 128 * turn
+        out[full, at:at + 128] = signs.astype("<u4").view("<u2")
     return out
 
 
+def _sums(v: np.ndarray) -> np.ndarray:
+    """The likeness lanes of vectors as 32-bit numbers."""
+    return np.ascontiguousarray(v[:, HASH_LANES:]).view(np.uint32)
+
+
+def _joined(hashes: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    return np.concatenate((hashes.astype(np.uint16), sums.astype(np.uint32).view(np.uint16)), axis=1)
+
+
 def add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Vector of two multisets of paragraphs put together; ``take`` undoes it."""
-    return (a + b).astype(np.uint16)
+    return _joined(a[:, :HASH_LANES] + b[:, :HASH_LANES], _sums(a) + _sums(b))
 
 
 def take(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Vector of a multiset after the paragraphs of another were taken out."""
-    return (a - b).astype(np.uint16)
+    return _joined(a[:, :HASH_LANES] - b[:, :HASH_LANES], _sums(a) - _sums(b))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -110,7 +121,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
     The squared length of a difference estimates how many pairs differ. Equal vectors have likeness 1.
     """
-    x, y = (v[:, HASH_LANES:].view(np.int16).astype(float) for v in (a, b))
+    x, y = (_sums(v).view(np.int32).astype(float) for v in (a, b))
     apart, whole = ((x - y) ** 2).sum(1), (x * x).sum(1) + (y * y).sum(1)
     near = np.clip(1 - apart / np.where(whole > 0, whole, 1), 0, 1)
     same = (a == b).all(1)
@@ -133,7 +144,7 @@ def multiset_fingerprints(segments: DataFrame, id: str = "id", text: str = "orig
     """Fingerprint of every segment's text: (id, fingerprint), binary, LANES little-endian 16-bit numbers.
 
     The fingerprint is the sum over the text's paragraphs (non-empty lines) of vectors hashed from them, modulo 2**16
-    per number. It does not depend on the order of paragraphs; paragraphs are inserted or deleted by adding or
+    per hash lane and 2**32 per likeness lane (two numbers). It does not depend on the order of paragraphs; paragraphs are inserted or deleted by adding or
     subtracting their vectors (``add``, ``take``). A null text is empty and has the zero vector; repeated rows and null
     ids are handled row by row; other columns are ignored; no rows give no rows.
     """

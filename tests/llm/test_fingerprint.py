@@ -57,3 +57,11 @@ def test_null_ids_and_no_rows(make):
     assert len(got) == 3 and {r["edited_text"][-2:] for r in got} <= {"ab", "wx", "12"}
     assert edited_fingerprints(make([])).collect() == [] and multiset_fingerprints(make([])).collect() == []
     assert edited_fingerprints(make([(5, "abcde")])).first()["edited_text"] == "abcab"
+
+
+def test_lanes_of_very_long_texts_do_not_wrap():
+    whole, half = vector("word " * 50_000), vector("word " * 25_000)
+    assert abs(likeness(whole, half)[0] - 0.8) < 1e-3
+    line = "word " * 25_000
+    assert (add(half, half) == vector(f"{line}\n{line}")).all() and (take(add(half, whole), whole) == half).all()
+    assert abs(likeness(add(half, half), half)[0] - 0.8) < 1e-3
