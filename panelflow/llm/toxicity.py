@@ -251,6 +251,10 @@ def rate_toxicity(segments: DataFrame, labels: DataFrame, id: str = "id", text:
     of its units' and the whole text is read. score is in 0..1; 0.7, where predicted becomes 1, lies between the
     labelled segments' margins (or where fewest of them fall on the wrong side), below most disguised units if it can.
 
+    Limits: letters outside ASCII are all one letter, so words in Cyrillic, Greek, kana, Hangul or Han differ only by
+    length, give no evidence and are not told apart whatever the labels say. Words under four letters have no
+    five-letter string (the sign of a unit's start counts as one) and are never learned.
+
     Null and empty texts have the lowest margin. Rows with a null label or id teach nothing; of several labels of one
     id the largest holds; without evidence every text has the lowest margin. Repeated rows and null ids are scored row
     by row; other columns are ignored; no rows give no rows.
