@@ -1,15 +1,12 @@
-"""Near-duplicate texts: by SimHash with exact links between fingerprints, or by the Jaccard index of their shingles."""
+"""Near-duplicate texts by SimHash with exact links between fingerprints."""
 
 from __future__ import annotations
 
-from fractions import Fraction
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.llm.buffers import IS_SPACE, LOWER, bit_counts, text_slices, words_of
@@ -19,11 +16,6 @@ SHINGLE_WORDS = 3
 SEED = 42
 RADIUS = 2
 TILE = 4096
-SIMILAR_WORDS = 5
-LEAST = 0.8
-BANDS = 32
-BAND_ROWS = 4
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 def _shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,26 +50,6 @@ def _simhash(data: np.ndarray, offsets: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def _shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of every row, sorted within the row, end to end, and how many each row has."""
-    hashes, n = _shingles(data, offsets, words)
-    sets = [np.unique(x) for x in np.split(hashes, np.cumsum(n)[:-1])] if len(n) else []
-    return np.concatenate([hashes[:0], *sets]), np.array([len(x) for x in sets], np.int64)
-
-
-def _bands(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A key for each band of ``rows`` minima of the sets that begin at ``first``, none empty."""
-    draw = np.random.default_rng(SEED).integers(0, 1 << 63, (2, bands * rows), np.uint64) * np.uint64(2) + np.uint64(1)
-    out = np.empty((len(first), bands), np.uint64)
-    for band in range(bands):
-        key = np.full(len(first), band + 1, np.uint64)
-        for k in range(band * rows, band * rows + rows):
-            key = (key ^ np.minimum.reduceat((hashes ^ draw[0, k]) * draw[1, k], first)) * _MIX[0]
-            key ^= key >> np.uint64(29)
-        out[:, band] = key
-    return out
-
-
 def fingerprints(segments: DataFrame, id: str = "id", text: str = "original_text",
                  words: int = SHINGLE_WORDS) -> DataFrame:
     """SimHash of every segment's text: (id, fingerprint long).
@@ -242,102 +214,3 @@ def keep_first(segments: DataFrame, id: str = "id", text: str = "original_text",
     kept = found.filter("id = component_id").select(F.col("id").alias("__kept")).distinct()
     named = segments.join(kept, segments[id] == kept["__kept"]).drop("__kept").dropDuplicates([id])
     return named.unionByName(segments.filter(F.col(id).isNull()))
-
-
-def _sets(narrow: DataFrame, words: int) -> DataFrame:
-    """Distinct shingles of every text: (node, shingles); rows without words have none and are left out."""
-    def run(batches):
-        for batch, data, offsets in text_slices(batches, "text"):
-            hashes, n = _shingle_sets(data, offsets, words)
-            at = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
-            rows = pa.ListArray.from_arrays(at, pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), rows], ["node", "shingles"])
-
-    kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"node {kind}, shingles array<long>").filter(F.size("shingles") > 0)
-
-
-def _sketches(narrow: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """A digest of every text's shingle set, its size and its band keys: (id, digest, n, keys)."""
-    def run(batches):
-        for batch, data, offsets in text_slices(batches, "text"):
-            hashes, n = _shingle_sets(data, offsets, words)
-            at = np.concatenate(([0], np.cumsum(n)))
-            digests = [xxhash.xxh3_128_digest(hashes[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            full = np.flatnonzero(n)
-            keys = _bands(hashes, at[:-1][full], bands, rows) if len(full) else np.zeros((0, bands), np.uint64)
-            held = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n > 0) * bands)).astype(np.int32)),
-                                            pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary()), pa.array(n), held],
-                                             ["id", "digest", "n", "keys"])
-
-    kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {kind}, digest binary, n long, keys array<long>")
-
-
-def _alike(common: Column, n: Column, m: Column, least: Fraction) -> Column:
-    """Whether sets of n and m members with so many in common have at least this Jaccard index, in whole numbers."""
-    return (least.numerator + least.denominator) * common >= least.numerator * (n + m)
-
-
-def _confirmed(members: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
-    """Pairs (node, root) that join what pairs of ``members`` (key, node, n, met) with one key and the wanted index join.
-
-    Each round takes the nodes of every key that meet most others (``met``; the text that others are copies of is one of
-    these, which settles a group soon; the order never changes the result), compares them with the key's other nodes of other components by
-    their whole sets, and takes them out. A key ends when the nodes left are of one component, so a large group of near
-    copies costs about a row for each member, not each pair; no two nodes of a key stay apart without being compared.
-    """
-    place = F.struct((-F.col("met")).alias("met"), "node")
-    left, heads, edges = members.select("key", "node", "n", place.alias("place"), F.col("node").alias("root")), 1, None
-    roots = members.select("node", F.col("node").alias("root")).limit(0)
-    x = sets.select(F.col("node").alias("head"), F.col("shingles").alias("x"))
-    y = sets.select("node", F.col("shingles").alias("y"))
-    while not left.isEmpty():
-        rank = F.row_number().over(W.partitionBy("key").orderBy("place", "n"))
-        taken = cut(left.withColumn("k", rank).filter(F.col("k") <= heads).select(
-            "key", F.col("node").alias("head"), F.col("n").alias("m"), F.col("place").alias("before"), F.col("root").alias("at")))
-        most, fewest = F.greatest("n", "m"), F.least("n", "m")
-        pairs = cut(left.join(taken, "key").filter((F.col("place") > F.col("before")) & (F.col("root") != F.col("at")))
-                    .filter(_alike(fewest, most, fewest, least)).select("head", "node").distinct())
-        found = pairs.join(y, "node").join(x, "head").filter(
-            _alike(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), least))
-        found = found.select(F.col("node").alias("src"), F.col("head").alias("dst"))
-        edges = cut(found if edges is None else edges.unionByName(found))
-        roots = components(edges)
-        last = taken.groupBy("key").agg(F.max("before").alias("last"))
-        left = left.drop("root").join(last, "key").filter("place > last").drop("last").join(roots, "node", "left").withColumn(
-            "root", F.coalesce("root", "node")).select("key", "node", "n", "place", "root")
-        left = cut(left)
-        apart = left.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-        left = cut(left.join(apart, "key", "left_semi"))
-        heads *= 8
-    return roots
-
-
-def keep_dissimilar(segments: DataFrame, id: str = "id", text: str = "original_text", words: int = SIMILAR_WORDS,
-                    least: float = LEAST, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """One segment of each class of similar texts, that with the smallest id, with all its columns.
-
-    Two texts are similar when the Jaccard index of their sets of shingles of ``words`` words (words and shingles as in
-    ``fingerprints``) is ``least`` or more; a class is what similar texts join, directly or through others. Texts with
-    one set, and texts without words, are one class. Other pairs are compared by their whole sets when all ``rows``
-    minima of one of ``bands`` bands are equal. That misses a pair of index j with the chance (1 - j^rows)^bands: one in
-    20 million at 0.8 with the defaults, less above. No pair under ``least`` is ever linked.
-
-    Of rows that repeat an id one stays. Segments without an id stay and link nothing; no rows give no rows.
-    """
-    narrow = segments.filter(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"))
-    sketches = cut(_sketches(narrow, words, bands, rows))
-    firsts = cut(sketches.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    members = firsts.select("node", "n", F.explode("keys").alias("key")).select("key", "node", "n")
-    shared = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("met"))
-    members = cut(members.join(shared.filter("a < b").select("key", "met"), "key"))
-    met = members.groupBy("node").agg(F.sum("met").alias("met"))
-    members = cut(members.drop("met").join(met, "node"))
-    wanted = members.select(F.col("node").alias("id")).distinct()
-    sets = cut(_sets(narrow.join(wanted, "id", "left_semi"), words))
-    roots = _confirmed(members, sets, Fraction(str(least)))
-    kept = firsts.select("node").distinct().join(roots, "node", "left_anti").withColumnRenamed("node", "__kept")
-    named = segments.join(kept, segments[id] == kept["__kept"]).drop("__kept").dropDuplicates([id])
-    return named.unionByName(segments.filter(F.col(id).isNull()))

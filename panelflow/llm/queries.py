@@ -179,3 +179,10 @@ def op6_licences(spark: SparkSession, folder: str) -> DataFrame:
     from panelflow.llm.licences import scan_licences
     found = scan_licences(segments_of(_table(spark, folder, "documents")))
     return found.select(F.col("id").alias("doc_id"), "length", "passage", "licence", "dice").distinct()
+
+
+@_query()
+def op13_similar(spark: SparkSession, folder: str) -> DataFrame:
+    from panelflow.llm.setsketch import similar_segments
+    found = similar_segments(segments_of(_table(spark, folder, "documents")))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
