@@ -2,13 +2,12 @@
 
 Shared by the near-duplicate operators that link texts by the Jaccard index. A text's set is reduced to a row of bytes
 (its sketch) whose band keys bring candidates together. No list of all pairs of a band is made: each member of a band is
-first compared with one head; what is still apart is compared inside tasks, sketch by sketch, and a tile hands on only
-the likeliest pairs between components that are apart.
+first compared with one head; what is still apart is compared inside tasks, in tiles, by sketches and then by whole sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -24,9 +23,8 @@ from panelflow.llm.shingles import shingle_hashes
 from panelflow.session import cut
 
 TILE = 512
-FIRST_WIDTH = 16
-WIDER = 64
-BLOCK_BYTES = 1 << 23
+TILE_SHINGLES = 256  # a node's share of a tile of whole sets
+PAIRS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -153,47 +151,105 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return found.select(F.col("node").alias("src"), F.col("head").alias("dst"))
 
 
-def _likeliest(rows: DataFrame, sketch: Sketch, width: int, tile: int) -> DataFrame:
-    """Of rows (key, node, root, n, sketch), for every two roots that share a key and every two tiles of it, the
-    ``width`` likeliest pairs (node, head) that the screen lets through; ``more`` tells that some were held back."""
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / tile).alias("tiles"))
-    packed = (rows.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
-              .groupBy("key", "tile").agg(F.collect_list(F.struct("node", "root", "n", "sketch")).alias("all")))
-    packed = cut(packed)
-    left = packed.select("key", F.col("tile").alias("l_tile"), F.col("all").alias("l"))
-    right = packed.select("key", F.col("tile").alias("r_tile"), F.col("all").alias("r"))
-    both = left.join(right, "key").filter("l_tile <= r_tile").select("l", "r")
+def _in_cells(rows: DataFrame, weight: Column, tile: int) -> DataFrame:
+    """Rows of a key dealt to tiles of about that weight, each row once for every cell (a pair of tiles) it belongs to,
+    sorted so that the rows of a cell lie together."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.sum(weight) / tile).cast("int").alias("tiles"))
+    dealt = rows.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
+    cells = other.withColumns({"l": F.least("tile", "other"), "r": F.greatest("tile", "other")}).drop("other")
+    return cells.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r")
+
+
+def _starts(table: pa.Table) -> np.ndarray:
+    """Where each cell's rows begin."""
+    columns = [table.column(c).to_numpy() for c in ("key", "l", "r")]
+    changed = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.concatenate(([0], np.flatnonzero(changed) + 1))
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole cells, and where each begins; a cell cut by the end of a batch waits for the next one."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        if table.num_rows:
+            at = _starts(table)
+            if at[-1]:
+                yield table.slice(0, at[-1]).combine_chunks(), at[:-1]
+            held = table.slice(at[-1]).combine_chunks()
+    if held is not None and held.num_rows:
+        yield held, _starts(held)
+
+
+def _pairs(begin: np.ndarray, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one cell, at most about ``PAIRS`` at a time."""
+    after = np.repeat(np.append(begin[1:], rows), np.diff(np.append(begin, rows)))
+    count = after - 1 - np.arange(rows)
+    total = np.concatenate(([0], np.cumsum(count)))
+    at = 0
+    while at < rows:
+        to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, "right")) - 1)
+        i = np.repeat(np.arange(at, to), count[at:to])
+        yield i, i + 1 + np.arange(len(i)) - (total[i] - total[at])
+        at = to
+
+
+def _promising(rows: DataFrame, sketch: Sketch, tile: int) -> DataFrame:
+    """Of rows (key, node, root, n, sketch), those (key, node) that the screen lets meet another root in their key."""
+    def run(batches):
+        for table, begin in _whole_cells(batches):
+            key, l, r, tiles, node, root, n = (table.column(c).to_numpy() for c in ("key", "l", "r", "tile", "node", "root", "n"))
+            sketches = _matrix(table.column("sketch"), sketch.compared)
+            hit = np.zeros(len(node), bool)
+            for i, j in _pairs(begin, len(node)):
+                apart = (root[i] != root[j]) & ((l[i] == r[i]) | (tiles[i] != tiles[j]))
+                i, j = i[apart], j[apart]
+                alike = sketch.screen(sketches[i], n[i], sketches[j], n[j]) > -np.inf
+                hit[i[alike]] = hit[j[alike]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(node[hit])], ["key", "node"])
+
+    cells = _in_cells(rows, F.lit(1), tile)
+    return cells.mapInArrow(run, "key long, node long").distinct()
+
+
+def _linked(rows: DataFrame, least: Fraction, tile: int) -> DataFrame:
+    """Edges (src, dst) that join what whole sets of one key link: of rows (key, node, root, shingles), in each cell a
+    forest between the roots, never a pair more."""
+    numerator, denominator = least.numerator, least.denominator
 
     def run(batches):
-        for batch in batches:
-            for l, r in zip(batch.column("l"), batch.column("r"), strict=True):
-                l, r = l.values, r.values
-                a, b = (x.field("node").to_numpy() for x in (l, r))
-                p, q = (x.field("root").to_numpy() for x in (l, r))
-                n, m = (x.field("n").to_numpy() for x in (l, r))
-                x, y = (_matrix(z.field("sketch"), sketch.compared) for z in (l, r))
-                hits, scores = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
-                block = max(1, BLOCK_BYTES // (len(y) * sketch.compared))
-                for i in range(0, len(x), block):
-                    score = sketch.screen(x[i:i + block, None], n[i:i + block, None], y[None], m[None])
-                    score = np.where(p[i:i + block, None] != q[None], score, -np.inf)
-                    found = np.argwhere(score > -np.inf)
-                    hits.append(found + [i, 0])
-                    scores.append(score[found[:, 0], found[:, 1]])
-                i, j = np.concatenate(hits).T
-                score = np.concatenate(scores)
-                low, high = np.minimum(p[i], q[j]), np.maximum(p[i], q[j])
-                order = np.lexsort((b[j], a[i], -score, high, low))
-                i, j, low, high = i[order], j[order], low[order], high[order]
-                begin = np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))[:len(i)]
-                place = np.arange(len(i)) - np.maximum.accumulate(np.where(begin, np.arange(len(i)), 0))
-                kept = place < width
-                more = bool((~kept).any())
-                u, v = a[i[kept]], b[j[kept]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v)), pa.array(np.full(len(u), more))], ["node", "head", "more"])
-
-    return both.mapInArrow(run, "node long, head long, more boolean")
+        for table, begin in _whole_cells(batches):
+            src, dst = [], []
+            l, r, tiles, node, root = (table.column(c).to_numpy() for c in ("l", "r", "tile", "node", "root"))
+            lists = table.column("shingles").chunk(0)
+            first = lists.offsets.to_numpy().astype(np.int64)
+            values = lists.values.to_numpy()
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(node)], strict=True):
+                at = first[a:b + 1] - first[a]
+                n, label, dealt = np.diff(at), root[a:b].copy(), tiles[a:b]
+                names, ids = np.unique(values[first[a]:first[b]], return_inverse=True)
+                mark = np.zeros(len(names), np.int32)
+                for i in range(b - a - 1):
+                    m = n[i + 1:]
+                    apart = (label[i + 1:] != label[i]) & (denominator * np.minimum(n[i], m) >= numerator * np.maximum(n[i], m))
+                    if l[a] != r[a]:
+                        apart &= dealt[i + 1:] != dealt[i]
+                    if not apart.any():
+                        continue
+                    own = ids[at[i]:at[i + 1]]
+                    mark[own] = 1
+                    common = np.add.reduceat(mark[ids[at[i + 1]:]], at[i + 1:-1] - at[i + 1])
+                    mark[own] = 0
+                    for j in (np.flatnonzero(apart & ((numerator + denominator) * common >= numerator * (n[i] + m))) + i + 1).tolist():
+                        if label[j] != label[i]:
+                            label[label == label[j]] = label[i]
+                            src.append(node[a + i])
+                            dst.append(node[a + j])
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    return _in_cells(rows, F.size("shingles"), tile).mapInArrow(run, "src long, dst long")
 
 
 def similar_classes(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], sketch: Sketch, least: Fraction,
@@ -202,32 +258,22 @@ def similar_classes(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], sk
 
     nodes: (node long, n, sketch, ...), one for each distinct set. sets(wanted) gives (node, shingles) for the wanted nodes.
     Two nodes are compared when they share a band key. First every node of a key meets the key's least node. Keys whose
-    nodes are then of one component are done, which settles groups of near copies at about a row for each member. The
-    others are compared by their sketches in tiles inside tasks, and the likeliest pairs of each two components are
-    confirmed; a wider round follows while pairs were held back between components still apart. So every pair that
-    shares a key and passes the screen is confirmed or joined by others.
+    nodes are then of one component are done, which settles most of a group of near copies at a row for each member. In the
+    others all pairs of different components are compared inside tasks, cell by cell (a pair of tiles of the key's
+    nodes): by their sketches, and those that pass by their whole sets. A task hands on a row for each node or a forest of
+    links, never the pairs, so rows grow with the nodes of a key and only the comparing with their square.
     """
     members = _band_rows(nodes, sketch)
     ends = members.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last")
     shared = cut(members.join(ends.select("key", "head"), "key"))
-    features = nodes.join(shared.select("node").distinct(), "node", "left_semi").select(
-        "node", "n", F.substring("sketch", 1, sketch.compared).alias("sketch"))
-    features = cut(features)
+    features = cut(nodes.join(shared.select("node").distinct(), "node", "left_semi").select(
+        "node", "n", F.substring("sketch", 1, sketch.compared).alias("sketch")))
     held = cut(sets(features.select("node")))
-    tried = cut(shared.filter("node <> head").select("node", "head").distinct())
-    edges = cut(_confirmed(_screened(tried, features, sketch), held, least))
-    rows, width = shared.select("key", "node"), FIRST_WIDTH
-    while True:
-        roots = components(edges)
-        placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        apart = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-        placed = cut(placed.join(apart, "key", "left_semi"))
-        if placed.isEmpty():
-            return roots
-        found = cut(_likeliest(placed.join(features, "node"), sketch, width, tile))
-        fresh = cut(found.select("node", "head").distinct().join(tried, ["node", "head"], "left_anti"))
-        tried = tried.unionByName(fresh)
-        edges = cut(edges.unionByName(_confirmed(fresh, held, least)))
-        if found.filter("more").isEmpty():
-            return components(edges)
-        rows, width = placed.select("key", "node"), width * WIDER
+    stars = cut(shared.filter("node <> head").select("node", "head").distinct())
+    edges = cut(_confirmed(_screened(stars, features, sketch), held, least))
+    rows = shared.select("key", "node").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
+    rows = cut(rows.join(apart, "key", "left_semi"))
+    chosen = _promising(rows.join(features, "node"), sketch, tile)
+    rest = rows.join(chosen, ["key", "node"]).join(held, "node")
+    return components(edges.unionByName(_linked(rest, least, tile * TILE_SHINGLES)))

@@ -104,10 +104,9 @@ def test_classes_against_brute_force(spark, kind):
     assert len({c for _, n, c in want if n}) < len(rows) - 40
 
 
-def test_small_tiles_and_held_back_pairs_change_nothing(spark, monkeypatch):
+def test_small_tiles_change_nothing(spark, monkeypatch):
     from panelflow.llm import similar as engine
-    monkeypatch.setattr(engine, "FIRST_WIDTH", 1)
-    monkeypatch.setattr(engine, "WIDER", 2)
+    monkeypatch.setattr(engine, "PAIRS", 7)
     monkeypatch.setattr(engine.similar_classes, "__defaults__", (3,))
     rows = [(k, t) for k, t in enumerate(edited(26, 3, seed=5))]
     got = similar_segments(spark.createDataFrame(rows, "id int, original_text string"))
