@@ -155,12 +155,16 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, parts: int
     return pairs.mapInArrow(run, "src long, dst long").filter("src <> dst")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """Connected components by alternating stars: (node, root), root the smallest node of its component.
 
     Each round points nodes at their smallest neighbour; a hub's edges are reduced to a minimum per key before they
-    meet, so no neighbour list is built. Ends when a round changes nothing.
+    meet, so no neighbour list is built. Ends when a round changes nothing. ``parts`` bounds the tasks of a round, for
+    edges known to be few.
     """
+    def few(df: DataFrame) -> DataFrame:
+        return df.coalesce(parts) if parts else df
+
     def star(e: DataFrame, large: bool) -> DataFrame:
         e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if large else e
         least = e.groupBy("src").agg(F.min("dst").alias("m")).withColumn("m", F.least("m", "src"))
@@ -170,16 +174,17 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             out = joined.select(F.col("dst").alias("src"), F.col("m").alias("dst")).unionByName(
                 least.select("src", F.col("m").alias("dst")))
-        return out.filter("src <> dst").distinct()
+        return few(few(out.filter("src <> dst")).distinct())
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
 
     edges = cut(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
                 .filter("src <> dst").distinct())
+    edges = few(edges)
     before = mark(edges)
     while True:
-        edges = cut(star(star(edges, True), False))
+        edges = few(cut(star(star(edges, True), False)))
         now = mark(edges)
         if now == before:
             return edges.select(F.col("src").alias("node"), F.col("dst").alias("root"))

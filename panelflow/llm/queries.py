@@ -186,3 +186,20 @@ def op13_similar(spark: SparkSession, folder: str) -> DataFrame:
     from panelflow.llm.setsketch import similar_segments
     found = similar_segments(segments_of(_table(spark, folder, "documents")))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@_query()
+def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    from panelflow.llm.turns import damage, repair_conversations
+    turns = _table(spark, folder, "conversations")
+    return repair_conversations(damage(turns), originals=turns)
+
+
+_SHIFTED = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"
+
+
+@_query()
+def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    from panelflow.llm.negatives import mine_negatives
+    vectors = _table(spark, folder, "embeddings").withColumn("label", F.expr(_SHIFTED))
+    return mine_negatives(vectors, F.col("vec_id") % 100 == 0, id="vec_id")

@@ -20,11 +20,22 @@ from pyspark.sql import functions as F
 from panelflow.llm.buffers import text_slices
 from panelflow.llm.near import components
 from panelflow.llm.shingles import shingle_hashes
+from panelflow.operators.skew import sized_broadcast
 from panelflow.session import cut
 
 TILE = 512
 TILE_SHINGLES = 256  # a node's share of a tile of whole sets
 PAIRS = 1 << 14
+HOLDERS = 50_000  # rows of 24 bytes that are still broadcast
+PART_ROWS = 20_000
+PART_EDGES = 200_000
+
+
+def _counted(df: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """The rows, written, in about as many partitions as they fill, and how many partitions that is."""
+    held = cut(df)
+    parts = max(1, -(-held.count() // rows))
+    return held.coalesce(parts), parts
 
 
 @dataclass(frozen=True)
@@ -58,13 +69,13 @@ def distinct_nodes(found: DataFrame) -> DataFrame:
     """One node for each distinct set with members: (node, digest, n, sketch, place of one holder, first id)."""
     each = found.filter("n > 0").groupBy("digest").agg(
         F.min("id").alias("first"), F.min("place").alias("place"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    return cut(cut(each).withColumn("node", F.monotonically_increasing_id()))  # numbered once, from written rows
+    return cut(each).withColumn("node", F.monotonically_increasing_id())  # always the same, as the rows are written
 
 
 def texts_of(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """One text for each wanted node: (node, text)."""
-    holders = nodes.join(wanted, "node", "left_semi").select("node", "place")
-    return rows.select("place", "text").dropDuplicates(["place"]).join(holders, "place").select("node", "text")
+    holders = sized_broadcast(cut(nodes.join(wanted, "node", "left_semi").select("node", "place")), HOLDERS)
+    return rows.select("place", "text").join(holders, "place").dropDuplicates(["place"]).select("node", "text")
 
 
 def class_of_digest(nodes: DataFrame, roots: DataFrame, *named: Column) -> DataFrame:
@@ -151,14 +162,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return found.select(F.col("node").alias("src"), F.col("head").alias("dst"))
 
 
-def _in_cells(rows: DataFrame, weight: Column, tile: int) -> DataFrame:
+def _in_cells(rows: DataFrame, weight: Column, tile: int, parts: int) -> DataFrame:
     """Rows of a key dealt to tiles of about that weight, each row once for every cell (a pair of tiles) it belongs to,
     sorted so that the rows of a cell lie together."""
     sizes = rows.groupBy("key").agg(F.ceil(F.sum(weight) / tile).cast("int").alias("tiles"))
     dealt = rows.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
     cells = other.withColumns({"l": F.least("tile", "other"), "r": F.greatest("tile", "other")}).drop("other")
-    return cells.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r")
+    return cells.coalesce(parts).repartition("key", "l", "r").sortWithinPartitions("key", "l", "r")
 
 
 def _starts(table: pa.Table) -> np.ndarray:
@@ -196,7 +207,7 @@ def _pairs(begin: np.ndarray, rows: int) -> Iterator[tuple[np.ndarray, np.ndarra
         at = to
 
 
-def _promising(rows: DataFrame, sketch: Sketch, tile: int) -> DataFrame:
+def _promising(rows: DataFrame, sketch: Sketch, tile: int, parts: int) -> DataFrame:
     """Of rows (key, node, root, n, sketch), those (key, node) that the screen lets meet another root in their key."""
     def run(batches):
         for table, begin in _whole_cells(batches):
@@ -210,11 +221,11 @@ def _promising(rows: DataFrame, sketch: Sketch, tile: int) -> DataFrame:
                 hit[i[alike]] = hit[j[alike]] = True
             yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(node[hit])], ["key", "node"])
 
-    cells = _in_cells(rows, F.lit(1), tile)
-    return cells.mapInArrow(run, "key long, node long").distinct()
+    cells = _in_cells(rows, F.lit(1), tile, parts)
+    return cells.mapInArrow(run, "key long, node long").coalesce(parts).distinct()
 
 
-def _linked(rows: DataFrame, least: Fraction, tile: int) -> DataFrame:
+def _linked(rows: DataFrame, least: Fraction, tile: int, parts: int) -> DataFrame:
     """Edges (src, dst) that join what whole sets of one key link: of rows (key, node, root, shingles), in each cell a
     forest between the roots, never a pair more."""
     numerator, denominator = least.numerator, least.denominator
@@ -249,7 +260,7 @@ def _linked(rows: DataFrame, least: Fraction, tile: int) -> DataFrame:
                             dst.append(node[a + j])
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    return _in_cells(rows, F.size("shingles"), tile).mapInArrow(run, "src long, dst long")
+    return _in_cells(rows, F.size("shingles"), tile, parts).mapInArrow(run, "src long, dst long")
 
 
 def similar_classes(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], sketch: Sketch, least: Fraction,
@@ -265,15 +276,18 @@ def similar_classes(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], sk
     """
     members = _band_rows(nodes, sketch)
     ends = members.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last")
-    shared = cut(members.join(ends.select("key", "head"), "key"))
-    features = cut(nodes.join(shared.select("node").distinct(), "node", "left_semi").select(
-        "node", "n", F.substring("sketch", 1, sketch.compared).alias("sketch")))
-    held = cut(sets(features.select("node")))
-    stars = cut(shared.filter("node <> head").select("node", "head").distinct())
-    edges = cut(_confirmed(_screened(stars, features, sketch), held, least))
-    rows = shared.select("key", "node").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    shared, _ = _counted(members.join(ends.select("key", "head"), "key"), PART_EDGES)
+    wanted = shared.select("node").distinct()
+    features, parts = _counted(nodes.join(wanted, "node", "left_semi").select(
+        "node", "n", F.substring("sketch", 1, sketch.compared).alias("sketch")), PART_ROWS)
+    held = cut(sets(features.select("node"))).coalesce(parts)
+    stars, parts = _counted(shared.filter("node <> head").select("node", "head").distinct(), PART_ROWS)
+    edges, few = _counted(_confirmed(_screened(stars, features, sketch).coalesce(parts), held, least), PART_EDGES)
+    rows = shared.select("key", "node").join(components(edges, few), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows, few = _counted(rows.coalesce(parts), PART_EDGES)
     apart = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-    rows = cut(rows.join(apart, "key", "left_semi"))
-    chosen = _promising(rows.join(features, "node"), sketch, tile)
-    rest = rows.join(chosen, ["key", "node"]).join(held, "node")
-    return components(edges.unionByName(_linked(rest, least, tile * TILE_SHINGLES)))
+    rows, parts = _counted(rows.join(apart, "key", "left_semi").coalesce(few), PART_ROWS)
+    chosen = _promising(rows.join(features, "node").coalesce(parts), sketch, tile, parts)
+    rest, parts = _counted(rows.join(chosen, ["key", "node"]).coalesce(parts), PART_ROWS // 10)
+    found, few = _counted(edges.unionByName(_linked(rest.join(held, "node").coalesce(parts), least, tile * TILE_SHINGLES, parts)), PART_EDGES)
+    return components(found, few)
