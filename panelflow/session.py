@@ -7,6 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+STATE_STORE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
 # Runtime settings every job relies on. AQE splits skewed join partitions and
 # coalesces small shuffles; forceOptimizeSkewedJoin lets it split a hot key
 # even where that costs one more exchange.
@@ -20,14 +24,10 @@ RUNTIME_CONF = {
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     # Sessions of one job are merged on the map side before they meet.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # Keyed state and timers need RocksDB.
+    **STATE_STORE_CONF,
 }
 
-STATE_STORE_CONF = {
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-}
-
-
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session made elsewhere."""
     for key, value in RUNTIME_CONF.items():

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from panelflow.operators import jobs as J
-from panelflow.sources.tables import CatalogStore
 from panelflow.functions.values import half_even, mean
 
 
@@ -72,63 +70,6 @@ def run_batches(df: DataFrame, each, checkpoint: str, mode: str = "append") -> S
 run_resumable = run_available
 
 
-def upsert_job_state(store: CatalogStore, table: str = "job_state"):
-    """Batch writer of the latest event per job: a part with the batch's own jobs only.
-    ``job_state`` reads the state; the latest event wins whatever batches are replayed."""
-    def each(batch: DataFrame, batch_id: int) -> None:
-        store.save_part(_latest_rows(batch), table, store.part(batch, batch_id))
-
-    return each
-
-
-def job_state(store: CatalogStore, table: str = "job_state") -> DataFrame | None:
-    """Latest event of every job over all parts."""
-    parts = store.parts(table)
-    return None if parts is None else _latest_rows(parts)
-
-
-def _latest_rows(events: DataFrame) -> DataFrame:
-    kept = ["type", "status", "progress", "current_page", "total_pages", "timestamp", "event_id"]
-    return events.groupBy("job_id").agg(
-        F.max_by(F.struct(*kept), F.struct("timestamp", "event_id")).alias("e")).select("job_id", "e.*")
-
-
-def keep_last_events(store: CatalogStore, n: int = 100, table: str = "last_events"):
-    """Batch writer that keeps the newest n events overall; every batch is cut to n before it is merged."""
-    def each(batch: DataFrame, batch_id: int) -> None:
-        newest = J.last_events(batch, n)
-        merged = store.load(table, like=newest).unionByName(newest).dropDuplicates(["event_id"])
-        store.save(J.last_events(merged, n), table)
-
-    return each
-
-
-def validate_transitions(store: CatalogStore, jobs_table: str = "job_status", log: str = "action_log"):
-    """Batch writer for job actions: checks each against the job's status at that moment, writes the
-    verdicts of the batch and the statuses it changed, each as a part of its own. A replay leaves its own
-    part out of the statuses it starts from, so it gives the same verdicts."""
-    def each(batch: DataFrame, batch_id: int) -> None:
-        part = store.part(batch, batch_id)
-        before = store.parts(f"{jobs_table}_changes", part)
-        verdicts = J.replay_actions(job_statuses(store, jobs_table, part), batch)
-        written = store.spark.read.parquet(store.save_part(verdicts, log, part))
-        number = 0 if before is None else before.agg(F.max("number")).first()[0] or 0
-        changed = written.groupBy("job_id").agg(F.max_by("status_after", F.struct("at", "action_id")).alias("status"))
-        store.save_part(changed.withColumn("number", F.lit(number + 1).cast("long")), f"{jobs_table}_changes", part)
-
-    return each
-
-
-def job_statuses(store: CatalogStore, jobs_table: str = "job_status", without: str | None = None) -> DataFrame:
-    """Jobs of the current version with the last status that any part, but for one, gave them."""
-    jobs, parts = store.load(jobs_table), store.parts(f"{jobs_table}_changes", without)
-    if parts is None:
-        return jobs
-    last = parts.groupBy("job_id").agg(F.max_by("status", "number").alias("__s"))
-    return jobs.join(last, jobs["id"] == last["job_id"], "left").select(
-        *[c for c in jobs.columns if c != "status"], F.coalesce("__s", "status").alias("status"))
-
-
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A parquet table of a folder as a stream."""
     kind = spark.read.parquet(f"{folder}/{name}.parquet").schema
