@@ -133,23 +133,29 @@ def _catalog(d):
 GONE = "gone AS (SELECT id FROM chapters WHERE project_id % 10 = 3 OR id % 50 = 1), gone_pages AS (SELECT id FROM page_rows WHERE chapter_id IN (SELECT id FROM gone))"
 
 
-@query(sql("""SELECT 'projects' AS name, id AS id, -1 AS chapter_id FROM projects WHERE id % 10 <> 3
+CASCADE_SQL = """SELECT 'projects' AS name, id AS id, -1 AS chapter_id FROM projects WHERE id % 10 <> 3
     UNION ALL SELECT 'chapters', id, -1 FROM chapters WHERE id NOT IN (SELECT id FROM gone)
     UNION ALL SELECT 'pages', id, chapter_id FROM page_rows WHERE chapter_id NOT IN (SELECT id FROM gone)
     UNION ALL SELECT 'bubbles', id, -1 FROM bubbles WHERE page_id NOT IN (SELECT id FROM gone_pages)
     UNION ALL SELECT 'segments', id, -1 FROM bubbles WHERE page_id NOT IN (SELECT id FROM gone_pages)
-    UNION ALL SELECT 'jobs', id, CASE WHEN chapter_id IN (SELECT id FROM gone) THEN -1 ELSE chapter_id END FROM jobs""",
-           "projects", "chapters", "page_rows", "bubbles", "jobs", extra=GONE))
-def cascade_delete(d):
-    left = C.cascade_delete(_catalog(d), d.projects.filter("id % 10 = 3"), d.chapters.filter("id % 50 = 1"))
+    UNION ALL SELECT 'jobs', id, CASE WHEN chapter_id IN (SELECT id FROM gone) THEN -1 ELSE chapter_id END FROM jobs"""
+
+
+def listed(catalog):
+    """Ids of all tables, with the chapter of pages and jobs."""
     out = None
-    for name, df in left.items():
+    for name, df in catalog.items():
         chapter = F.coalesce("chapter_id", F.lit(-1)) if name in ("pages", "jobs") else F.lit(-1)
         rows = df.select(F.lit(name).alias("name"), F.col("id").cast("long").alias("id"), chapter.cast("long").alias("chapter_id"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+@query(sql(CASCADE_SQL, "projects", "chapters", "page_rows", "bubbles", "jobs", extra=GONE))
+def cascade_delete(d):
+    return listed(C.cascade_delete(_catalog(d), d.projects.filter("id % 10 = 3"), d.chapters.filter("id % 50 = 1")))
+
+
 @query(sql("""SELECT md5('copy:' || p.id || ':2024-01-01 00:00:00') AS project, p.title || ' (Copy)' AS title,
     coalesce(md5('copy:' || c.id || ':2024-01-01 00:00:00'), '') AS chapter, coalesce(chapter_number, -1) AS chapter_number
     FROM projects p LEFT JOIN chapters c ON project_id = p.id WHERE p.id % 20 = 0""", "projects", "chapters"))
@@ -161,13 +167,19 @@ def duplicate_projects(d):
         F.coalesce("chapter_number", F.lit(-1.0)).alias("chapter_number"))
 
 
-@query(sql("""SELECT id, CASE WHEN id % 3 = 0 THEN 'T' || id ELSE title END AS title, CASE WHEN id % 6 = 0 THEN NULL ELSE author END AS author,
-    CASE WHEN id % 3 = 0 THEN TIMESTAMP '2024-01-01' ELSE updated_at END AS updated_at FROM projects""", "projects"))
-def apply_updates(d):
-    updates = d.projects.filter("id % 3 = 0").select(
+UPDATES_SQL = """SELECT id, CASE WHEN id % 3 = 0 THEN 'T' || id ELSE title END AS title, CASE WHEN id % 6 = 0 THEN NULL ELSE author END AS author,
+    CASE WHEN id % 3 = 0 THEN TIMESTAMP '2024-01-01' ELSE updated_at END AS updated_at FROM projects"""
+
+
+def project_updates(d):
+    return d.projects.filter("id % 3 = 0").select(
         "id", F.concat(F.lit("T"), F.col("id").cast("string")).alias("title"), F.lit(None).cast("string").alias("author"),
         F.when(F.col("id") % 6 == 0, F.array(F.lit("author"))).otherwise(F.array().cast("array<string>")).alias("cleared"))
-    return C.apply_updates(d.projects, updates, "id", now()).select("id", "title", "author", "updated_at")
+
+
+@query(sql(UPDATES_SQL, "projects"))
+def apply_updates(d):
+    return C.apply_updates(d.projects, project_updates(d), "id", now()).select("id", "title", "author", "updated_at")
 
 
 BATCH = """batch AS (SELECT page_id AS id, CASE page_id % 3 WHEN 0 THEN 'er#' || lpad((page_id)::VARCHAR, 9, '0') WHEN 1 THEN 'fresh ' || page_id % 6 ELSE 'fresh' END AS title FROM pages),

@@ -82,3 +82,9 @@ def is_live(created_at: Column, ttl: Column, now: Column) -> Column:
     """An entry without a positive ttl never expires; otherwise age <= ttl seconds."""
     age = F.timestamp_diff("MICROSECOND", created_at, now) / 1e6
     return ttl.isNull() | (ttl <= 0) | (age <= ttl)
+
+
+def bit_set(bitmap: Column, place: Column) -> Column:
+    """Whether a bitmap of ``bitmap_construct_agg`` has the bit at a place from 0."""
+    byte = F.conv(F.hex(F.substr(bitmap, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return F.pmod(F.floor(byte / F.pow(F.lit(2.0), place % 8)), F.lit(2)) == 1

@@ -64,11 +64,31 @@ class CatalogStore:
         done = sorted(p for p in done if without is None or not p.endswith(f"/{without}"))
         return self.spark.read.option("basePath", f"{self.root}/{table}").parquet(*done) if done else None
 
+    def _claim(self, table: str, number: int) -> bool:
+        """Take a version number for this writer alone; False where another one has it."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/_claims/{number:08d}")
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            fs.create(path, False).close()
+        except Exception as e:
+            if "FileAlreadyExists" in str(e) or "already exists" in str(e):
+                return False
+            raise
+        return True
+
     def save(self, df: DataFrame, table: str, version: int | None = None) -> str:
-        """Write the next version (or the given one, for replays) and make it current."""
-        versions = self._versions(table)
-        number = version if version is not None else (versions[-1] + 1 if versions else 0)
-        path = f"{self.root}/{table}/v{number:08d}"
+        """Write the next version (or the given one, for replays) and make it current.
+
+        A new version's number is claimed first, so writers that meet write versions of their own and none erases
+        another's; the greater number is current. Where a change depends on what was read, use a ``ChangeTable``.
+        """
+        if version is None:
+            versions = self._versions(table)
+            version = versions[-1] + 1 if versions else 0
+            while not self._claim(table, version):
+                version += 1
+        path = f"{self.root}/{table}/v{version:08d}"
         df.write.mode("overwrite").parquet(path)
         return path
 
