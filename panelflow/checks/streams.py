@@ -12,8 +12,10 @@ from panelflow.checks.jobs import ACTION_LOG, LATEST, _actions, _start
 from panelflow.checks.translation import REQUESTS, _segments_sql, batch_provider
 from panelflow.domain import events_to_progress
 from panelflow.session import scratch_path
+from panelflow.sources.memory import MemoryStore
 from panelflow.sources.tables import CatalogStore
 from panelflow.streaming import events as S
+from panelflow.streaming import state as K
 from panelflow.streaming.translate import translate_batches
 
 
@@ -43,18 +45,18 @@ def stream_bounded_events(d):
 @query(sql("SELECT job_id, type, CASE WHEN status = 'failed' THEN 'error' ELSE status END AS status, progress, timestamp FROM latest",
            "progress_events", extra=LATEST))
 def stream_job_state(d):
+    """The latest event of every job, read from the state store."""
     root = scratch_path(d.spark, "state")
-    store = CatalogStore(d.spark, root)
-    S.run_batches(_events(d), S.upsert_job_state(store), f"{root}/checkpoint")
-    return S.job_state(store).select("job_id", "type", "status", "progress", "timestamp")
+    S.run_available(K.latest_events(_events(d)), f"{root}/out", f"{root}/checkpoint")
+    return K.job_state(d.spark, f"{root}/checkpoint").select("job_id", "type", "status", "progress", "timestamp")
 
 
 @query(sql("SELECT event_id, job_id, type FROM progress_events ORDER BY timestamp DESC, event_id DESC LIMIT 100", "progress_events"))
 def stream_last_events(d):
+    """The newest events overall, read from the state store."""
     root = scratch_path(d.spark, "last")
-    store = CatalogStore(d.spark, root)
-    S.run_batches(_events(d), S.keep_last_events(store), f"{root}/checkpoint")
-    return d.spark.read.parquet(store.current("last_events")).select("event_id", "job_id", "type")
+    S.run_available(K.newest_events(_events(d)), f"{root}/out", f"{root}/checkpoint")
+    return K.last_events(d.spark, f"{root}/checkpoint").select("event_id", "job_id", "type")
 
 
 CLOSED = "(SELECT max(timestamp) - INTERVAL 10 MINUTE FROM progress_events WHERE type = 'page_processed')"
@@ -103,27 +105,52 @@ def stream_activity_spans(d):
 
 @query(sql("SELECT job_id, action_id, action, status_before, accepted, status_after FROM verdicts", extra=ACTION_LOG))
 def stream_transitions(d):
+    """Half of the actions are there at the first start, the later half at the second: statuses go on from the state."""
     root = scratch_path(d.spark, "transitions")
-    store = CatalogStore(d.spark, root)
-    store.save(_start(d), "job_status")
+    actions = _actions(d).withColumn("at", F.col("at").cast("timestamp"))
+    middle = actions.agg(F.percentile_approx("at", 0.5)).first()[0]
+    for part in (F.col("at") <= F.lit(middle), F.col("at") > F.lit(middle)):
+        actions.filter(part).write.mode("append").parquet(f"{root}/in")
+        stream = d.spark.readStream.schema(actions.schema).parquet(f"{root}/in")
+        S.run_available(K.transitions(stream, _start(d).select("id", "status")), f"{root}/out", f"{root}/checkpoint")
+    return d.spark.read.parquet(f"{root}/out").select(
+        "job_id", "action_id", "action", "status_before", "accepted", "status_after")
 
-    class Streamed:
-        """The events as a stream, for the action projection."""
-        table = staticmethod(lambda name: S.stream_table(d.spark, d.folder, name))
 
-    S.run_batches(_actions(Streamed), S.validate_transitions(store), f"{root}/checkpoint")
-    return d.spark.read.parquet(f"{root}/action_log").select(
-        "job_id", "action_id", "action", "status_before", "accepted", "status_after")
+MARK = "mark AS (SELECT date_trunc('millisecond', max(timestamp)) - INTERVAL 10 MINUTE AS t FROM progress_events)"
+
+
+@query(sql("""SELECT job_id, s AS started_at, s + INTERVAL 10 MINUTE AS timed_out_at FROM (SELECT job_id,
+      unnest(list_concat(run.outs, CASE WHEN run.since + INTERVAL 10 MINUTE <= (SELECT t FROM mark) THEN [run.since] ELSE [] END)) AS s FROM folded)""",
+           "progress_events", extra=MARK + """,
+    folded AS (SELECT job_id, list_reduce(list({'at': timestamp, 'kind': type} ORDER BY timestamp, type), lambda acc, r: {
+        'since': CASE WHEN r.kind IN ('job_completed', 'job_error') THEN NULL
+          WHEN (acc.since IS NULL OR r.at > acc.since + INTERVAL 10 MINUTE) THEN CASE WHEN r.kind = 'job_progress' THEN r.at END ELSE acc.since END,
+        'outs': CASE WHEN r.at > acc.since + INTERVAL 10 MINUTE THEN list_append(acc.outs, acc.since) ELSE acc.outs END},
+      CAST({'since': NULL, 'outs': []} AS STRUCT(since TIMESTAMP, outs TIMESTAMP[]))) AS run
+    FROM progress_events WHERE timestamp <= (SELECT t FROM mark) GROUP BY job_id)"""))
+def stream_timeouts(d):
+    """Timeouts sent by timers on the watermark."""
+    return _appended(d, K.job_timeouts(_events(d)), "timeouts")
+
+
+@query(sql("""SELECT job_id, timestamp AS last_event_at, timestamp + INTERVAL 12 HOUR AS idle_at FROM
+    (SELECT job_id, timestamp, lead(timestamp) OVER (PARTITION BY job_id ORDER BY timestamp) AS next FROM progress_events)
+    WHERE (next IS NULL OR next > timestamp + INTERVAL 12 HOUR) AND timestamp + INTERVAL 12 HOUR <= (SELECT t FROM mark)""",
+           "progress_events", extra=MARK))
+def stream_idle(d):
+    """Silences sent by timers on the watermark, also those that no event ends."""
+    return _appended(d, K.idle_notices(_events(d), "12 hours"), "idle")
 
 
 @query(sql(_segments_sql(), "segments", "memory", extra=REQUESTS))
 def stream_translation(d):
     root = scratch_path(d.spark, "translate")
-    store = CatalogStore(d.spark, root)
-    store.save(d.memory, "memory")
+    store, memory = CatalogStore(d.spark, root), MemoryStore(d.spark, root)
+    memory.learn(d.memory, "given")
     new = S.stream_table(d.spark, d.folder, "documents").select(
         F.col("doc_id").alias("id"), F.col("text").alias("original_text"), F.col("lang").alias("source_language"), F.lit("en").alias("target_language"))
-    S.run_batches(new, translate_batches(store, batch_provider(), now()), f"{root}/checkpoint")
+    S.run_batches(new, translate_batches(store, memory, batch_provider(), now()), f"{root}/checkpoint")
     return d.spark.read.parquet(f"{root}/translated").select("id", "translated_text", "confidence", "engine", "from_memory")
 
 

@@ -3,38 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from panelflow.operators import translate as X
+from panelflow.sources.memory import MemoryStore
 from panelflow.sources.tables import CatalogStore
 
 
-def translate_batches(store: CatalogStore, provider: X.Provider, now: Column, memory_table: str = "memory",
+def translate_batches(store: CatalogStore, memory: MemoryStore, provider: X.Provider, now: Column,
                       out_table: str = "translated", **kw):
     """Batch writer: look new segments up, ask the provider for the rest, remember the answers.
 
-    Results and learned rows go to a part per stream and batch, so a replayed batch overwrites its own
-    output, a new stream over the same store adds to what is there, and nothing else is written again.
+    A batch reads only the memory buckets that may hold its keys. Results and learned rows go to a part per stream and
+    batch: a replayed batch leaves its own part out of what it knows and overwrites its own output, a new stream over
+    the same store adds to what is there, and nothing else is written again.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
         part = store.part(batch, batch_id)
-        done, learned = X.translate_segments(batch, known_memory(store, memory_table, part), provider, now, **kw)
+        known = memory.rows_for(X.distinct_requests(batch), without=part)
+        done, learned = X.translate_segments(batch, known, provider, now, **kw)
         store.save_part(done, out_table, part)
-        store.save_part(learned, f"{memory_table}_learned", part)
+        memory.learn(learned, part)
 
     return each
-
-
-def known_memory(store: CatalogStore, memory_table: str = "memory", without: str | None = None) -> DataFrame:
-    """The memory's current version and all rows learned since, but for one part."""
-    base = store.load(memory_table)
-    learned = store.parts(f"{memory_table}_learned", without)
-    return base if learned is None else base.unionByName(learned.select(*base.columns))
-
-
-def compact_memory(store: CatalogStore, memory_table: str = "memory") -> str:
-    """Write the newest row of every key as the memory's next version. Learned parts may stay: they repeat such rows."""
-    rows = known_memory(store, memory_table)
-    newest = rows.groupBy("key").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "key"]),
-                                              F.struct("created_at", "translated_text")).alias("m"))
-    return store.save(newest.select("key", "m.*").select(*rows.columns), memory_table)

@@ -7,9 +7,10 @@ from panelflow.operators import catalog as C
 from panelflow.operators import jobs as J
 from panelflow.operators import reports as P
 from panelflow.operators import translate as X
+from panelflow.sources.memory import MemoryStore
 from panelflow.sources.tables import CatalogStore
 from panelflow.streaming import events as S
-from panelflow.streaming.translate import compact_memory, known_memory, translate_batches
+from panelflow.streaming.translate import translate_batches
 
 MEMORY = "key string, translated_text string, engine string, size long, created_at timestamp_ntz, accessed_at timestamp_ntz, ttl double"
 
@@ -23,7 +24,8 @@ def shout():
 
 def test_translation_goes_on_after_a_new_checkpoint(spark, tmp_path):
     store = CatalogStore(spark, f"{tmp_path}/store")
-    store.save(spark.createDataFrame([], MEMORY), "memory")
+    memory = MemoryStore(spark, store.root, buckets=4)
+    memory.learn(spark.createDataFrame([], MEMORY), "none")
     schema = "id long, original_text string, source_language string, target_language string"
 
     def feed(k, text):
@@ -31,7 +33,7 @@ def test_translation_goes_on_after_a_new_checkpoint(spark, tmp_path):
 
     def run(folder, checkpoint):
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/{folder}")
-        S.run_batches(stream, translate_batches(store, shout(), now()), f"{tmp_path}/{checkpoint}")
+        S.run_batches(stream, translate_batches(store, memory, shout(), now()), f"{tmp_path}/{checkpoint}")
 
     for k, text in ((1, "a"), (2, "b")):
         feed(k, text)
@@ -42,25 +44,12 @@ def test_translation_goes_on_after_a_new_checkpoint(spark, tmp_path):
     out = spark.read.parquet(f"{store.root}/translated")
     got = {r["id"]: (r["translated_text"], r["from_memory"]) for r in out.collect()}
     assert got == {1: ("fr:a", False), 2: ("fr:b", False), 3: ("fr:a", True), 4: ("fr:c", False)}
-    assert known_memory(store).count() == 3
-    compact_memory(store)
-    assert store.load("memory").count() == 3
-
-
-def test_statuses_go_on_after_a_new_checkpoint(spark, tmp_path):
-    store = CatalogStore(spark, f"{tmp_path}/store")
-    store.save(spark.createDataFrame([("j", "processing")], "id string, status string"), "job_status")
-    schema = "job_id string, action string, at timestamp, action_id long"
-    for k, action in enumerate(["stop", "resume", "cancel", "cancel"]):
-        row = spark.createDataFrame([("j", action, k)], "job_id string, action string, k long").select(
-            "job_id", "action", F.timestamp_seconds("k").alias("at"), F.col("k").alias("action_id"))
-        row.write.parquet(f"{tmp_path}/in{k}")
-        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in{k}")
-        S.run_batches(stream, S.validate_transitions(store), f"{tmp_path}/checkpoint{k}")
-    log = spark.read.parquet(f"{store.root}/action_log").orderBy("action_id").collect()
-    assert [(r["status_before"], r["status_after"], r["accepted"]) for r in log] == [
-        ("processing", "paused", True), ("paused", "queued", True), ("queued", "cancelled", True), ("cancelled", "cancelled", False)]
-    assert S.job_statuses(store).first()["status"] == "cancelled"
+    assert memory.load().count() == 3 and len(memory.state()["parts"]) > 3
+    memory.compact()
+    assert memory.load().count() == 3 and len(memory.state()["parts"]) == 1
+    feed(5, "c")
+    run("in2", "second")
+    assert spark.read.parquet(f"{store.root}/translated").filter("id = 5").first()["from_memory"]
 
 
 def test_auto_is_detected_for_each_text(spark):
