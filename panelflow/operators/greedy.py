@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.functions import geometry as g
+from panelflow.operators.grid import Grid, close_pairs
 from panelflow.operators.skew import first_rows, numbered, salted_lookup, split_hot
 from panelflow.session import cut
 
@@ -119,13 +120,12 @@ def greedy(
 def _kernels(over_union: bool, drop_over: float, take_over: float | None):
     """The two array functions that run inside tasks; they carry plain values only."""
 
-    def shares(k: np.ndarray, r: np.ndarray) -> np.ndarray:
-        """Share of each box of r (rows) with each box of k (columns)."""
-        a, b = k[None, :, :], r[:, None, :]
-        dx = np.minimum(a[..., 0] + a[..., 2], b[..., 0] + b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
-        dy = np.minimum(a[..., 1] + a[..., 3], b[..., 1] + b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
-        both, ka, ra = dx * dy, a[..., 2] * a[..., 3], b[..., 2] * b[..., 3]
-        base = ka + ra - both if over_union else np.minimum(ka, ra)
+    def shares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Share of each box of a with the box of b in the same row."""
+        dx = np.minimum(a[:, 0] + a[:, 2], b[:, 0] + b[:, 2]) - np.maximum(a[:, 0], b[:, 0])
+        dy = np.minimum(a[:, 1] + a[:, 3], b[:, 1] + b[:, 3]) - np.maximum(a[:, 1], b[:, 1])
+        both, one, other = dx * dy, a[:, 2] * a[:, 3], b[:, 2] * b[:, 3]
+        base = one + other - both if over_union else np.minimum(one, other)
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where((dx > 0) & (dy > 0) & (base > 0), both / base, 0.0)
 
@@ -136,22 +136,28 @@ def _kernels(over_union: bool, drop_over: float, take_over: float | None):
         boxes = np.zeros((m + len(head), 4))
         masks, owner, opened = np.zeros(len(boxes), bool), np.zeros(len(boxes), np.int64), np.zeros(len(boxes), np.int64)
         boxes[:m], masks[:m], owner[:m], opened[:m] = slots[["x", "y", "w", "h"]].to_numpy(float), slots["m"], slots["n"], slots["opened"]
+        grid = Grid(boxes[:m])
         for box, mask, n in zip(head[["x", "y", "w", "h"]].to_numpy(float), head["m"].to_numpy(bool), head["n"].to_numpy()):
-            share = shares(boxes[:m], box[None, :])[0]
+            close = grid.close(box.tolist())
+            share = shares(boxes[close], box[None, :])
             hit = share > drop_over
             if take_over is not None and mask:
-                hit = hit | ((share > take_over) & ~masks[:m])
-            at = int(hit.argmax()) if m else 0
-            if m == 0 or not hit[at]:
+                hit = hit | ((share > take_over) & ~masks[close])
+            first = int(hit.argmax()) if len(close) else 0
+            if not len(close) or not hit[first]:
                 at, m = m, m + 1
                 opened[at] = n
-            elif share[at] > drop_over:
+            elif share[first] > drop_over:
                 continue
+            else:
+                at = int(close[first])
+                grid.remove(at, boxes[at].tolist())
             boxes[at], masks[at], owner[at] = box, mask, n
+            grid.add(at, box.tolist())
         out = pd.DataFrame(boxes[:m], columns=["x", "y", "w", "h"])
         return out.assign(m=masks[:m], n=owner[:m], pos=np.arange(m, dtype=np.int64), opened=opened[:m])
 
-    def test(rows: pd.DataFrame, slots: pd.DataFrame, block: int = 256) -> pd.DataFrame:
+    def test(rows: pd.DataFrame, slots: pd.DataFrame) -> pd.DataFrame:
         """Rows not settled by the slots: pos is the place a row waits on (-1: none). Also, as rows
         with n null, each open place's first possible taker in column ``taker``."""
         slots = slots.sort_values("pos")
@@ -161,20 +167,19 @@ def _kernels(over_union: bool, drop_over: float, take_over: float | None):
         waits_on = np.full(len(rows), -1, np.int64)
         settled = np.zeros(len(rows), bool)
         taker = np.full(len(slots), np.iinfo(np.int64).max)
-        for i in range(0, len(rows), block):
-            share = shares(k, r[i:i + block])
-            drop = share > drop_over
-            take = np.zeros_like(drop)
-            if take_over is not None:
-                take = ~drop & (share > take_over) & masks[i:i + block, None] & ~closed[None, :]
-            hit = drop | take
-            at, some = hit.argmax(axis=1), hit.any(axis=1)
-            plain = some & drop[np.arange(len(at)), at]
-            settled[i:i + block] = plain & (closed[at] if take_over is not None else True)
-            waits_on[i:i + block] = np.where(plain, at, -1)
-            open_rows = take & ~settled[i:i + block, None]
-            first = np.where(open_rows, n[i:i + block, None], np.iinfo(np.int64).max).min(axis=0)
-            taker = np.minimum(taker, first)
+        i, j = close_pairs(r, k)
+        share = shares(k[j], r[i])
+        drop = share > drop_over
+        take = np.zeros_like(drop)
+        if take_over is not None:
+            take = ~drop & (share > take_over) & masks[i] & ~closed[j]
+        row, first = np.unique(i[drop | take], return_index=True)  # a row's first place, as pairs are in order
+        first = np.flatnonzero(drop | take)[first]
+        plain = drop[first]
+        waits_on[row[plain]] = j[first[plain]]
+        settled[row[plain]] = closed[j[first[plain]]] if take_over is not None else True
+        open_pairs = take & ~settled[i]
+        np.minimum.at(taker, j[open_pairs], n[i[open_pairs]])
         left = rows[~settled].assign(pos=waits_on[~settled], taker=pd.array([None] * int((~settled).sum()), "Int64"))
         turning = np.flatnonzero(taker < np.iinfo(np.int64).max)
         marks = pd.DataFrame({"pos": turning, "taker": pd.array(taker[turning], "Int64")})
