@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelflow import schema
 from panelflow.functions import text as t
 from panelflow.functions.values import half_even, is_live, percent, tally
+from panelflow.operators.journal import journaled
 from panelflow.operators.regions import rank_of
 from panelflow.operators.skew import running
 from panelflow.session import cut
@@ -158,14 +159,17 @@ def per_row(engine: str, translate: Callable[[str, str, str, str | None], str])
     return run
 
 
-def run_provider(requests: DataFrame, provider: Provider, parallelism: int | None = None) -> DataFrame:
+def run_provider(requests: DataFrame, provider: Provider, parallelism: int | None = None, journal: str | None = None) -> DataFrame:
     """Candidate rows from a provider. Spark decides how many tasks call it; ``parallelism`` sets that number for
-    services that allow only so many callers.
+    services that allow only so many callers. With ``journal``, a folder on shared storage, a key that was answered is
+    never asked again by a retried task or a repeated job (see ``operators.journal``).
 
     A source language of 'auto' is detected per text first; where that fails the provider is told 'auto'.
     """
     found = detected_language(requests)
     requests = requests.withColumn("source_language", F.when(found != "unknown", found).otherwise(F.col("source_language")))
+    if journal:
+        return journaled(requests, provider, CANDIDATE, journal, parallelism=parallelism)
     spread = requests.repartition(parallelism) if parallelism else requests
     return spread.mapInPandas(provider, CANDIDATE)
 
@@ -207,7 +211,8 @@ def compute_missing(keys: DataFrame, memory: DataFrame, now: Column,
 
 def translate_segments(segments: DataFrame, memory: DataFrame, provider: Provider, now: Column,
                        ttl: float = MEMORY_TTL, parallelism: int | None = None,
-                       priority: list[str] | None = None, reject_echo: bool = False) -> tuple[DataFrame, DataFrame]:
+                       priority: list[str] | None = None, reject_echo: bool = False,
+                       journal: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Translated segments and the memory rows to append.
 
     Equal requests are asked once; only requests without a live memory entry
@@ -215,7 +220,7 @@ def translate_segments(segments: DataFrame, memory: DataFrame, provider: Provide
     told the language found in the text, and detected_source_language has it.
     """
     def ask(misses: DataFrame) -> DataFrame:
-        return resolve_translations(misses, run_provider(misses, provider, parallelism), priority, reject_echo)
+        return resolve_translations(misses, run_provider(misses, provider, parallelism, journal), priority, reject_echo)
 
     answers, fresh = compute_missing(distinct_requests(segments).drop("n"), memory, now, ask)
     out = translation_keys(segments).join(
