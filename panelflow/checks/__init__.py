@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["regions", "texts", "translation", "reports", "catalog", "jobs", "exports", "streams", "changes", "memory"]
+MODULES = ["regions", "texts", "translation", "reports", "catalog", "jobs", "exports", "streams", "changes", "memory", "files"]
 
 
 def _load() -> None:

@@ -22,7 +22,7 @@ def _stored(d, *names):
 @query(sql(CASCADE_SQL, "projects", "chapters", "page_rows", "bubbles", "jobs", extra=GONE))
 def changed_cascade(d):
     """A cascade that writes bitmaps of deleted rows, read back."""
-    tables = _stored(d, "projects", "chapters", "pages", "bubbles", "jobs")
+    tables = _stored(d, "projects", "chapters", "pages", "bubbles", "segments", "jobs")
     delete_projects(tables, d.projects.filter("id % 10 = 3"), d.chapters.filter("id % 50 = 1"), now())
     return listed({n: t.load() for n, t in tables.items()})
 

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from panelflow import schema
 from panelflow.functions import text as t
+from panelflow.session import cut
 
 ENTRY = ("archive_path string, page_number int, entry_name string, filename string, size long, "
          "format string, content binary, success boolean, error string")
+SPLIT_BYTES = 64 * 2**20
 _LISTED = ["path", "length", "modificationTime"]
 _IMAGE_SUFFIXES = {f".{e}" for e in schema.IMAGE_EXTENSIONS}
 
@@ -82,6 +84,89 @@ def _entries(path: str, content: bytes, max_entry: int) -> Iterator[tuple]:
                 yield path, number, entry, base, 0, "", None, False, f"Failed to extract {entry}: {str(e)[:100]}"
 
 
+def open_files(uri: str):
+    """File system and path of a URI, for ranged reads and writes inside tasks."""
+    from pyarrow import fs
+
+    if re.match(r"file:/(?!/)", uri):
+        uri = "file://" + uri[5:]
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+
+
+def archive_entries(spark: SparkSession, path: str, max_entry: int = schema.MAX_PAGE_BYTES, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Image entries of all archives of a folder, from their directories alone: the columns of ``explode_archives`` without
+    content, and ``split``, which changes after every ``split_bytes`` of compressed entries in natural order."""
+    listed = read_archives(spark, path).select("path")
+    columns = [c.split()[0] for c in ENTRY.split(", ") if not c.startswith("content")] + ["split"]
+
+    def entries(path: str) -> Iterator[tuple]:
+        name = PurePosixPath(path).name
+        try:
+            fs, place = open_files(path)
+            archive = zipfile.ZipFile(fs.open_input_file(place))
+        except Exception as e:
+            error = "No RAR library available" if name.lower().endswith(".cbr") else f"Corrupted archive file: {e}"
+            yield path, None, None, name, None, None, False, error, 0
+            return
+        with archive:
+            images = [n for n in archive.namelist() if PurePosixPath(n.lower()).suffix in _IMAGE_SUFFIXES]
+            if not images:
+                yield path, None, None, name, None, None, False, f"No supported images found in {name}", 0
+            packed = 0
+            for number, entry in enumerate(sorted(images, key=_natural), 1):
+                info, kind = archive.getinfo(entry), PurePosixPath(entry).suffix.lower().lstrip(".")
+                large = info.file_size > max_entry
+                yield (path, number, entry, PurePosixPath(entry).name, info.file_size, "" if large else kind, not large,
+                       f"Page too large: {info.file_size / 2**20:.1f} MB" if large else None, packed // split_bytes)
+                packed += info.compress_size
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                rows = list(entries(path))
+                yield pd.DataFrame(rows, columns=columns).astype({"page_number": "Int32", "size": "Int64"})
+
+    kind = ", ".join(c for c in ENTRY.split(", ") if not c.startswith("content")) + ", split long"
+    return listed.mapInPandas(run, kind)
+
+
+def read_archive_pages(spark: SparkSession, path: str, max_entry: int = schema.MAX_PAGE_BYTES, split_bytes: int = SPLIT_BYTES,
+                       batch_bytes: int = 16 * 2**20) -> DataFrame:
+    """As ``explode_archives``, read entry by entry: an archive is never held whole and its splits go to different tasks,
+    so its size is not bounded by a row or a task. A task opens each of its archives once and reads its own ranges."""
+    columns = [c.split()[0] for c in ENTRY.split(", ")]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({"page_number": "Int32", "size": "Int64"})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opened, archive, rows, held = None, None, [], 0
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                number, size = (None if pd.isna(v) else int(v) for v in (r.page_number, r.size_))
+                row = (r.archive_path, number, r.entry_name, r.filename, size, r.format, None, bool(r.success), r.error)
+                if r.success:
+                    if opened != r.archive_path:
+                        fs, place = open_files(r.archive_path)
+                        opened, archive = r.archive_path, zipfile.ZipFile(fs.open_input_file(place))
+                    try:
+                        row = (*row[:6], archive.read(r.entry_name), True, None)
+                    except Exception as e:
+                        row = (*row[:4], 0, "", None, False, f"Failed to extract {r.entry_name}: {str(e)[:100]}")
+                rows.append(row)
+                held += len(row[6] or b"")
+                if held >= batch_bytes:
+                    yield frame(rows)
+                    rows, held = [], 0
+        if rows:
+            yield frame(rows)
+
+    # Each directory is read once; its entries are written before they are dealt out.
+    entries = cut(archive_entries(spark, path, max_entry, split_bytes)).withColumnRenamed("size", "size_")
+    dealt = entries.repartition("archive_path", "split").sortWithinPartitions("archive_path", "page_number")
+    return dealt.mapInPandas(run, ENTRY)
+
+
 def explode_archives(binary_df: DataFrame, max_entry: int = schema.MAX_PAGE_BYTES,
                      batch_bytes: int = 16 * 2**20, batch_rows: int = 256) -> DataFrame:
     """One row per image entry of each archive, numbered in natural order. Entries leave in small batches."""

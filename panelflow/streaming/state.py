@@ -115,13 +115,12 @@ class _Latest(StatefulProcessor):
 
 
 def latest_events(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """A row for every job and micro-batch that changed its latest event; 'error' reads as failed.
+    """A row for every job and micro-batch that changed its latest event.
 
     The latest event is that with the greatest (timestamp, event_id), in whatever order events come. The state of all
     jobs is ``job_state``. With ``ttl_ms`` jobs without a newer event for so long are forgotten.
     """
-    status = F.when(F.col("status") == "error", "failed").otherwise(F.col("status"))
-    rows = _micros(events.filter("timestamp IS NOT NULL AND event_id IS NOT NULL").withColumn("status", status).select("job_id", *LATEST_FIELDS))
+    rows = _micros(events.filter("timestamp IS NOT NULL AND event_id IS NOT NULL").select("job_id", *LATEST_FIELDS))
     done = rows.groupBy("job_id").transformWithStateInPandas(
         _Latest(_schema(rows, LATEST_FIELDS), LATEST_FIELDS, ttl_ms), _schema(rows, ["job_id", *LATEST_FIELDS]), "append",
         "ProcessingTime" if ttl_ms else "None")

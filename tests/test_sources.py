@@ -46,6 +46,23 @@ def test_archives(spark, tmp_path):
     assert rows["bad.zip"][0]["error"].startswith("Corrupted archive file") and not rows["rar.cbr"][0]["success"]
 
 
+def test_one_archive_is_read_by_several_tasks(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "big.cbz", "w") as z:
+        for n in range(60):
+            z.writestr(f"x/p{n}.png", bytes([n]) * (1000 + n))
+        z.writestr("x/p7b.png", b"0" * 5000)
+    with zipfile.ZipFile(tmp_path / "empty.zip", "w") as z:
+        z.writestr("a.txt", b"")
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    (tmp_path / "rar.cbr").write_bytes(b"Rar!")
+    whole = files.explode_archives(files.read_archives(spark, str(tmp_path)), max_entry=4000)
+    parts = files.read_archive_pages(spark, str(tmp_path), max_entry=4000, split_bytes=4000)
+    order = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert order(parts) == order(whole) and parts.count() == 64
+    tasks = parts.filter("archive_path LIKE '%big.cbz'").select(F.spark_partition_id()).distinct().count()
+    assert tasks > 1 and files.archive_entries(spark, str(tmp_path), split_bytes=4000).agg(F.max("split")).first()[0] >= 10
+
+
 def test_logs_round_trip(spark, tmp_path):
     (tmp_path / "app.log").write_text("2024-01-01 10:00:00,123 - backend.ocr - ERROR - engine - broke\n  trace line\n")
     (tmp_path / "app.log.1").write_text("2023-12-31 10:00:00,000 - backend.api - INFO - Started\n")
@@ -87,6 +104,22 @@ def test_page_sinks(spark, tmp_path):
     assert names.filter("path = 'Chapter_12/page_0001.jpg'").count() == 1
 
 
+def test_a_failing_write_shows_no_page(spark, tmp_path):
+    pages = spark.range(40).select(F.concat(F.lit("1/2/page_"), "id", F.lit(".jpg")).alias("path"), F.col("id").cast("string").cast("binary").alias("content"))
+    broken = pages.repartition(4).withColumn("path", F.when(F.col("path").contains("_39."), F.raise_error(F.lit("lost"))).otherwise(F.col("path")))
+    root = str(tmp_path / "pages out")
+    try:
+        sinks.write_pages(broken, root)
+        raise AssertionError("the write should fail")
+    except Exception as e:
+        assert "lost" in str(e)
+    assert sinks.read_pages(spark, root).count() == 0
+    sinks.write_pages(pages.repartition(4), root)
+    sinks.write_pages(pages.limit(0), root)
+    found = sinks.read_pages(spark, root).collect()
+    assert len(found) == 40 and all(open(f"{root}/{r['file']}").read() == r["path"][9:-4] and r["size"] == len(r["path"][9:-4]) for r in found)
+
+
 def test_user_engine_contract(spark):
     def engine(batches):
         for b in batches:
