@@ -8,6 +8,8 @@ from panelflow import schema
 from panelflow.checks.base import flat, mean_sql, percent_sql, query, rounded, sql, ts
 from panelflow.operators import metrics as M
 from panelflow.operators import reports as R
+from panelflow.operators.paging import listing_page, write_listing
+from panelflow.session import scratch_path
 
 TOTALS = """per_chapter AS (SELECT chapter_id, count(*) AS n, count(*) FILTER (is_translated) AS done, sum(processing_time_ms) AS ms FROM page_rows GROUP BY 1),
 page_totals AS (SELECT project_id, count(*) AS chapter_count, count(*) FILTER (is_translated) AS translated_chapters,
@@ -139,6 +141,16 @@ def newest_history(d):
     return R.newest_history(_history(d), 50, 100).select("job_id", "created_at")
 
 
+@query(sql("""SELECT job_id, created_at FROM (SELECT job_id, created_at, row_number() OVER (ORDER BY created_at DESC, job_id DESC) AS n FROM history)
+    WHERE n <= 50 OR (n > 700 AND n <= 750) OR (n > 1400 AND n <= 1450)""", *H, extra=HISTORY))
+def indexed_history(d):
+    """The first page and two deep ones of the whole history, from a listing written once."""
+    path = scratch_path(d.spark, "history")
+    write_listing(_history(d).select("job_id", "created_at"), [F.col("created_at").desc(), F.col("job_id").desc()], path, ranges=32)
+    pages = [listing_page(d.spark, path, 50, offset) for offset in (0, 700, 1400)]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
 @query(sql("SELECT count(*) AS total, 50 AS \"limit\", 100 AS \"offset\", 150 < count(*) AS has_more FROM history WHERE status = 'completed'", *H, extra=HISTORY))
 def history_page_info(d):
     _, info = R.paginate(R.filter_history(_history(d), status="completed"), [F.col("job_id")], 50, 100)
