@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelflow.llm.neighbours import nearest, nearest_cells
+from panelflow.llm.neighbours import asked_scores, nearest, nearest_cells
 
 SCHEMA = "vec_id long, embedding array<float>, label int, key string, ids long"
 
@@ -68,3 +68,22 @@ def test_cells_come_by_rising_distance():
     assert got == [(i, j) for _, i, j in want]
     some = nearest_cells(a, b, count, 12)
     assert sum(count[c] for c in some[:-1]) < 12 <= sum(count[c] for c in some)
+
+
+def test_each_length_is_searched_among_its_own(spark, rows):
+    short = [(10_000 + i, v[:8]) for i, v in rows[:300]]
+    got = find(spark, rows[:400] + short, share=1.0)
+    want = brute(rows[:400]) | brute(short)
+    assert {q: [a for a, _ in v] for q, v in got.items()} == {q: [a for a, _ in v] for q, v in want.items()}
+    assert {0, 350, 10_000, 10_250} <= set(got)
+
+
+def test_only_asked_cells_are_scored():
+    rng = np.random.default_rng(2)
+    q, x, cell = rng.normal(size=(6, 4)), rng.normal(size=(50, 4)), np.sort(rng.integers(0, 9, 50))
+    asked = rng.random((6, 9)) < 0.2
+    asked[0] = False
+    asked[1, 3] = True
+    got = asked_scores(q, x, cell, asked)
+    assert np.array_equal(got > -np.inf, asked[:, cell]) and np.allclose(got[got > -np.inf], (q @ x.T)[asked[:, cell]])
+    assert asked_scores(q, x[:0], cell[:0], asked).shape == (6, 0)

@@ -119,12 +119,13 @@ SCHEMA = "conv_id long, turn long, role string, text string, n int, key string,
 
 @pytest.mark.parametrize("chunk_turns,chunk_bytes", [(256, 1 << 22), (3, 1 << 22), (64, 20)])
 def test_repairs_against_a_plain_table(spark, chunk_turns, chunk_bytes):
-    rows = conversations(40)
+    lost = next(c for c in range(1000, 2000) if zlib.crc32(f"{c}:1".encode()) % 20 == 0)
+    rows = [*conversations(40), (lost, 1, "user", "All of it is dropped.")]
     df = spark.createDataFrame([(*r, 1, "k", 2) for r in rows], SCHEMA)
     got = repair_conversations(damage(df), originals=df, chunk_turns=chunk_turns, chunk_bytes=chunk_bytes)
     want = brute(damaged(rows), {r[0] for r in rows})
     assert sorted((tuple(r) for r in got.collect()), key=str) == want
-    assert sum(w[7] == "" for w in want) >= 1 and any("I" in w[7] for w in want) and any("R" in w[7] for w in want)
+    assert sum(w[7] == "" for w in want) >= 1 and any("R" in w[7] for w in want) and any("D" in w[7] for w in want)
 
 
 def test_lightest_against_all_repairs():
@@ -145,4 +146,5 @@ def test_odd_tables(spark):
     rows = [(1, 1, "user", long_text), (1, 2, "assistant", "ok."), (2, None, None, None), (2, None, None, None)]
     df = spark.createDataFrame([(*r, 1, "k", 2) for r in rows], SCHEMA)
     got = repair_conversations(df).collect()
-    assert sorted(map(tuple, got)) == brute(rows, {1, 2})
+    shown = [(c, t, " " if r is None else r, " " if x is None else x) for c, t, r, x in rows]
+    assert sorted(map(tuple, got)) == brute(shown, {1, 2})
