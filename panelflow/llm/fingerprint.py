@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os.path
 from typing import NamedTuple
 
 import numpy as np
@@ -173,6 +174,17 @@ def _range_of(value: Column, bounds: list[float]) -> Column:
     return F.when(value.isNull() | (group == 0), 0).otherwise((group - 1) * wide + inner)
 
 
+def _as_number(rows: DataFrame, id: str) -> Column:
+    """A number that rises with the id. Of text, it is the six bytes after the prefix that all ids share."""
+    at = F.col(id)
+    if rows.schema[id].dataType.simpleString() not in ("string", "binary"):
+        return at.cast("double")
+    raw = F.encode(at, "utf-8") if rows.schema[id].dataType.simpleString() == "string" else at
+    ends = rows.agg(F.min(raw).alias("a"), F.max(raw).alias("b")).first()
+    shared = len(os.path.commonprefix([bytes(ends["a"] or b""), bytes(ends["b"] or b"")]))
+    return F.conv(F.rpad(F.hex(F.substring(raw, shared + 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
 def with_next(rows: DataFrame, id: str, columns: list[str], parts: int | None = None) -> DataFrame:
     """Every row with ``next_<column>`` of the row with the next larger id; the last row gets the first one's.
 
@@ -185,8 +197,9 @@ def with_next(rows: DataFrame, id: str, columns: list[str], parts: int | None =
     at = F.col(id)
     parts = parts or min(MOST_PARTS, max(PARTS, rows.count() // ROWS_PER_PART))
     shares = [k / parts for k in range(1, parts)]
-    bounds = sorted(set(rows.select(at.cast("double").alias("v")).approxQuantile("v", shares, 1 / (4 * parts)))) if shares else []
-    part = _range_of(at.cast("double"), bounds)
+    number = _as_number(rows, id)
+    bounds = sorted(set(rows.select(number.alias("v")).approxQuantile("v", shares, 1 / (4 * parts)))) if shares else []
+    part = _range_of(number, bounds)
     tie = F.xxhash64(*columns)
     firsts = rows.groupBy(part.alias("part")).agg(F.min(F.struct(at.isNotNull(), at.alias("v"), tie)).alias("low")).collect()
     firsts = sorted(firsts, key=lambda r: r["part"])  # at most ``parts`` rows
@@ -211,7 +224,7 @@ def edited_fingerprints(segments: DataFrame, id: str = "id", text: str = "origin
     segment by id (after the last: the first). Returns id, n_chars, edited_text, fingerprint, edited_fingerprint
     (binary vectors), near_edited, near_next (likeness to the edited and to the next text's fingerprint, 0 to 1).
 
-    A null text is empty; segments of one id follow one another in a fixed order; null ids come first; a single
+    Ids may be numbers or texts (in the order of their bytes). A null text is empty; segments of one id follow one another in a fixed order; null ids come first; a single
     segment is its own next; other columns are ignored; no rows give no rows.
     """
     rows = segments.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -65,3 +65,13 @@ def test_lanes_of_very_long_texts_do_not_wrap():
     line = "word " * 25_000
     assert (add(half, half) == vector(f"{line}\n{line}")).all() and (take(add(half, whole), whole) == half).all()
     assert abs(likeness(add(half, half), half)[0] - 0.8) < 1e-3
+
+
+def test_ids_of_the_library_are_texts(spark):
+    rows = [(f"seg-{i:06d}", prose(i % 17, 12)) for i in range(0, 3000, 7)] + [("seg", "short"), ("seg-9é", "last"), (None, "none")]
+    df = spark.createDataFrame(rows, "id string, original_text string")
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode()))
+    for parts in (1, 40):
+        got = {r["id"]: r["next_original_text"] for r in with_next(df, "id", ["original_text"], parts).collect()}
+        assert got == {i: ordered[(k + 1) % len(ordered)][1] for k, (i, _) in enumerate(ordered)}
+    assert edited_fingerprints(df).count() == len(rows)
