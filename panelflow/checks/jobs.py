@@ -141,8 +141,11 @@ def live_job_state(d):
     return J.live_job_state(d.progress_events).select("job_id", "type", "status", "progress", "timestamp")
 
 
-@query(sql("""SELECT id, CASE WHEN job_id IS NOT NULL THEN l.status ELSE j.status END AS status, l.progress, coalesce(l.total_pages, j.total_pages, -1) AS total_pages,
-    coalesce(l.current_page, j.completed_pages, -1) AS completed_pages FROM jobs j LEFT JOIN latest l ON job_id = id""", "jobs", "progress_events", extra=LATEST))
+OVERLAY_SQL = """SELECT id, CASE WHEN job_id IS NOT NULL THEN l.status ELSE j.status END AS status, l.progress, coalesce(l.total_pages, j.total_pages, -1) AS total_pages,
+    coalesce(l.current_page, j.completed_pages, -1) AS completed_pages FROM jobs j LEFT JOIN latest l ON job_id = id"""
+
+
+@query(sql(OVERLAY_SQL, "jobs", "progress_events", extra=LATEST))
 def overlay_latest(d):
     jobs = d.jobs.withColumn("progress", F.lit(None).cast("double"))
     out = J.overlay_latest(jobs, J.live_job_state(d.progress_events)).select("id", "status", "progress", "total_pages", "completed_pages")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelflow.checks.base import mean_sql, now, query, sql
-from panelflow.checks.jobs import ACTION_LOG, LATEST, _actions, _start
+from panelflow.checks.jobs import ACTION_LOG, LATEST, OVERLAY_SQL, _actions, _start
 from panelflow.checks.translation import REQUESTS, _segments_sql, batch_provider
 from panelflow.domain import events_to_progress
 from panelflow.session import scratch_path
@@ -51,6 +51,16 @@ def stream_job_state(d):
     return K.job_state(d.spark, f"{root}/checkpoint").select("job_id", "type", "status", "progress", "timestamp")
 
 
+@query(sql(OVERLAY_SQL, "jobs", "progress_events", extra=LATEST))
+def stream_overlay(d):
+    """Job rows overlaid with the state of a stream of their events."""
+    root = scratch_path(d.spark, "overlay")
+    S.run_available(K.latest_events(_events(d)), f"{root}/out", f"{root}/checkpoint")
+    jobs = d.jobs.withColumn("progress", F.lit(None).cast("double"))
+    out = K.live_jobs(jobs, f"{root}/checkpoint").select("id", "status", "progress", "total_pages", "completed_pages")
+    return out.fillna(-1, ["total_pages", "completed_pages"])
+
+
 @query(sql("SELECT event_id, job_id, type FROM progress_events ORDER BY timestamp DESC, event_id DESC LIMIT 100", "progress_events"))
 def stream_last_events(d):
     """The newest events overall, read from the state store."""

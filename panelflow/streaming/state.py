@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from panelflow import schema
+from panelflow.operators.jobs import overlay_latest
 
 LATEST_FIELDS = ["type", "status", "progress", "current_page", "total_pages", "timestamp", "event_id"]
 SLICES = 16
@@ -31,9 +32,10 @@ def _times(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.withColumns({c: F.timestamp_micros(c) for c in names})
 
 
-def _plain(row) -> tuple:
-    """Values of a pandas row as Python values."""
-    return tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in row)
+def _plain(row, kind: str) -> tuple:
+    """Values of a pandas row as Python values of a schema; pandas holds whole numbers beside nulls as floats."""
+    whole = [k.split()[-1] in ("long", "bigint", "int") for k in kind.split(", ")]
+    return tuple(None if pd.isna(v) else int(v) if w else v.item() if hasattr(v, "item") else v for v, w in zip(row, whole, strict=True))
 
 
 def _schema(df: DataFrame, columns: Iterable[str]) -> str:
@@ -106,7 +108,7 @@ class _Latest(StatefulProcessor):
         at, number = self.fields.index("timestamp"), self.fields.index("event_id")
         held = best = self.latest.get()
         for batch in rows:
-            last = _plain(batch.sort_values(["timestamp", "event_id"])[self.fields].iloc[-1])
+            last = _plain(batch.sort_values(["timestamp", "event_id"])[self.fields].iloc[-1], self.kind)
             if best is None or (last[at], last[number]) > (best[at], best[number]):
                 best = last
         if best is not held:
@@ -132,6 +134,12 @@ def job_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     return _times(read_state(spark, checkpoint, "latest"), ["timestamp"])
 
 
+def live_jobs(jobs: DataFrame, checkpoint: str) -> DataFrame:
+    """Job rows overlaid with the latest events that a ``latest_events`` stream holds now; 'error' reads as failed."""
+    status = F.when(F.col("status") == "error", "failed").otherwise(F.col("status"))
+    return overlay_latest(jobs, job_state(jobs.sparkSession, checkpoint).withColumn("status", status))
+
+
 class _Newest(StatefulProcessor):
     """The newest n events of a slice."""
 
@@ -148,7 +156,7 @@ class _Newest(StatefulProcessor):
             came += len(batch)
             both = pd.concat([kept, batch[self.columns].astype(object)]).drop_duplicates("event_id")
             kept = both.sort_values(["timestamp", "event_id"], ascending=False).head(self.n)
-        self.newest.put([_plain(r) for r in kept.itertuples(index=False)])
+        self.newest.put([_plain(r, self.kind) for r in kept.itertuples(index=False)])
         yield pd.DataFrame([(key[0], came)], columns=["slice", "events"])
 
 
@@ -189,7 +197,7 @@ class _InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for batch in rows:
-            self.waiting.appendList([_plain(r) for r in batch[["at", "type"]].itertuples(index=False)])
+            self.waiting.appendList([_plain(r, "at long, type string") for r in batch[["at", "type"]].itertuples(index=False)])
             least = int(batch["at"].min())
             first = least if first is None else min(first, least)
         self._wake(first)
