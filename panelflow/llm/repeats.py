@@ -18,7 +18,7 @@ WIDTH = 50
 GRAM = 24
 PACK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 6 << 20
 GAP = 0xFF  # never a byte of UTF-8
 NO_ID = np.iinfo(np.int64).max
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
