@@ -4,6 +4,8 @@ The state lives in RocksDB under the stream's checkpoint. A micro-batch reads an
 whatever came before, and ``read_state`` gives the state of all keys at the cost of one row each. Times are held as
 microseconds, so that no time zone of a worker matters. A key's rows of one micro-batch are held by one task; bound them
 by the source's trigger options (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
+
+With ``ttl_ms`` a stream always asks for another batch, so it runs until it is stopped; an available-now run would not end.
 """
 
 from __future__ import annotations
