@@ -16,6 +16,8 @@ from pyarrow import fs as files
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelflow.sources.files import open_files
+
 BINS = 256
 BATCH_ROWS = 64
 
@@ -24,9 +26,8 @@ class _Bin:
     """Answers of one bin of keys: files in a folder, each written under another name first."""
 
     def __init__(self, folder: str):
-        self.fs, path = files.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-        self.path = path
-        self.fs.create_dir(path, recursive=True)
+        self.fs, self.path = open_files(folder)
+        self.fs.create_dir(self.path, recursive=True)
 
     def read(self) -> pd.DataFrame | None:
         found = [f.path for f in self.fs.get_file_info(files.FileSelector(self.path)) if f.base_name.endswith(".arrow")]

@@ -19,6 +19,7 @@ from panelflow.session import cut
 ENTRY = ("archive_path string, page_number int, entry_name string, filename string, size long, "
          "format string, content binary, success boolean, error string")
 SPLIT_BYTES = 64 * 2**20
+MOST_TASKS = 20_000
 _LISTED = ["path", "length", "modificationTime"]
 _IMAGE_SUFFIXES = {f".{e}" for e in schema.IMAGE_EXTENSIONS}
 
@@ -85,12 +86,13 @@ def _entries(path: str, content: bytes, max_entry: int) -> Iterator[tuple]:
 
 
 def open_files(uri: str):
-    """File system and path of a URI, for ranged reads and writes inside tasks."""
+    """File system and path of a URI, as Spark writes paths (blanks and the like unescaped), for reads and writes inside tasks."""
+    from urllib.parse import quote
+
     from pyarrow import fs
 
-    if re.match(r"file:/(?!/)", uri):
-        uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    local = re.match(r"(?:file:)?(?://)?(/.*)", uri, re.S)
+    return (fs.LocalFileSystem(), local[1]) if local else fs.FileSystem.from_uri(quote(uri, safe=":/%?=&@+~,;"))
 
 
 def archive_entries(spark: SparkSession, path: str, max_entry: int = schema.MAX_PAGE_BYTES, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -103,7 +105,11 @@ def archive_entries(spark: SparkSession, path: str, max_entry: int = schema.MAX_
         name = PurePosixPath(path).name
         try:
             fs, place = open_files(path)
-            archive = zipfile.ZipFile(fs.open_input_file(place))
+            opened = fs.open_input_file(place)
+            try:
+                archive = zipfile.ZipFile(opened)
+            except (OSError, ValueError) as e:  # too short to look for a directory
+                raise zipfile.BadZipFile("File is not a zip file") from e
         except Exception as e:
             error = "No RAR library available" if name.lower().endswith(".cbr") else f"Corrupted archive file: {e}"
             yield path, None, None, name, None, None, False, error, 0
@@ -163,7 +169,9 @@ def read_archive_pages(spark: SparkSession, path: str, max_entry: int = schema.M
 
     # Each directory is read once; its entries are written before they are dealt out.
     entries = cut(archive_entries(spark, path, max_entry, split_bytes)).withColumnRenamed("size", "size_")
-    dealt = entries.repartition("archive_path", "split").sortWithinPartitions("archive_path", "page_number")
+    # As many tasks as splits: the listing itself is small, so Spark would not spread it by its size.
+    splits = entries.select("archive_path", "split").distinct().count()
+    dealt = entries.repartition(max(1, min(splits, MOST_TASKS)), "archive_path", "split").sortWithinPartitions("archive_path", "page_number")
     return dealt.mapInPandas(run, ENTRY)
 
 
